@@ -117,6 +117,10 @@ def correlation(n, sx, sy, sxx, syy, sxy, floor: float = 1e-16) -> Column:
 
 
 def rounded(c, digits: int = 6) -> Column:
-    """Round half up by floor, the same way on every engine."""
+    """Round to nearest by floor, the same way on every engine.
+
+    The tie point lies slightly off one half: exact decimal halves, whose last bit depends on the order
+    of operations, then round alike everywhere.
+    """
     unit = float(10**digits)
-    return F.floor(column(c) * unit + 0.5) / F.lit(unit)
+    return F.floor(column(c) * unit + 0.500123457) / F.lit(unit)

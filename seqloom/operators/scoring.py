@@ -198,7 +198,7 @@ def centered_moments(df: DataFrame, y: str, p: str, limit: float | None = 2.0) -
     # Two rounds: blocks per hashed group of partitions, then at most 64 rows in the last one.
     grouped = partial.withColumn("_g", F.pmod(F.hash("weight", "cross"), F.lit(64)))
     middle = grouped.groupBy("_g").applyInPandas(lambda g: merge(g), CENTERED)
-    return middle.groupBy(F.lit(0)).applyInPandas(lambda g: merge(g), CENTERED)
+    return middle.withColumn("_g", F.lit(0)).groupBy("_g").applyInPandas(lambda g: merge(g), CENTERED)
 
 
 def centered_wp() -> Column:

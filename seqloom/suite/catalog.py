@@ -1,7 +1,7 @@
 """All registered queries: name -> (Spark function, SQL or None)."""
 
-from seqloom.suite import scores
+from seqloom.suite import scores, sequences
 
 QUERIES: dict = {}
-for _module in (scores,):
+for _module in (scores, sequences):
     QUERIES.update(_module.QUERIES)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,12 +14,12 @@ from seqloom.operators.ordered import lags
 from seqloom.session import shared_dir
 from seqloom.sources.ingest import number_rows
 
-# Small chunks and a long allowed length, so that even small test tables use several levels of carry.
-SPEC = SequenceSpec(length=100_000_000, warmup=9, position_edges=(70, 140), chunk=512)
+# Chunks small enough that the test sequences span several of them.
+SPEC = SequenceSpec(length=100_000_000, warmup=9, position_edges=(70, 140), chunk=128)
 XS = ("x0", "x1", "x2", "x3")
 BASE = {"base": ("p0", "p1")}
 BOTH = {"base": ("p0", "p1"), "candidate": ("q0", "q1")}
-_tables: dict[tuple[str, str], str] = {}
+_tables: dict[tuple[str, str], tuple[str, SequenceSpec]] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,8 +54,15 @@ def seq(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
         path = f"{shared_dir(spark)}/sequences-{uuid.uuid4().hex}"
         build(spark, sf_dir).sortWithinPartitions(KEY, STEP).write.parquet(path)
-        _tables[token] = path
-    return spark.read.parquet(_tables[token])
+        longest = spark.read.parquet(path).agg(F.max(STEP)).first()[0] + 1
+        _tables[token] = (path, replace(SPEC, length=longest))
+    return spark.read.parquet(_tables[token][0])
+
+
+def spec(spark: SparkSession, sf_dir: str) -> SequenceSpec:
+    """Contract of the built table, with its longest sequence."""
+    seq(spark, sf_dir)
+    return _tables[(spark.sparkContext.applicationId, sf_dir)][1]
 
 
 SEQ_SQL = """
@@ -79,7 +87,7 @@ def sql(body: str, *ctes: str) -> str:
 def r(expr: str, digits: int = 6) -> str:
     """SQL twin of `rounded`."""
     unit = f"{10**digits}.0::DOUBLE"
-    return f"(floor(({expr}) * {unit} + 0.5::DOUBLE) / {unit})"
+    return f"(floor(({expr}) * {unit} + 0.500123457::DOUBLE) / {unit})"
 
 
 def sclip(expr: str, lo: str = "-2.0", hi: str = "2.0") -> str:
