@@ -1,7 +1,7 @@
 """All registered queries: name -> (Spark function, SQL or None)."""
 
-from seqloom.suite import scores, sequences
+from seqloom.suite import rows, scores, sequences
 
 QUERIES: dict = {}
-for _module in (scores, sequences):
+for _module in (scores, sequences, rows):
     QUERIES.update(_module.QUERIES)
