@@ -1,7 +1,7 @@
 """All registered queries: name -> (Spark function, SQL or None)."""
 
-from seqloom.suite import rows, scores, sequences
+from seqloom.suite import evidence, rows, scores, sequences
 
 QUERIES: dict = {}
-for _module in (scores, sequences, rows):
+for _module in (scores, sequences, rows, evidence):
     QUERIES.update(_module.QUERIES)

@@ -198,7 +198,7 @@ def s16(s, d):
 
 @query("s17_validate_documents", """SELECT doc_id, array_to_string(list_filter([CASE WHEN NOT (lang IN ('en', 'de')) THEN 'lang' END,
   CASE WHEN NOT (length(trim(text)) > 0 AND length(trim(text)) <= 600) THEN 'text' END, CASE WHEN NOT regexp_matches(source, '^[a-z]+$') THEN 'source' END,
-  CASE WHEN NOT (n_chars BETWEEN 1 AND 5000) THEN 'size' END], x -> x IS NOT NULL).list_sort(), ',') AS failed FROM documents""")
+  CASE WHEN NOT (n_chars BETWEEN 1 AND 5000) THEN 'size' END], lambda x: x IS NOT NULL).list_sort(), ',') AS failed FROM documents""")
 def s17(s, d):
     rules = {"lang": F.col("lang").isin("en", "de"), "text": documents.text_ok(F.col("text"), 600),
              "source": F.col("source").rlike("^[a-z]+$"), "size": F.col("n_chars").between(1, 5000)}
@@ -243,7 +243,7 @@ def s21(s, d):
 
 KEYS = "SELECT seq_ix, step_in_seq FROM "
 RN = "rn AS (SELECT *, row_number() OVER (PARTITION BY seq_ix ORDER BY step_in_seq) - 1 AS k FROM seq WHERE need_prediction)"
-HR = f"hr AS (SELECT *, row_number() OVER (PARTITION BY seq_ix ORDER BY md5('7:' || seq_ix || ':' || step_in_seq), step_in_seq) AS k FROM seq WHERE need_prediction)"
+HR = "hr AS (SELECT *, row_number() OVER (PARTITION BY seq_ix ORDER BY md5('7:' || seq_ix || ':' || step_in_seq), step_in_seq) AS k FROM seq WHERE need_prediction)"
 
 
 @query("f01_required_scored_rows", sql(f"SELECT seq_ix, count(*) AS required, sum(is_scored::INT)::BIGINT AS scored FROM seq WHERE need_prediction GROUP BY ALL"))
@@ -256,7 +256,7 @@ def f02(s, d):
     return sampling.stride_sample(seq(s, d), 5, spec(s, d), phase=2).select(*NOW)
 
 
-@query("f03_random_phase_stride", sql(KEYS + f"rn WHERE (k - {md5i('''11:'' || seq_ix'''.replace(chr(39)*2, chr(39)))} % 5 + 5) % 5 = 0", RN))
+@query("f03_random_phase_stride", sql(KEYS + f"rn WHERE (k - {md5i(chr(39) + '11:' + chr(39) + ' || seq_ix')} % 5 + 5) % 5 = 0", RN))
 def f03(s, d):
     return sampling.random_phase_stride(seq(s, d), 5, 11, spec(s, d)).select(*NOW)
 
@@ -295,7 +295,7 @@ PLACE = "pl AS (SELECT seq_ix, row_number() OVER (ORDER BY md5('3:' || seq_ix),
 
 @query("f08_split_sequences", sql(
     """SELECT seq_ix, place, array_to_string(list_filter([CASE WHEN place <= 8 THEN 'pilot' END, CASE WHEN place <= 24 THEN 'scale' END, CASE WHEN place > 24 AND place <= 40 THEN 'tune' END,
-    CASE WHEN place > 40 THEN 'gate' END], x -> x IS NOT NULL), ',') AS roles FROM pl""", PLACE))
+    CASE WHEN place > 40 THEN 'gate' END], lambda x: x IS NOT NULL), ',') AS roles FROM pl""", PLACE))
 def f08(s, d):
     out = sampling.split_sequences(seq(s, d), 3, {"pilot": (0, 8), "scale": (0, 24), "tune": (24, 40), "gate": (40, 1 << 40)})
     return out.withColumn("roles", F.array_join("roles", ","))
