@@ -18,6 +18,7 @@ from seqloom.layout import KEY
 from seqloom.operators.quantiles import exact_quantiles
 from seqloom.operators.sampling import sequence_places
 from seqloom.operators.scoring import SUMS, pack, unpack, with_wp
+from seqloom.session import settle
 from seqloom.sources.ingest import dense_index
 
 Contrasts = dict[str, dict[str, float]]  # name -> coefficient per system
@@ -67,7 +68,11 @@ def bootstrap_draws(per_sequence: DataFrame, contrasts: Contrasts, draws: int, s
 
 def paired_bootstrap(per_sequence: DataFrame, contrasts: Contrasts = DELTA, draws: int = 500, seed: int = 1,
                      level: float = 0.95, targets: Sequence[str] = ("t0", "t1")) -> DataFrame:
-    """Point value and interval of each contrast per target and combined."""
+    """Point value and interval of each contrast per target and combined.
+
+    The moments, one row per sequence and system, are settled: the rows behind them are scanned once.
+    """
+    per_sequence = settle(per_sequence)
     tail = (1.0 - level) / 2.0
     drawn = bootstrap_draws(per_sequence, contrasts, draws, seed, targets)
     # The number of values per group is the number of draws.
@@ -80,7 +85,7 @@ def paired_bootstrap(per_sequence: DataFrame, contrasts: Contrasts = DELTA, draw
 def leave_one_out(per_sequence: DataFrame, contrasts: Contrasts = DELTA, targets: Sequence[str] = ("t0", "t1")) -> DataFrame:
     """Influence of each sequence: contrast on all sequences minus contrast without it."""
     systems = names_of(contrasts)
-    wide = pack(per_sequence, [KEY], systems, targets)
+    wide = settle(pack(per_sequence, [KEY], systems, targets))
     cells = [f"{s}|{t}|{m}" for s in systems for t in targets for m in SUMS]
     total = wide.agg(*[F.sum(f"`{c}`").alias(f"_{c}") for c in cells])
     rest = wide.crossJoin(F.broadcast(total))  # one row
@@ -96,6 +101,7 @@ def drop_top_influence(per_sequence: DataFrame, k: int = 5, contrasts: Contrasts
                        targets: Sequence[str] = ("t0", "t1")) -> DataFrame:
     """Contrasts without the k sequences of largest absolute influence on `target`."""
     name = next(iter(contrasts))
+    per_sequence = settle(per_sequence)
     loud = leave_one_out(per_sequence, {name: contrasts[name]}, targets).filter(F.col("target") == target)
     loud = loud.orderBy(F.abs("influence").desc(), KEY).limit(k).select(KEY)
     kept = per_sequence.join(F.broadcast(loud), KEY, "left_anti")  # k rows
@@ -104,6 +110,7 @@ def drop_top_influence(per_sequence: DataFrame, k: int = 5, contrasts: Contrasts
 
 def halves_check(per_sequence: DataFrame, contrasts: Contrasts = DELTA) -> DataFrame:
     """Contrasts in the first and the second half of the sequences in id order."""
+    per_sequence = settle(per_sequence)
     places = sequence_places(per_sequence)
     size = places.agg(F.count("*").alias("_n"))
     half = places.crossJoin(F.broadcast(size))  # one row
@@ -122,6 +129,7 @@ def random_halves(ids: DataFrame, draws: int, seed: int) -> DataFrame:
 
 def split_half(per_sequence: DataFrame, contrasts: Contrasts = DELTA, draws: int = 100, seed: int = 1) -> DataFrame:
     """Contrast in both halves of random splits; agreement is their difference and common sign."""
+    per_sequence = settle(per_sequence)
     halves = random_halves(per_sequence, draws, seed)
     pooled = halves.join(per_sequence, KEY).groupBy("draw", "half", "system", "target").agg(*[F.sum(c).alias(c) for c in SUMS])
     values = contrast_values(with_wp(pooled), contrasts, ["draw", "half"])
