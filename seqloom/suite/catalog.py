@@ -1,7 +1,7 @@
 """All registered queries: name -> (Spark function, SQL or None)."""
 
-from seqloom.suite import evidence, fits, rows, scores, sequences
+from seqloom.suite import evidence, fits, library, rows, scores, sequences
 
 QUERIES: dict = {}
-for _module in (scores, sequences, rows, evidence, fits):
+for _module in (scores, sequences, rows, evidence, fits, library):
     QUERIES.update(_module.QUERIES)
