@@ -105,9 +105,13 @@ def fuse_average(pred: DataFrame, weights: DataFrame, by: Sequence[str] = ("id",
 
 
 def fuse_vote(pred: DataFrame, weights: DataFrame, by: Sequence[str] = ("id",), text: bool = False) -> DataFrame:
-    """Weighted majority per cell; ties go to the value of the best-ranked model. Two aggregations, no window."""
+    """Weighted majority per cell; ties go to the value of the best-ranked model.
+
+    Rows are placed by cell once; both aggregations then run without another exchange.
+    """
     value = F.col("value").cast("string")
-    w = _weighted(pred.withColumn("value", F.trim(F.coalesce(value, F.lit(""))) if text else value), weights)
+    value = F.trim(F.coalesce(value, F.lit(""))) if text else F.coalesce(value, F.lit("nan"))
+    w = _weighted(pred.repartition(*by).withColumn("value", value), weights)
     votes = w.groupBy(*by, "value").agg(F.sum("weight").alias("_v"), F.min("rank").alias("_r"))
     # Vote sums are compared at 12 digits: their last bit depends on the order of addition.
     best = F.max_by("value", F.struct(F.round("_v", 12), -F.col("_r")))
@@ -115,18 +119,23 @@ def fuse_vote(pred: DataFrame, weights: DataFrame, by: Sequence[str] = ("id",),
 
 
 def fuse_cellwise(pred: DataFrame, weights: DataFrame, by: Sequence[str] = ("id",)) -> DataFrame:
-    """Vote per token position, then join the winners with spaces; unanimous texts are kept as they are."""
+    """Vote per token position, then join the winners with spaces; unanimous texts are kept as they are.
+
+    Rows are placed by cell once and all aggregations keep that placement. The whole text takes part as
+    position 0: if it has a single distinct value, the models agree. Positions without any token do not
+    occur.
+    """
     text = F.coalesce(F.col("value").cast("string"), F.lit(""))
-    w = _weighted(pred.withColumn("value", text), weights)
-    cells = w.select(*by, "weight", "rank", F.posexplode(_words(F.col("value"))).alias("pos", "token"))
-    votes = cells.groupBy(*by, "pos", "token").agg(F.sum("weight").alias("_v"), F.min("rank").alias("_r"))
-    best = votes.groupBy(*by, "pos").agg(F.max_by("token", F.struct(F.round("_v", 12), -F.col("_r"))).alias("token"))
-    joined = best.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("_c"))
-    joined = joined.select(*by, F.array_join(F.transform("_c", lambda c: c["token"]), " ").alias("_fused"))
-    same = w.groupBy(*by).agg(F.min("value").alias("_a"), F.max("value").alias("_z"))
-    out = same.join(joined, list(by), "left")
-    value = F.when(F.col("_a") == F.col("_z"), F.col("_a")).otherwise(F.coalesce(F.col("_fused"), F.lit("")))
-    return out.select(*by, value.alias("value"))
+    w = _weighted(pred.repartition(*by).withColumn("value", text), weights)
+    parts = F.concat(F.array(F.col("value")), _words(F.col("value")))
+    tokens = w.select(*by, "weight", "rank", F.posexplode(parts).alias("pos", "token"))
+    votes = tokens.groupBy(*by, "pos", "token").agg(F.sum("weight").alias("_v"), F.min("rank").alias("_r"))
+    best = votes.groupBy(*by, "pos").agg(F.max_by("token", F.struct(F.round("_v", 12), -F.col("_r"))).alias("token"), F.count("*").alias("k"))
+    # At most one entry per token of a text.
+    cells = best.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("pos", "token", "k"))).alias("_c"))
+    c = F.col("_c")
+    fused = F.array_join(F.transform(F.slice(c, 2, F.size(c)), lambda x: x["token"]), " ")
+    return cells.select(*by, F.when(c[0]["k"] == 1, c[0]["token"]).otherwise(fused).alias("value"))
 
 
 def row_normalize(df: DataFrame, columns: Sequence[str]) -> DataFrame:

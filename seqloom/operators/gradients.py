@@ -14,9 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.functions.scalar import clip, column
-from seqloom.layout import KEY, NEED, SequenceSpec
+from seqloom.layout import KEY, SequenceSpec
 from seqloom.operators.resampling import bootstrap_counts, resampled_sums
-from seqloom.operators.sampling import with_rank
+from seqloom.operators.sampling import required_rank
 from seqloom.operators.scoring import SUMS, moments
 from seqloom.session import settle
 
@@ -100,7 +100,7 @@ def thinning_check(df: DataFrame, features: Sequence, base: Sequence, stride: in
 
     Sums are kept per phase; the full gradient is their total, so all phases cost one scan.
     """
-    rows = with_rank(df, F.col(NEED), spec).withColumn("phase", F.pmod(F.col("_k"), F.lit(stride)).cast("int"))
+    rows = required_rank(df, spec).withColumn("phase", F.pmod(F.col("_k"), F.lit(stride)).cast("int"))
     stats = settle(moments(rows, {"base": base}, by=["phase"]))
     cross = settle(gradient_moments(rows, features, base, by=["phase"]))
     full = wp_gradient(stats.groupBy("target").agg(*[F.sum(c).alias(c) for c in SUMS]),

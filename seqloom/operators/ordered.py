@@ -74,18 +74,14 @@ def _prefix(df: DataFrame, values: dict[str, tuple[Column, float]], key: str, or
     task therefore holds one chunk; the end state of each chunk is an ordinary aggregate, and the
     states carried between chunks follow the same rule one level up, on a table `chunk` times smaller.
     """
+    short = {n: (v, d) for n, (v, d) in values.items() if 0.0 < d < math.exp(-MAX_EXPONENT / 2)}
+    if short:
+        df = _prefix_short(df, short, key, order, spec)
+        values = {n: v for n, v in values.items() if n not in short}
+        return _prefix(df, values, key, order, spec, span) if values else df
     names = list(values)
-    safe = [c for c in (MAX_EXPONENT / -math.log(d) for _, d in values.values() if 0.0 < d < 1.0)]
+    safe = [MAX_EXPONENT / -math.log(d) for _, d in values.values() if 0.0 < d < 1.0]
     size = max(2, min([spec.chunk, *[int(s) for s in safe]]))
-    if any(0.0 < d < math.exp(-MAX_EXPONENT / 2) for _, d in values.values()):
-        # Two steps of such a decay fall below the smallest double: only the previous row matters.
-        w = Window.partitionBy(key, CHUNK).orderBy(order)
-        tail = F.pmod(F.col(order), F.lit(size)) == size - 1
-        here = F.floor(F.col(order) / size).cast("bigint")
-        spread = df.withColumn("_l", F.explode(F.when(tail, F.array(here, here + 1)).otherwise(F.array(here))))
-        w = Window.partitionBy(key, "_l").orderBy(order)
-        out = {f"{n}_state": v + F.coalesce(F.lag(v, 1).over(w), F.lit(0.0)) * d for n, (v, d) in values.items()}
-        return spread.withColumns(out).filter(F.col("_l") == here).drop("_l")
     local = "_l"
     offset = F.pmod(F.col(order), F.lit(size)).cast("double")
 
@@ -114,13 +110,24 @@ def _prefix(df: DataFrame, values: dict[str, tuple[Column, float]], key: str, or
     return joined.withColumns(full).drop(local, *[f"{n}_carry" for n in names])
 
 
+def _prefix_short(df: DataFrame, values: dict[str, tuple[Column, float]], key: str, order: str, spec: SequenceSpec) -> DataFrame:
+    """The same for decays whose square is below the smallest double: only the previous row still matters."""
+    size = spec.chunk
+    here = F.floor(F.col(order) / size).cast("bigint")
+    tail = F.pmod(F.col(order), F.lit(size)) == size - 1
+    spread = df.withColumn("_l", F.explode(F.when(tail, F.array(here, here + 1)).otherwise(F.array(here))))
+    window = Window.partitionBy(key, "_l").orderBy(order)
+    out = {f"{n}_state": v + F.coalesce(F.lag(v, 1).over(window), F.lit(0.0)) * d for n, (v, d) in values.items()}
+    return spread.withColumns(out).filter(F.col("_l") == here).drop("_l")
+
+
 def decayed_sum(df: DataFrame, values: dict[str, tuple[object, float]], spec: SequenceSpec) -> DataFrame:
     """Add one column per entry `(value, decay)`: s[t] = decay * s[t-1] + value[t], s[-1] = 0."""
-    plain = {n: (column(v), d) for n, (v, d) in values.items()}
-    out = _prefix(df, plain, KEY, STEP, spec, spec.length)
-    for n in values:
+    plain = {n: (column(v), d) for n, (v, d) in values.items() if d != 0.0}
+    out = _prefix(df, plain, KEY, STEP, spec, spec.length) if plain else df
+    for n in plain:
         out = out.withColumnRenamed(f"{n}_state", n)
-    return out
+    return out.withColumns({n: column(v) for n, (v, d) in values.items() if d == 0.0})
 
 
 def running_sum(df: DataFrame, values: dict[str, object], spec: SequenceSpec) -> DataFrame:

@@ -25,17 +25,21 @@ Contrasts = dict[str, dict[str, float]]  # name -> coefficient per system
 DELTA: Contrasts = {"delta": {"candidate": 1.0, "base": -1.0}}
 
 
-def bootstrap_counts(ids: DataFrame, draws: int, seed: int, key: str = KEY) -> DataFrame:
-    """`(draw, key, times)`: n picks with replacement per draw.
+def _picks(indexed: DataFrame, draws: int, seed: int) -> DataFrame:
+    """`(draw, idx, times)`: n picks with replacement per draw.
 
     The n slots of a draw are the index rows themselves, so nothing needs the number of sequences on
-    the driver; picks are counted before they are joined back to their sequence.
+    the driver; picks are counted before they meet their sequence.
     """
-    index = dense_index(ids, key)
-    slots = index.select(F.col("idx").alias("_slot"), "n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+    slots = indexed.select(F.col("idx").alias("_slot"), "n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
     picks = slots.select("draw", draw_index(F.col("n"), seed, F.col("draw"), F.col("_slot")).alias("idx"))
-    counted = picks.groupBy("draw", "idx").agg(F.count("*").alias("times"))
-    return counted.join(index.select(key, "idx"), "idx").select("draw", key, "times")
+    return picks.groupBy("draw", "idx").agg(F.count("*").alias("times"))
+
+
+def bootstrap_counts(ids: DataFrame, draws: int, seed: int, key: str = KEY) -> DataFrame:
+    """`(draw, key, times)`: how often each sequence is picked in each draw."""
+    index = settle(dense_index(ids, key))
+    return _picks(index, draws, seed).join(index.select(key, "idx"), "idx").select("draw", key, "times")
 
 
 def names_of(contrasts: Contrasts) -> list[str]:
@@ -60,9 +64,9 @@ def bootstrap_draws(per_sequence: DataFrame, contrasts: Contrasts, draws: int, s
     """Contrast values of every draw. `per_sequence` holds `(seq, system, target, six sums)`."""
     systems = names_of(contrasts)
     wide = pack(per_sequence, [KEY], systems, targets)
-    counts = bootstrap_counts(per_sequence, draws, seed)
+    wide = settle(wide.join(dense_index(wide, KEY), KEY))  # one row per sequence
     sums = [F.sum(F.col("times") * F.col(f"`{s}|{t}|{m}`")).alias(f"{s}|{t}|{m}") for s in systems for t in targets for m in SUMS]
-    pooled = counts.join(wide, KEY).groupBy("draw").agg(*sums)
+    pooled = _picks(wide, draws, seed).join(wide, "idx").groupBy("draw").agg(*sums)
     return contrast_values(with_wp(unpack(pooled, ["draw"], systems, targets)), contrasts, ["draw"])
 
 

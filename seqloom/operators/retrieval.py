@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.session import settle
+from seqloom.session import settle, spread
 
 # The term map of the document library.
 SYNONYMS = {
@@ -39,7 +39,7 @@ def bm25(docs: DataFrame, key: str, words: Column, queries: dict[str, tuple[Sequ
                for t, w in ({t: SECONDARY for t in second} | {t: 1.0 for t in first}).items()]
     terms = sorted({t for _, t, _ in weights})
     known = F.array(*[F.lit(t) for t in terms])
-    narrow = settle(docs.select(F.col(key), words.alias("_t")).select(
+    narrow = settle(spread(docs).select(F.col(key), words.alias("_t")).select(
         key, F.size("_t").alias("_dl"), F.filter("_t", lambda t: F.array_contains(known, t)).alias("_hits")))
     totals = narrow.agg(F.count("*").alias("_n"), F.avg("_dl").alias("_avg"))
     hits = narrow.select(key, "_dl", F.explode("_hits").alias("term")).groupBy(key, "_dl", "term").agg(F.count("*").alias("_tf"))
@@ -87,7 +87,7 @@ def vector_knn(vectors: DataFrame, key: str, embedding: str, queries: dict[str,
                 best[n] = both
         yield from best.values()
 
-    near = vectors.select(key, F.col(embedding).alias(key + "_e")).mapInPandas(run, f"query string, `{key}` {kind}, distance2 double")
+    near = spread(vectors).select(key, F.col(embedding).alias(key + "_e")).mapInPandas(run, f"query string, `{key}` {kind}, distance2 double")
     return top_k(near, "query", key, k, "distance2", ascending=True)
 
 
@@ -132,7 +132,7 @@ def near_duplicate_titles(df: DataFrame, key: str, words: Column, threshold: flo
     the |x| - ceil(t|x|) + 1 rarest tokens must be shared, and sizes differ by at most the factor t:
     candidates meet on (rare token, size) and are verified on the full sets.
     """
-    sets = df.select(F.col(key), F.array_sort(F.array_distinct(words)).alias("_s")).filter(F.size("_s") > 0)
+    sets = spread(df).select(F.col(key), F.array_sort(F.array_distinct(words)).alias("_s")).filter(F.size("_s") > 0)
     groups = settle(sets.groupBy("_s").agg(F.min(key).alias("id"), F.count("*").alias("copies")))
     rarity = groups.select(F.explode("_s").alias("t")).groupBy("t").agg(F.count("*").alias("f"))
     # A set's own tokens with their frequency, at most the size of one document.

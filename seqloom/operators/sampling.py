@@ -18,16 +18,21 @@ def with_rank(df: DataFrame, mark: Column, spec: SequenceSpec, out: str = "_k")
     return ranked.filter(F.col("_mark") == 1).withColumn(out, F.col(out) - 1).drop("_mark")
 
 
+def required_rank(df: DataFrame, spec: SequenceSpec, out: str = "_k") -> DataFrame:
+    """Required rows with their position: by contract they are the steps from the warm-up on, so this is a projection."""
+    return df.filter(F.col(NEED)).withColumn(out, F.col(STEP) - spec.warmup)
+
+
 def stride_sample(df: DataFrame, k: int, spec: SequenceSpec, phase: int = 0, mark: Column | None = None) -> DataFrame:
-    """Every k-th required row of each sequence, from row `phase`."""
-    ranked = with_rank(df, F.col(NEED) if mark is None else mark, spec)
+    """Every k-th required row of each sequence, from row `phase`; any other mark is ranked first."""
+    ranked = required_rank(df, spec) if mark is None else with_rank(df, mark, spec)
     return ranked.filter(F.pmod(F.col("_k") - phase, F.lit(k)) == 0).drop("_k")
 
 
 def random_phase_stride(df: DataFrame, k: int, seed: int, spec: SequenceSpec) -> DataFrame:
     """Every k-th required row, with a phase drawn per sequence."""
     phase = F.pmod(digest_int(seed, F.col(KEY)), F.lit(k))
-    return with_rank(df, F.col(NEED), spec).filter(F.pmod(F.col("_k") - phase, F.lit(k)) == 0).drop("_k")
+    return required_rank(df, spec).filter(F.pmod(F.col("_k") - phase, F.lit(k)) == 0).drop("_k")
 
 
 def _hash_rank(df: DataFrame, n: int, seed: int, salts: int = 64) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -312,30 +312,41 @@ def adjacent_scored_cosine(df: DataFrame, spec: SequenceSpec, predictions: Seque
     )
 
 
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Rows of a list column without NULL rows, as one matrix over the Arrow buffer."""
+    full = column.drop_null() if column.null_count else column
+    flat = full.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(full), -1) if len(full) else np.empty((0, 0))
+
+
 def _relation_partials(distances: Sequence[int], systems: Sequence[str], targets: Sequence[str]):
     """Per-partition sums of w, wx, wxx, wr, wrr, wxr for every feature, as matrix products."""
+    pairs = [(t, s) for t in targets for s in systems]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: dict[tuple, list[np.ndarray]] = {}
-        for pdf in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, list[np.ndarray]] = {}
+        for batch in batches:
+            w = np.column_stack([batch.column(f"w_{t}").to_numpy(zero_copy_only=False) for t, _ in pairs])
+            e = np.column_stack([batch.column(f"r_{s}_{t}").to_numpy(zero_copy_only=False) for t, s in pairs])
             for d in distances:
-                ok = pdf[f"x{d}"].notna().to_numpy()
+                lagged = batch.column(f"x{d}")
+                ok = lagged.is_valid().to_numpy(zero_copy_only=False)
                 if not ok.any():
                     continue
-                part = pdf[ok]
-                x = np.vstack(part[f"x{d}"].to_numpy()).astype(float)
-                for t in targets:
-                    w = part[f"w_{t}"].to_numpy(float)
-                    wx, wxx = w @ x, w @ (x * x)
-                    for s in systems:
-                        e = part[f"r_{s}_{t}"].to_numpy(float)
-                        new = [np.full(x.shape[1], float(len(w))), np.full(x.shape[1], w.sum()), wx, wxx,
-                               np.full(x.shape[1], w @ e), np.full(x.shape[1], w @ (e * e)), (w * e) @ x]
-                        old = total.get((d, t, s))
-                        total[(d, t, s)] = new if old is None else [a + b for a, b in zip(old, new)]
-        for (d, t, s), sums in total.items():
-            yield pd.DataFrame({"feature": np.arange(len(sums[0])), "lag": d, "target": t, "system": s,
-                                **dict(zip(("n", "w", "wx", "wxx", "wr", "wrr", "wxr"), sums))})
+                x, wd, ed = _matrix(lagged), w[ok], e[ok]
+                we = wd * ed
+                # Per (target, system): scalars n, w, wr, wrr, then vectors wx, wxx, wxr.
+                facts = np.stack([np.full(len(pairs), float(len(x))), wd.sum(0), we.sum(0), (we * ed).sum(0)])
+                new = [facts, wd.T @ x, wd.T @ (x * x), we.T @ x]
+                old = total.get(d)
+                total[d] = new if old is None else [p + q for p, q in zip(old, new)]
+        for d, (facts, wx, wxx, wxr) in total.items():
+            width = wx.shape[1]
+            for i, (t, s) in enumerate(pairs):
+                yield pa.RecordBatch.from_pydict({
+                    "feature": pa.array(np.arange(width), pa.int32()), "lag": pa.array(np.full(width, d), pa.int32()),
+                    "target": [t] * width, "system": [s] * width, "n": np.full(width, facts[0, i]), "w": np.full(width, facts[1, i]),
+                    "wx": wx[i], "wxx": wxx[i], "wr": np.full(width, facts[2, i]), "wrr": np.full(width, facts[3, i]), "wxr": wxr[i]})
 
     return run
 
@@ -355,7 +366,7 @@ def feature_residual_corr(df: DataFrame, features: Sequence[str], systems: Syste
     )
     rows = lags(rows, {f"x{d}": ("_x", d) for d in distances}, spec).filter("_m").drop("_m", "_x", KEY, STEP)
     schema = "feature int, lag int, target string, system string, n double, w double, wx double, wxx double, wr double, wrr double, wxr double"
-    parts = rows.mapInPandas(_relation_partials(distances, list(systems), targets), schema)
+    parts = rows.mapInArrow(_relation_partials(distances, list(systems), targets), schema)
     sums = parts.groupBy("feature", "lag", "target", "system").agg(*[F.sum(c).alias(c) for c in ("n", "w", "wx", "wxx", "wr", "wrr", "wxr")])
     w = F.col("w")
     vx = F.greatest(F.col("wxx") - F.col("wx") * F.col("wx") / w, F.lit(0.0))

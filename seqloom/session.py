@@ -45,3 +45,20 @@ def settle(df: DataFrame) -> DataFrame:
     """Store a derived table reliably, so that later passes neither recompute nor re-sample it."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for costly row work on input that arrives in fewer partitions; larger input is left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def place_for_python(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash placement for Python stages.
+
+    Their cost is time per row rather than bytes, so the planned number of partitions is kept: partition
+    coalescing, which goes by bytes, would leave cores idle.
+    """
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)
