@@ -152,8 +152,11 @@ def previous_marked(df: DataFrame, mark: Column, values: dict[str, Column], spec
     return joined.select("*", *[F.col(f"_prev.{n}").alias(f"prev_{n}") for n in values]).drop(CHUNK, "_offer", "_prev")
 
 
-def per_sequence(df: DataFrame, small: DataFrame, how: str = "inner", salts: int = 16, spec: SequenceSpec | None = None) -> DataFrame:
-    """Join one row per sequence onto its rows; a hot sequence is spread over `salts` partitions."""
+def per_sequence(df: DataFrame, small: DataFrame, how: str = "inner", salts: int = 64, spec: SequenceSpec | None = None) -> DataFrame:
+    """Join one row per sequence onto its rows; a hot sequence is spread over `salts` partitions.
+
+    If Spark finds the small side below its broadcast limit at run time, no row moves at all.
+    """
     spec = spec or SequenceSpec()
     left = df.withColumn("_salt", F.pmod(chunk_id(spec), F.lit(salts)))
     right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))

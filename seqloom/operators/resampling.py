@@ -124,11 +124,20 @@ def halves_check(per_sequence: DataFrame, contrasts: Contrasts = DELTA) -> DataF
 
 
 def random_halves(ids: DataFrame, draws: int, seed: int) -> DataFrame:
-    """`(draw, seq, half)`: the first half of a fresh shuffle against the rest, per draw."""
+    """`(draw, seq, half)`: the first half of a fresh shuffle against the rest, per draw.
+
+    Places are numbered per (draw, 3 digits of the digest); a draw only sums up 4,096 bucket sizes.
+    """
     index = dense_index(ids, KEY)
-    spread = index.select(KEY, "n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    place = F.row_number().over(Window.partitionBy("draw").orderBy(digest(seed, F.col("draw"), F.col(KEY)), KEY))
-    return spread.withColumn("_p", place).select("draw", KEY, F.when(F.col("_p") <= F.floor(F.col("n") / 2), F.lit(1)).otherwise(F.lit(2)).alias("half"))
+    shuffled = index.select(KEY, "n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+    shuffled = shuffled.withColumn("_h", digest(seed, F.col("draw"), F.col(KEY))).withColumn("_b", F.substring("_h", 1, 3))
+    earlier = Window.partitionBy("draw").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = shuffled.groupBy("draw", "_b").agg(F.count("*").alias("_n"))
+    sizes = sizes.select("draw", "_b", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_o"))
+    local = F.row_number().over(Window.partitionBy("draw", "_b").orderBy("_h", KEY))
+    placed = shuffled.withColumn("_rn", local).join(sizes, ["draw", "_b"])
+    first = F.col("_o") + F.col("_rn") <= F.floor(F.col("n") / 2)
+    return placed.select("draw", KEY, F.when(first, F.lit(1)).otherwise(F.lit(2)).alias("half"))
 
 
 def split_half(per_sequence: DataFrame, contrasts: Contrasts = DELTA, draws: int = 100, seed: int = 1) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -125,12 +126,16 @@ def forbidden_terms(df: DataFrame, column: str, pattern: str, replacement: str |
 
 
 def near_duplicate_titles(df: DataFrame, key: str, words: Column, threshold: float = 0.85) -> DataFrame:
-    """Near-duplicate pairs of token sets `(a, b, jaccard, copies_a, copies_b)`, exact.
+    """Token sets with a copy or a near-duplicate: `(id, copies, partner, jaccard)`, exact.
 
-    Equal token sets are collapsed to their lowest key first and reported once as a pair of a key with
-    itself, so a large group of copies costs one row. Of two different sets with Jaccard >= t one of
-    the |x| - ceil(t|x|) + 1 rarest tokens must be shared, and sizes differ by at most the factor t:
-    candidates meet on (rare token, size) and are verified on the full sets.
+    `id` is the lowest key of all texts with the same token set, `copies` their number, `partner` one set
+    with Jaccard >= threshold (NULL if there is none). One witness per set is reported, not all pairs: a
+    group of n near-copies gives n rows.
+
+    Of two sets with Jaccard >= t one of the |x| - ceil(t|x|) + 1 rarest tokens of each must be shared, and
+    their sizes differ by at most the factor t. Sets therefore meet on (rare token, size class). They are
+    first compared with the lowest set of each bucket only, which settles groups of near-copies in linear
+    time; the sets still without a partner are then compared with all sets of their buckets.
     """
     sets = spread(df).select(F.col(key), F.array_sort(F.array_distinct(words)).alias("_s")).filter(F.size("_s") > 0)
     groups = settle(sets.groupBy("_s").agg(F.min(key).alias("id"), F.count("*").alias("copies")))
@@ -139,21 +144,24 @@ def near_duplicate_titles(df: DataFrame, key: str, words: Column, threshold: flo
     tagged = groups.select("id", F.explode("_s").alias("t")).join(rarity, "t").groupBy("id").agg(
         F.sort_array(F.collect_list(F.struct("f", "t"))).alias("_o"))
     length = (F.size("_o") - F.ceil(F.size("_o") * threshold - 1e-9) + 1).cast("int")
-    head = tagged.select("id", F.size("_o").alias("n"), F.explode(F.slice("_o", F.lit(1), length)).alias("_p")).select("id", "n", "_p.t")
-    low = F.ceil(F.col("n") * threshold - 1e-9).cast("int")
-    left = head.select(F.col("id").alias("a"), "t", F.col("n").alias("na"))
-    right = head.select(F.col("id").alias("b"), "t", F.col("n").alias("nb"), F.explode(F.sequence(low, F.col("n"))).alias("na"))
-    # `a` is the shorter set, or the one with the lower key among equally long ones.
-    pairs = left.join(right, ["t", "na"]).filter((F.col("na") < F.col("nb")) | (F.col("a") < F.col("b"))).select("a", "b").distinct()
-    full = groups.select("id", "_s", "copies")
-    checked = pairs.join(full.select(F.col("id").alias("a"), F.col("_s").alias("_sa"), F.col("copies").alias("copies_a")), "a").join(
-        full.select(F.col("id").alias("b"), F.col("_s").alias("_sb"), F.col("copies").alias("copies_b")), "b")
-    common = F.size(F.array_intersect("_sa", "_sb"))
-    jaccard = common / (F.size("_sa") + F.size("_sb") - common)
-    near = checked.withColumn("jaccard", jaccard).filter(F.col("jaccard") >= threshold)
-    near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "jaccard",
-                       F.when(F.col("a") < F.col("b"), F.col("copies_a")).otherwise(F.col("copies_b")).alias("copies_a"),
-                       F.when(F.col("a") < F.col("b"), F.col("copies_b")).otherwise(F.col("copies_a")).alias("copies_b"))
-    same = groups.filter("copies > 1").select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("jaccard"),
-                                              F.col("copies").alias("copies_a"), F.col("copies").alias("copies_b"))
-    return same.unionByName(near)
+    # Sizes within the factor t fall into the same or the next class.
+    size_class = F.floor(F.log(F.size("_o").cast("double")) / (-math.log(threshold) * 1.0001)).cast("int")
+    head = settle(tagged.select("id", size_class.alias("g"), F.explode(F.slice("_o", F.lit(1), length)).alias("_p")).select("id", "g", "_p.t"))
+    full = groups.select("id", "_s")
+
+    def verified(seekers: DataFrame, others: DataFrame) -> DataFrame:
+        near = seekers.select(F.col("id").alias("a"), "t", F.explode(F.array(F.col("g") - 1, F.col("g"), F.col("g") + 1)).alias("g"))
+        pairs = near.join(others.select(F.col("id").alias("b"), "t", "g"), ["t", "g"]).filter("a <> b").select("a", "b").distinct()
+        both = pairs.join(full.select(F.col("id").alias("a"), F.col("_s").alias("_sa")), "a").join(full.select(F.col("id").alias("b"), F.col("_s").alias("_sb")), "b")
+        common = F.size(F.array_intersect("_sa", "_sb"))
+        scored = both.select("a", "b", (common / (F.size("_sa") + F.size("_sb") - common)).alias("jaccard")).filter(F.col("jaccard") >= threshold)
+        either = F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("partner")), F.struct(F.col("b").alias("id"), F.col("a").alias("partner"))))
+        return scored.select(either.alias("_p"), "jaccard").select("_p.*", "jaccard")
+
+    leaders = head.groupBy("t", "g").agg(F.min("id").alias("id"))
+    easy = settle(verified(head, leaders))
+    rest = head.join(easy.select("id").distinct(), "id", "left_anti")
+    found = easy.unionByName(verified(rest, head))
+    witness = found.groupBy("id").agg(F.min_by(F.struct("partner", "jaccard"), "partner").alias("_w"))
+    out = groups.join(witness, "id", "left").filter((F.col("copies") > 1) | F.col("_w").isNotNull())
+    return out.select("id", "copies", F.col("_w.partner").alias("partner"), F.col("_w.jaccard").alias("jaccard"))

@@ -35,17 +35,18 @@ def random_phase_stride(df: DataFrame, k: int, seed: int, spec: SequenceSpec) ->
     return required_rank(df, spec).filter(F.pmod(F.col("_k") - phase, F.lit(k)) == 0).drop("_k")
 
 
-def _hash_rank(df: DataFrame, n: int, seed: int, salts: int = 64) -> DataFrame:
+def _hash_rank(df: DataFrame, n: int, seed: int, block: int = 65_536) -> DataFrame:
     """Rows with the n lowest digests of each sequence, ranked from 1.
 
-    Each (sequence, salt) keeps its own n lowest first, so that no task sorts a whole sequence.
+    Each block of steps keeps its own n lowest first, so a task sorts at most `block` rows of a sequence,
+    and the final ranking only sees n rows per block. Spark applies both limits before the exchanges too.
     """
     h = digest(seed, F.col(KEY), F.col(STEP))
-    rows = df.withColumn("_h", h).withColumn("_salt", F.pmod(F.col(STEP), F.lit(salts)))
-    first = F.row_number().over(Window.partitionBy(KEY, "_salt").orderBy("_h", STEP))
+    rows = df.withColumn("_h", h).withColumn("_block", F.floor(F.col(STEP) / block))
+    first = F.row_number().over(Window.partitionBy(KEY, "_block").orderBy("_h", STEP))
     rows = rows.withColumn("_r", first).filter(F.col("_r") <= n)
     second = F.row_number().over(Window.partitionBy(KEY).orderBy("_h", STEP))
-    return rows.withColumn("_r", second).filter(F.col("_r") <= n).drop("_h", "_salt")
+    return rows.withColumn("_r", second).filter(F.col("_r") <= n).drop("_h", "_block")
 
 
 def sample_n_per_sequence(df: DataFrame, n: int, seed: int) -> DataFrame:

@@ -50,10 +50,14 @@ def verify_hash_chain(df: DataFrame, order: str, line: Column, stored: str = "pr
     return again.filter(~F.col("_stored").eqNullSafe(F.col("previous_sha256"))).drop("_stored", "line_sha256")
 
 
-def manifest_hash(documents: DataFrame, columns: Sequence[str], buckets: int = 4_096) -> DataFrame:
-    """Order-independent digest over (id, version, content digest), by buckets of the row digest."""
-    h = F.sha2(event_line(columns), 256)
-    rows = documents.select(h.alias("_h")).withColumn("_b", F.substring("_h", 1, 3))
+def manifest_hash(documents: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Order-independent digest over (id, version, content digest).
+
+    Equal rows are counted first, so that many copies make one entry; entries are then digested by the
+    first three digits of their own digest, and the 4,096 results once more.
+    """
+    copies = documents.groupBy(F.sha2(event_line(columns), 256).alias("_d")).agg(F.count("*").alias("_n"))
+    rows = copies.select(F.substring("_d", 1, 3).alias("_b"), F.concat_ws(":", "_d", F.col("_n").cast("string")).alias("_h"))
     some = rows.groupBy("_b").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("_h")), ""), 256).alias("_h"))
     pair = F.sort_array(F.collect_list(F.struct("_b", "_h")))
     return some.agg(F.sha2(F.array_join(F.transform(pair, lambda p: p["_h"]), ""), 256).alias("manifest_sha256"))

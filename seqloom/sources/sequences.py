@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from seqloom.functions.scalar import not_finite
 from seqloom.layout import KEY, NEED, SCORED, STEP, FeatureLayout, SequenceSpec
-from seqloom.operators.ordered import CHUNK, chunk_id
+from seqloom.operators.ordered import CHUNK
 
 
 def sequence_scan(spark: SparkSession, path: str, layout: FeatureLayout, spec: SequenceSpec, scored: bool,
@@ -171,14 +171,22 @@ def _text(c: Column) -> Column:
 def content_hash(df: DataFrame, columns: Sequence[str], spec: SequenceSpec, text: dict[str, Column] | None = None) -> DataFrame:
     """Digest per sequence that depends on content and step order, not on storage.
 
-    Rows are digested first, then chunks of at most `spec.chunk` row digests, then the chunk digests;
-    no task ever holds the rows of a whole sequence.
+    Rows are digested first, then chunks of at most `spec.chunk` digests, level by level, until one is
+    left; no task ever holds more than one chunk.
     """
     cells = [(text or {}).get(c, _text(F.col(c))) for c in columns]
     row = F.md5(F.concat_ws("|", F.col(STEP).cast("string"), *cells))
-    rows = df.select(KEY, STEP, chunk_id(spec).alias(CHUNK), row.alias("_h"))
-    chunks = _ordered_digest(rows, [KEY, CHUNK], STEP, "_h")
-    return _ordered_digest(chunks, [KEY], CHUNK, "_h").withColumnRenamed("_h", "digest")
+    return _digest_tree(df.select(KEY, F.col(STEP).alias("_i"), row.alias("_h")), spec).withColumnRenamed("_h", "digest")
+
+
+def _digest_tree(rows: DataFrame, spec: SequenceSpec) -> DataFrame:
+    """Digest of each sequence from its row digests, at least two levels deep."""
+    span, level = spec.length, 0
+    while span > spec.chunk or level == 0:
+        rows = rows.withColumn(CHUNK, F.floor(F.col("_i") / spec.chunk).cast("bigint"))
+        rows = _ordered_digest(rows, [KEY, CHUNK], "_i", "_h").withColumnRenamed(CHUNK, "_i")
+        span, level = -(-span // spec.chunk), level + 1
+    return _ordered_digest(rows, [KEY], "_i", "_h")
 
 
 def _ordered_digest(df: DataFrame, keys: Sequence[str], order: str, value: str) -> DataFrame:
@@ -189,8 +197,8 @@ def _ordered_digest(df: DataFrame, keys: Sequence[str], order: str, value: str)
 
 def mask_digest(df: DataFrame, spec: SequenceSpec, buckets: int = 4_096) -> DataFrame:
     """One digest over all (sequence, selected steps), by sequence buckets, then over the buckets."""
-    rows = df.filter(F.col(NEED) & F.col(SCORED)).select(KEY, STEP, chunk_id(spec).alias(CHUNK), F.col(STEP).cast("string").alias("_h"))
-    per = _ordered_digest(_ordered_digest(rows, [KEY, CHUNK], STEP, "_h"), [KEY], CHUNK, "_h")
+    rows = df.filter(F.col(NEED) & F.col(SCORED)).select(KEY, F.col(STEP).alias("_i"), F.col(STEP).cast("string").alias("_h"))
+    per = _digest_tree(rows, spec)
     per = per.withColumn("_bucket", F.pmod(F.col(KEY), F.lit(buckets)))
     by_bucket = _ordered_digest(per, ["_bucket"], KEY, "_h")
     total = by_bucket.withColumn("_all", F.lit(0))  # at most `buckets` rows

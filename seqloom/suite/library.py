@@ -233,11 +233,12 @@ def r06(s, d):
 
 
 @query("r07_near_duplicate_titles", f"""WITH ts AS (SELECT doc_id, list_sort(list_distinct({TOK})) AS st FROM documents), gr AS (SELECT st, min(doc_id) AS id, count(*) AS copies FROM ts WHERE len(st) > 0 GROUP BY st),
-tt AS (SELECT id, unnest(st) AS t FROM gr), pc AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM tt a JOIN tt b ON a.t = b.t AND a.id < b.id GROUP BY ALL)
-SELECT id AS a, id AS b, 1.0::DOUBLE AS jaccard, copies AS copies_a, copies AS copies_b FROM gr WHERE copies > 1
-UNION ALL SELECT a, b, {r('c / (len(x.st) + len(y.st) - c)')} AS jaccard, x.copies, y.copies FROM pc JOIN gr x ON x.id = a JOIN gr y ON y.id = b WHERE c / (len(x.st) + len(y.st) - c) >= 0.85""")
+tt AS (SELECT id, unnest(st) AS t FROM gr), pc AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM tt a JOIN tt b ON a.t = b.t AND a.id <> b.id GROUP BY ALL),
+nd AS (SELECT DISTINCT a AS id FROM pc JOIN gr x ON x.id = a JOIN gr y ON y.id = b WHERE c / (len(x.st) + len(y.st) - c) >= 0.85)
+SELECT gr.id, copies, nd.id IS NOT NULL AS near FROM gr LEFT JOIN nd ON nd.id = gr.id WHERE copies > 1 OR nd.id IS NOT NULL""")
 def r07(s, d):
-    return round_all(retrieval.near_duplicate_titles(table(s, d, "documents"), "doc_id", words()))
+    out = retrieval.near_duplicate_titles(table(s, d, "documents"), "doc_id", words())
+    return out.select("id", "copies", F.col("partner").isNotNull().alias("near"))
 
 
 @query("r08_duplicate_sources", """SELECT field, value, count(*) AS uses FROM (SELECT 'url' AS field, url AS value FROM pages UNION ALL SELECT 'page_id', page_id::VARCHAR FROM pages) GROUP BY ALL HAVING count(*) > 1

@@ -156,7 +156,7 @@ def s12(s, d):
     return sequences.mask_digest(seq(s, d), spec(s, d))
 
 
-@query("s13_manifest_hash", """WITH rows AS (SELECT sha256(doc_id::VARCHAR || '|' || lang || '|' || sha256(text)) AS h FROM documents),
+@query("s13_manifest_hash", """WITH rows AS (SELECT h || ':' || count(*) AS h FROM (SELECT sha256(doc_id::VARCHAR || '|' || lang || '|' || sha256(text)) AS h FROM documents) GROUP BY h),
 b AS (SELECT substr(h, 1, 3) AS b, sha256(string_agg(h, '' ORDER BY h)) AS h FROM rows GROUP BY 1)
 SELECT sha256(string_agg(h, '' ORDER BY b)) AS manifest_sha256 FROM b""")
 def s13(s, d):

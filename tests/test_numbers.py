@@ -226,9 +226,10 @@ def test_near_duplicates_equal_brute_force_with_many_copies(spark):
     first = {}
     for i, b in enumerate(bags):
         first.setdefault(b, i)
-    want = {(min(first[a], first[b]), max(first[a], first[b])) for a, b in itertools.combinations(set(bags), 2) if len(a & b) / len(a | b) >= 0.85}
-    assert {(r["a"], r["b"]) for r in got if r["a"] != r["b"]} == want
-    assert {r["a"]: r["copies_a"] for r in got if r["a"] == r["b"]} == {first[b]: bags.count(b) for b in set(bags) if bags.count(b) > 1}
+    near = {(x, y) for x, y in itertools.permutations(set(bags), 2) if len(x & y) / len(x | y) >= 0.85}
+    assert {r["id"] for r in got if r["partner"] is not None} == {first[x] for x, _ in near}
+    assert all((bags[r["id"]], bags[r["partner"]]) in near for r in got if r["partner"] is not None)
+    assert {r["id"]: r["copies"] for r in got if r["copies"] > 1} == {first[b]: bags.count(b) for b in set(bags) if bags.count(b) > 1}
 
 
 def test_vote_ties_go_to_the_best_ranked_model(spark):
