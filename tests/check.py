@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import sys
+import tempfile
 import time
 
 import duckdb
@@ -15,6 +16,9 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 def oracle_connection(sf_dir: str):
     con = duckdb.connect()
     con.execute("SET TimeZone='UTC'")
+    # Spill to scratch space and not into the working folder; refuse runaway joins.
+    con.execute(f"SET temp_directory='{tempfile.mkdtemp(prefix='spark-')}'")
+    con.execute("SET max_temp_directory_size='5GB'")
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
     return con
