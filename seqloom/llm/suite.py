@@ -6,12 +6,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import compression, context_tree, decontam, packing, secrets, simhash
+from seqloom.llm import compression, context_tree, decontam, language, licenses, packing, quality_rules, secrets, simhash, warc
 from seqloom.llm.common import crc_bucket, read_table
 
 TOKENIZER = "byte_bpe_50k.json"
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")).drop("rule_failed")
+
+
 def op2_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_tree.score(read_table(spark, sf_dir, "documents"))
 
@@ -24,10 +28,19 @@ def op3_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= compression.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.write(read_table(spark, sf_dir, "pages"), warc.archive_folder(spark))
+    return warc.read(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read_table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
@@ -42,6 +55,50 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(docs, secrets.fit(docs))
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    held = F.coalesce(crc_bucket("doc_id", 4) == 2, F.lit(True))
+    found = language.predict(docs, language.fit(docs, ~held))
+    return found.withColumn("held_out", held).select("doc_id", "held_out", "lang_pred", "score", "n_positions", "agreeing")
+
+
+#: Records by payload digest: base32 from five-bit groups of the SHA-1, the first page of a digest is the response.
+OP4_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS h FROM pages),
+bits AS (SELECT *, array_to_string(list_transform(range(1, 41), lambda i: lpad(bin(CAST('0x' || h[i] AS INTEGER)), 4, '0')), '') AS b FROM p),
+coded AS (SELECT page_id, n, array_to_string(list_transform(range(0, 32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[
+  CAST(list_sum(list_transform(range(0, 5), lambda k: CAST(b[5 * i + k + 1] AS INTEGER) * (1 << (4 - k)))) AS INTEGER) + 1]), '') AS digest FROM bits),
+first AS (SELECT digest, min(page_id) AS f FROM coded GROUP BY digest)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = f THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = f THEN NULL ELSE f END AS refers_to FROM coded JOIN first USING (digest)
+"""
+
+#: Measures by exploded windows; the binomial tail summed term by term.
+OP1_SQL = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(lang, '') AS s, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+wins AS (SELECT r, i, array_to_string(ws[i:i + 7], ' ') AS k FROM w, unnest(range(1, len(ws) - 6)) AS u(i)),
+twice AS (SELECT r, k FROM wins GROUP BY r, k HAVING count(*) > 1),
+rep AS (SELECT r, count(DISTINCT p) AS n FROM wins JOIN twice USING (r, k), unnest(range(i, i + 8)) AS v(p) GROUP BY r),
+f AS (SELECT doc_id, r, s, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+  CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, len(ls) AS n_lines,
+  CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words FROM w LEFT JOIN rep USING (r)),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f),
+v AS (SELECT r, s, base_failed, doc_id, unnest(['symbols', 'repeats', 'lines', 'long_words']) AS rule, unnest([n_symbols / greatest(word_chars, 1),
+  n_repeat_words / greatest(n_words, 1), n_dup_lines / greatest(n_lines, 1), least(word_chars / greatest(n_words, 1) / 50, 1)]) AS x FROM b),
+st AS (SELECT r, s, base_failed, doc_id, rule, least(CAST(ceil(x * 200.0) AS INTEGER), 200) AS step FROM v),
+lab AS (SELECT doc_id, min(quality) AS q FROM labels WHERE quality IN (0, 1) GROUP BY doc_id),
+cnt AS (SELECT s, rule, step, sum(q) AS good FROM st JOIN lab USING (doc_id) WHERE NOT base_failed GROUP BY ALL),
+grid AS (SELECT s, rule, g AS step FROM (SELECT DISTINCT s, rule FROM cnt), unnest(range(0, 201)) AS u(g)),
+cum AS (SELECT s, rule, step, coalesce(sum(good) OVER (PARTITION BY s, rule ORDER BY step DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k,
+  coalesce(sum(good) OVER (PARTITION BY s, rule), 0) AS n FROM grid LEFT JOIN cnt USING (s, rule, step)),
+pv AS (SELECT *, CASE WHEN k >= n * 0.005 THEN 1.0 ELSE list_sum(list_transform(range(0, CAST(k AS BIGINT) + 1), lambda j:   exp(lgamma(n + 1.0) - lgamma(j + 1.0) - lgamma(n - j + 1.0) + j * ln(0.005) + (n - j) * ln(0.995)))) END AS p FROM cum),
+bad AS (SELECT s, rule, max(CASE WHEN p > 0.05 / (4 * (SELECT count(DISTINCT s) FROM cnt)) THEN step ELSE -1 END) AS failed FROM pv GROUP BY s, rule),
+rej AS (SELECT DISTINCT r FROM st JOIN bad USING (s, rule) WHERE failed < 200 AND step > failed + 1)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rej.r IS NULL AS kept FROM b LEFT JOIN rej USING (r)
+"""
+
 #: Every window of an item joined to every place of a document that holds its words.
 OP5_SQL = r"""
 WITH item AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL),
@@ -58,10 +115,14 @@ FROM doc LEFT JOIN words USING (r) LEFT JOIN items USING (r)
 """
 
 QUERIES = {
+    "op1_quality_rules": (op1_quality_rules, OP1_SQL),
     "op2_context_tree": (op2_context_tree, None),
     "op3_compression_quality": (op3_compression_quality, None),
+    "op4_warc": (op4_warc, OP4_SQL),
     "op5_decontamination": (op5_decontamination, OP5_SQL),
+    "op6_licenses": (op6_licenses, None),
     "op7_packing": (op7_packing, None),
     "op8_simhash": (op8_simhash, None),
     "op9_secrets": (op9_secrets, None),
+    "op10_language": (op10_language, None),
 }
