@@ -2,8 +2,9 @@
 
 Texts are tokenised and followed by an end id. Runs of a full window become windows of their own; what remains of
 each document is a piece shorter than the window. Only the number of pieces of each length, at most `window - 1`
-counts whatever the size of the corpus, decides the packing: a bitset subset-sum over the lengths still in stock finds
-the multiset that fills a window closest to capacity, that multiset is used as often as the stock allows, and so on.
+counts whatever the size of the corpus, decides the packing: a window takes the longest length still in stock, a bitset
+subset-sum over the others finds the multiset that fills it closest to capacity, that content is used as often as the
+stock allows, and so on.
 Pieces are then numbered within their length by bucket counts and take their places from the plan by rank.
 
 Defined results: a null or empty text is one end id; repeated rows are packed each; an empty table packs nothing; other
@@ -90,16 +91,19 @@ def pieces(docs: DataFrame, path: str, window: int = 1024, end: int = 0) -> Data
 
 
 def fill_window(stock: dict[int, int], window: int) -> Counter:
-    """Multiset of lengths in stock whose sum is the largest possible up to `window`.
+    """Multiset with the longest length in stock whose sum is the largest possible up to `window`.
 
-    Lengths enter from the longest down; bit s of `reach[i]` tells that the first i lengths can make the sum s. The
-    counts are found by walking back from the best sum.
+    The longest piece is the hardest to place, so every window starts with one and the others fill what it leaves. They
+    enter from the longest down; bit s of `reach[i]` tells that the first i lengths can make the sum s. The counts are
+    found by walking back from the best sum.
     """
-    lengths = sorted(stock, reverse=True)
-    mask = (1 << (window + 1)) - 1
+    seed = max(stock)
+    room, stock = window - seed, stock | {seed: stock[seed] - 1}
+    lengths = sorted((k for k, n in stock.items() if n and k <= room), reverse=True)
+    mask = (1 << (room + 1)) - 1
     reach = [1]
     for length in lengths:
-        bits, left, part = reach[-1], min(stock[length], window // length), 1
+        bits, left, part = reach[-1], min(stock[length], room // length), 1
         # `left` copies in parts of 1, 2, 4, ... and the rest: every count up to `left` can be made.
         while left > 0:
             take = min(part, left)
@@ -107,10 +111,10 @@ def fill_window(stock: dict[int, int], window: int) -> Counter:
             left -= take
             part *= 2
         reach.append(bits)
-        if bits >> window & 1:
+        if bits >> room & 1:
             break
     best = reach[-1].bit_length() - 1
-    used: Counter = Counter()
+    used: Counter = Counter({seed: 1})
     for i in range(len(reach) - 1, 0, -1):
         length = lengths[i - 1]
         while not reach[i - 1] >> best & 1:

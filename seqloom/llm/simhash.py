@@ -6,6 +6,9 @@ blocks. Inside a route the fingerprints are sorted by Gray rank; runs of neighbo
 their members share, nodes become nodes of a higher level, and a pair of nodes is given up as soon as the
 differences in the bits both share exceed the distance.
 
+The operator over similarity (`similar_classes`, `keep_first`) adds fingerprints of sampled shingles, because 64 bits of all shingles tell
+texts of similarity 0.8 from others only at distances that no index prunes; every candidate is then checked.
+
 Defined results: a null or empty text has no words and fingerprint zero, and is linked like any other; repeated
 rows stay, each with the same component; an empty table gives an empty result; other columns are not read.
 """
@@ -217,28 +220,117 @@ def components(docs: DataFrame, width: int = 3, distance: int = 3) -> DataFrame:
     return join_heavy(stored, classes.select("fp", "component_id"), classes.select("fp", "copies"), "fp", "copies")
 
 
-def keep_first(docs: DataFrame, width: int = 3, distance: int = 3) -> DataFrame:
-    """One row, with all its columns, of each component: that of the smallest id, null ids last.
+#: Sampled fingerprints per text, shingles voting in each, and shingle digests kept to estimate the similarity of two texts.
+SAMPLES, VOTERS, SKETCH = 12, 3, 256
+_MIX = np.random.default_rng(8).integers(1, 1 << 63, SAMPLES, dtype=np.uint64) | np.uint64(1)
 
-    A row is known by its id and the digest of its text, so texts that share an id are told apart; of equal rows one stays.
-    """
-    marked = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), "_digest": F.xxhash64(F.coalesce("text", F.lit("")))})
-    stored = settle(digested(marked, width))
-    codes = settle(stored.groupBy("fp").agg(F.min(F.struct("doc_id", "digest")).alias("first")))
-    roots = min_label(links(codes, distance)).withColumnRenamed("node", "fp")
-    first = codes.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
-    kept = first.select(F.col("first.doc_id").alias("_id"), F.col("first.digest").alias("_digest"))
-    return marked.join(kept, ["_id", "_digest"], "left_semi").dropDuplicates(["_id", "_digest"]).select(*docs.columns)
 
+def shingle_digests(text: bytes, width: int) -> tuple[int, np.ndarray]:
+    """Digest of the whole word sequence, and the distinct digests of its shingles in order."""
+    words = text.translate(LOWER).split()
+    joined = b" ".join(words)
+    whole = xxhash.xxh64_intdigest(joined, 7)
+    if not words:
+        return whole, np.zeros(0, np.uint64)
+    if len(words) <= width:
+        return whole, np.array([xxhash.xxh64_intdigest(joined, 42)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))[:len(words) - width + 1]
+    digest = xxhash.xxh64_intdigest
+    found = (digest(joined[a:b], 42) for a, b in zip(starts.tolist(), ends[width - 1:].tolist()))
+    return whole, np.fromiter(found, np.uint64, len(starts))
 
-def digested(marked: DataFrame, width: int) -> DataFrame:
-    """`(doc_id, digest, fp)` of rows that carry `_id` and `_digest`."""
+
+def _vote(digests: np.ndarray) -> int:
+    total = np.unpackbits(digests.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * total > len(digests), bitorder="little").tobytes(), "little")
+
+
+def signature(text: bytes, width: int) -> tuple[int, int, list[int], bytes, int]:
+    """Sequence digest, fingerprint, sampled fingerprints, sketch and number of distinct shingles of a text.
+
+    A sampled fingerprint lets only the `VOTERS` shingles vote that come first in an order of its own, so two texts of
+    similarity s share one with a probability near s to the power `VOTERS`.
+    """
+    whole, every = shingle_digests(text, width)
+    if not len(every):
+        return whole, 0, [0] * SAMPLES, b"", 0
+    once = np.unique(every)
+    voters = min(VOTERS, len(once))
+    sampled = []
+    for mix in _MIX:
+        mixed = (once * mix) ^ ((once * mix) >> np.uint64(29))
+        sampled.append(_vote(np.sort(once[np.argpartition(mixed, voters - 1)[:voters]])))
+    return whole, _vote(every), sampled, (once[:SKETCH] >> np.uint64(32)).astype("<u4").tobytes(), len(once)
+
+
+def estimate(a: bytes, b: bytes, n: int, m: int) -> float:
+    """Jaccard similarity from the smallest digests of two texts; exact when both hold all their digests."""
+    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
+    if not len(x) or not len(y):
+        return float(n == m)
+    union = np.union1d(x, y)
+    if n > SKETCH or m > SKETCH:
+        union = union[:SKETCH]
+    return float(np.isin(union, np.intersect1d(x, y)).sum() / len(union))
+
+
+def similar_classes(marked: DataFrame, similarity: float = 0.8, width: int = 5, distance: int = 3) -> DataFrame:
+    """`(doc_id, digest, seq, root)` of rows that carry `_near_id` and `_near_digest`: texts whose shingle sets have at least the given
+    similarity, directly or through others, share a root.
+
+    Candidates share a sampled fingerprint, or have fingerprints of all shingles within `distance` bits. Each text meets two
+    representatives of every group it falls in, chosen anew in each group, so a group of any size costs two
+    comparisons per member. All candidates are checked against the similarity.
+    """
     def each(ids, texts):
-        found = np.array([fingerprint(t, width) for t in texts], np.uint64).view(np.int64)
-        return {"doc_id": [i["_id"] for i in ids], "digest": [i["_digest"] for i in ids], "fp": found}
+        names = ("seq", "fp", "sampled", "sketch", "n")
+        found = list(zip(*[signature(t, width) for t in texts])) or [[]] * 5
+        out = dict(zip(names, found))
+        out["seq"], out["fp"] = (np.array(out[k], np.uint64).view(np.int64) for k in ("seq", "fp"))
+        out["sampled"] = [np.array(v, np.uint64).view(np.int64) for v in out["sampled"]]
+        return out | {"doc_id": [i["_near_id"] for i in ids], "digest": [i["_near_digest"] for i in ids]}
+
+    rows = marked.select(F.struct("_near_id", "_near_digest").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    stored = settle(map_texts(spread(rows), "doc_id long, digest long, seq long, fp long, sampled array<long>, sketch binary, n long", each))
+    classes = settle(stored.groupBy("seq").agg(F.first("fp").alias("fp"), F.first("sampled").alias("sampled"), F.first("sketch").alias("sketch"), F.first("n").alias("n")))
+    groups = classes.select("seq", F.posexplode("sampled").alias("t", "k"))
+    pick = [F.min_by("seq", F.xxhash64("seq", "t", F.lit(i))).alias(f"r{i}") for i in (0, 1)]
+    heads = groups.groupBy("t", "k").agg(*pick, F.count("*").alias("members")).filter("members > 1")
+    joined = groups.join(heads.drop("members"), ["t", "k"])
+    pairs = [joined.select("seq", F.col(f"r{i}").alias("other")) for i in (0, 1)]
+    near = links(classes.select("fp").distinct(), distance)
+    by_fp = classes.groupBy("fp").agg(F.min("seq").alias("head"))
+    pairs.append(near.join(by_fp.select(F.col("fp").alias("a"), F.col("head").alias("seq")), "a").join(by_fp.select(F.col("fp").alias("b"), F.col("head").alias("other")), "b").select("seq", "other"))
+    pairs.append(classes.join(by_fp, "fp").select("seq", F.col("head").alias("other")))
+    both = union_all(pairs).filter("seq <> other").select(F.least("seq", "other").alias("a"), F.greatest("seq", "other").alias("b")).distinct()
+    sketches = classes.select("seq", "sketch", "n")
+    full = both.join(sketches.toDF("a", "sa", "na"), "a").join(sketches.toDF("b", "sb", "nb"), "b")
+    # The smaller set over the larger bounds the similarity from above.
+    full = full.filter(F.least("na", "nb") >= similarity * F.greatest("na", "nb"))
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, x, y, n, m = (batch.column(c).to_pylist() for c in ("a", "b", "sa", "sb", "na", "nb"))
+            good = [i for i in range(len(a)) if estimate(x[i], y[i], n[i], m[i]) >= similarity]
+            yield pa.RecordBatch.from_arrays([pa.array([v[i] for i in good], pa.int64()) for v in (a, b)], names=["a", "b"])
+
+    roots = min_label(full.select("a", "b", "sa", "sb", "na", "nb").mapInArrow(check, "a long, b long")).withColumnRenamed("node", "seq")
+    named = classes.select("seq").join(roots, "seq", "left").withColumn("root", F.coalesce("root", "seq"))
+    sizes = stored.groupBy("seq").agg(F.count("*").alias("copies"))
+    return join_heavy(stored.select("doc_id", "digest", "seq"), named, sizes, "seq", "copies")
+
+
+def keep_first(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
+    """One row, with all its columns, of each group of near duplicates: that of the smallest id, null ids last.
 
-    rows = marked.select(F.struct("_id", "_digest").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    return map_texts(spread(rows), "doc_id long, digest long, fp long", each)
+    A row is known by its id and the digest of its text, so texts that share an id are told apart; of equal rows one stays.
+    """
+    marked = docs.withColumns({"_near_id": F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), "_near_digest": F.xxhash64(F.coalesce("text", F.lit("")))})
+    found = similar_classes(marked, similarity, width)
+    kept = found.groupBy("root").agg(F.min(F.struct("doc_id", "digest")).alias("first"))
+    kept = kept.select(F.col("first.doc_id").alias("_near_id"), F.col("first.digest").alias("_near_digest"))
+    return marked.join(kept, ["_near_id", "_near_digest"], "left_semi").dropDuplicates(["_near_id", "_near_digest"]).select(*docs.columns)
 
 
 def brute_components(texts: list[tuple[int, bytes]], width: int = 3, distance: int = 3) -> dict[int, tuple[int, int]]:
