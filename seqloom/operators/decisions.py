@@ -47,8 +47,9 @@ def deltas_vs_reference(df: DataFrame, run: str, parent: str, metric: str, root:
     parents = df.select(F.col(run).alias(parent), F.col(metric).alias("_p"))
     out = df.join(parents, parent, "left").withColumn("delta_parent", F.col(metric) - F.col("_p")).drop("_p")
     if root is not None:
-        one = root.select(F.col(metric).alias("_r"))
-        out = out.crossJoin(F.broadcast(one.limit(1))).withColumn("delta_root", F.col(metric) - F.col("_r")).drop("_r")
+        # One row by aggregation; several root rows have no single difference.
+        one = root.agg(F.when(F.count("*") > 1, F.raise_error(F.lit("the root table has several rows")).cast("double")).otherwise(F.first(metric)).alias("_r"))
+        out = out.crossJoin(F.broadcast(one)).withColumn("delta_root", F.col(metric) - F.col("_r")).drop("_r")
     return out
 
 

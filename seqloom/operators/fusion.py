@@ -65,11 +65,11 @@ def _is_number(text: str) -> bool:
     return True
 
 
-def usable_models(models: DataFrame) -> DataFrame:
+def usable_models(models: DataFrame, most: int = MAX_CANDIDATES) -> DataFrame:
     """Drop placeholder metrics (negative, lower is better) and keep the best-placed candidates, re-ranked."""
     kept = models.filter(F.col("maximize") | ~F.col("metric").cast("string").startswith("-"))  # also drops -0.0
     place = F.row_number().over(Window.orderBy("rank")) - 1  # one row per model
-    return kept.withColumn("rank", place).filter(F.col("rank") < MAX_CANDIDATES)
+    return kept.withColumn("rank", place).filter(F.col("rank") < most)
 
 
 def fusion_weights(models: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -85,12 +85,12 @@ def fusion_weights(models: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return raw.withColumn("weight", F.when(total == 0, F.lit(1.0) / F.col("_n")).otherwise(F.col("_raw") / total)).drop("_raw", "_n")
 
 
-def ensemble_members(models: DataFrame) -> DataFrame:
+def ensemble_members(models: DataFrame, sizes: Sequence[int] = SIZES, every_up_to: int = SMALL) -> DataFrame:
     """`(size, model, rank, ...)`: one group of members per ensemble size."""
     counted = models.withColumn("_n", F.count("*").over(Window.partitionBy()))  # one row per model
-    sizes = F.when(F.col("_n") <= SMALL, F.sequence(F.lit(1), F.col("_n").cast("int"))).otherwise(
-        F.filter(F.array(*[F.lit(s) for s in SIZES]), lambda s: s <= F.col("_n").cast("int")))
-    return counted.withColumn("size", F.explode(sizes)).filter(F.col("rank") < F.col("size")).drop("_n")
+    chosen = F.when(F.col("_n") <= every_up_to, F.sequence(F.lit(1), F.col("_n").cast("int"))).otherwise(
+        F.filter(F.array(*[F.lit(s) for s in sizes]), lambda s: s <= F.col("_n").cast("int")))
+    return counted.withColumn("size", F.explode(chosen)).filter(F.col("rank") < F.col("size")).drop("_n")
 
 
 def _weighted(pred: DataFrame, weights: DataFrame) -> DataFrame:
@@ -107,11 +107,11 @@ def fuse_average(pred: DataFrame, weights: DataFrame, by: Sequence[str] = ("id",
 def fuse_vote(pred: DataFrame, weights: DataFrame, by: Sequence[str] = ("id",), text: bool = False) -> DataFrame:
     """Weighted majority per cell; ties go to the value of the best-ranked model.
 
-    Rows are placed by cell once; both aggregations then run without another exchange.
+    Weights are summed per cell and value inside the tasks before anything moves.
     """
     value = F.col("value").cast("string")
     value = F.trim(F.coalesce(value, F.lit(""))) if text else F.coalesce(value, F.lit("nan"))
-    w = _weighted(pred.repartition(*by).withColumn("value", value), weights)
+    w = _weighted(pred.withColumn("value", value), weights)
     votes = w.groupBy(*by, "value").agg(F.sum("weight").alias("_v"), F.min("rank").alias("_r"))
     # Vote sums are compared at 12 digits: their last bit depends on the order of addition.
     best = F.max_by("value", F.struct(F.round("_v", 12), -F.col("_r")))
@@ -121,21 +121,30 @@ def fuse_vote(pred: DataFrame, weights: DataFrame, by: Sequence[str] = ("id",),
 def fuse_cellwise(pred: DataFrame, weights: DataFrame, by: Sequence[str] = ("id",)) -> DataFrame:
     """Vote per token position, then join the winners with spaces; unanimous texts are kept as they are.
 
-    Rows are placed by cell once and all aggregations keep that placement. The whole text takes part as
-    position 0: if it has a single distinct value, the models agree. Positions without any token do not
-    occur.
+    The predictions of a cell, at most one per model, meet in one aggregate; the vote is array work on them, so no row per
+    token is made. Positions without any token do not occur.
     """
     text = F.coalesce(F.col("value").cast("string"), F.lit(""))
-    w = _weighted(pred.repartition(*by).withColumn("value", text), weights)
-    parts = F.concat(F.array(F.col("value")), _words(F.col("value")))
-    tokens = w.select(*by, "weight", "rank", F.posexplode(parts).alias("pos", "token"))
-    votes = tokens.groupBy(*by, "pos", "token").agg(F.sum("weight").alias("_v"), F.min("rank").alias("_r"))
-    best = votes.groupBy(*by, "pos").agg(F.max_by("token", F.struct(F.round("_v", 12), -F.col("_r"))).alias("token"), F.count("*").alias("k"))
-    # At most one entry per token of a text.
-    cells = best.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("pos", "token", "k"))).alias("_c"))
-    c = F.col("_c")
-    fused = F.array_join(F.transform(F.slice(c, 2, F.size(c)), lambda x: x["token"]), " ")
-    return cells.select(*by, F.when(c[0]["k"] == 1, c[0]["token"]).otherwise(fused).alias("value"))
+    w = _weighted(pred.withColumn("value", text), weights)
+    cells = w.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("rank", "weight", "value"))).alias("_c"))
+    cells = cells.withColumn("_k", F.size(F.array_distinct(F.transform("_c", lambda x: x["value"]))))
+    split = F.when(F.col("_k") > 1, F.transform("_c", lambda x: F.struct(x["rank"].alias("r"), x["weight"].alias("w"), _words(x["value"]).alias("t"))))
+    cells = cells.withColumn("_t", split).withColumn("_m", F.array_max(F.transform("_t", lambda x: F.size(x["t"]))))
+
+    def winner(pos: Column) -> Column:
+        here = F.filter(F.transform("_t", lambda x: F.struct(x["r"].alias("r"), x["w"].alias("w"), F.get(x["t"], pos).alias("t"))), lambda x: x["t"].isNotNull())
+
+        def tally(token: Column) -> Column:
+            mine = F.filter(here, lambda x: x["t"] == token)
+            total = F.aggregate(mine, F.lit(0.0), lambda a, x: a + x["w"])
+            # Vote sums are compared at 12 digits: their last bit depends on the order of addition.
+            return F.struct(F.round(total, 12).alias("v"), (-F.array_min(F.transform(mine, lambda x: x["r"]))).alias("r"), token.alias("t"))
+
+        return F.array_max(F.transform(F.array_distinct(F.transform(here, lambda x: x["t"])), tally))["t"]
+
+    places = F.when(F.col("_m") > 0, F.sequence(F.lit(0), F.col("_m") - 1)).otherwise(F.array().cast("array<int>"))
+    fused = F.array_join(F.transform(places, winner), " ")
+    return cells.select(*by, F.when(F.col("_k") == 1, F.col("_c")[0]["value"]).otherwise(fused).alias("value"))
 
 
 def row_normalize(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -144,9 +153,9 @@ def row_normalize(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.withColumns({c: F.when(F.abs(total) > SUM_EPS, F.col(c) / total).otherwise(F.col(c)) for c in columns})
 
 
-def ensemble_sweep(pred: DataFrame, models: DataFrame) -> DataFrame:
+def ensemble_sweep(pred: DataFrame, models: DataFrame, most: int = MAX_CANDIDATES, sizes: Sequence[int] = SIZES, every_up_to: int = SMALL) -> DataFrame:
     """Averages of all ensemble sizes from one shuffle: `(size, id, value)`."""
-    weights = fusion_weights(ensemble_members(usable_models(models)), ["size"])
+    weights = fusion_weights(ensemble_members(usable_models(models, most), sizes, every_up_to), ["size"])
     return fuse_average(pred, weights, ["size", "id"])
 
 

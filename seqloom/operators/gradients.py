@@ -7,6 +7,8 @@ they add over sequences like the six score sums, and the gradient is arithmetic
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 from seqloom.functions.scalar import clip, column
 from seqloom.layout import KEY, SequenceSpec
 from seqloom.operators.resampling import bootstrap_counts, resampled_sums
+from seqloom.operators.ridge import present
 from seqloom.operators.sampling import required_rank
 from seqloom.operators.scoring import SUMS, moments
 from seqloom.session import settle
@@ -25,15 +28,21 @@ CROSS = ("f0", "fy", "fp")
 
 def gradient_moments(df: DataFrame, features: Sequence, base: Sequence, targets: Sequence[str] = ("t0", "t1"),
                      by: Sequence[str] = (KEY,), focus=None) -> DataFrame:
-    """Long table `(by..., target, feature, f0, fy, fp)`; feature products are matrix products per task."""
+    """Long table `(by..., target, feature, f0, fy, fp)`; feature products are matrix products per task.
+
+    A row with a NULL or NaN feature is left out; a NULL or NaN target, prediction or focus leaves it out for that target.
+    """
     keys = list(by)
-    vector = F.array(*[column(f).cast("double") for f in features])
+    parts = [column(f).cast("double") for f in features]
+    vector = F.array(*parts)
+    whole = reduce(and_, [present(c) for c in parts], F.lit(True))
     cols = [F.col(k) for k in keys]
     for i, (t, p) in enumerate(zip(targets, base)):
         w = F.abs(clip(t)) * (focus if focus is not None else F.lit(1.0))
-        active = F.when(F.abs(column(p)) < 2, w).otherwise(F.lit(0.0))
-        cols += [active.alias(f"_a{i}"), (active * clip(t)).alias(f"_y{i}"), (active * clip(p)).alias(f"_p{i}")]
-    rows = df.select(*cols, vector.alias("_f"))
+        usable = present(F.col(t)) & present(column(p)) & present(w)
+        active = F.when(usable & (F.abs(column(p)) < 2), w).otherwise(F.lit(0.0))
+        cols += [active.alias(f"_a{i}"), *[F.when(active == 0, F.lit(0.0)).otherwise(active * clip(c)).alias(f"_{k}{i}") for k, c in (("y", t), ("p", p))]]
+    rows = df.filter(whole).select(*cols, vector.alias("_f"))
     width, count = len(features), len(targets)
     key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema) if keys else ""
 
@@ -53,7 +62,7 @@ def gradient_moments(df: DataFrame, features: Sequence, base: Sequence, targets:
             groups = pdf.groupby(keys, sort=False) if keys else [((), pdf)]
             for key, part in groups:
                 key = key if isinstance(key, tuple) else (key,)
-                f = np.vstack(part["_f"].to_numpy())
+                f = np.concatenate(part["_f"].to_numpy()).astype(float).reshape(len(part), width)
                 sums = np.stack([part[f"_{k}{i}"].to_numpy(float) @ f for i in range(count) for k in "ayp"])
                 total[key] = sums if key not in total else total[key] + sums
             if len(total) > 512:  # keep the state small where sequences are not clustered
@@ -63,8 +72,8 @@ def gradient_moments(df: DataFrame, features: Sequence, base: Sequence, targets:
             yield emit(total)
 
     schema = (key_schema + ", " if key_schema else "") + "target string, feature int, f0 double, fy double, fp double"
-    parts = rows.mapInPandas(run, schema)
-    return parts.groupBy(*keys, "target", "feature").agg(*[F.sum(c).alias(c) for c in CROSS])
+    sums = rows.mapInPandas(run, schema)
+    return sums.groupBy(*keys, "target", "feature").agg(*[F.sum(c).alias(c) for c in CROSS])
 
 
 def wp_gradient(stats: DataFrame, cross: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -121,9 +121,15 @@ def _prefix_short(df: DataFrame, values: dict[str, tuple[Column, float]], key: s
     return spread.withColumns(out).filter(F.col("_l") == here).drop("_l")
 
 
+def inside(value: Column, spec: SequenceSpec) -> Column:
+    """The value, or an error on a row past `spec.length`: carried states are planned for that many steps only."""
+    note = F.lit(f"a step lies at or past the declared length {spec.length}; raise SequenceSpec.length")
+    return F.when(F.col(STEP) >= spec.length, F.raise_error(note).cast("double")).otherwise(value)
+
+
 def decayed_sum(df: DataFrame, values: dict[str, tuple[object, float]], spec: SequenceSpec) -> DataFrame:
     """Add one column per entry `(value, decay)`: s[t] = decay * s[t-1] + value[t], s[-1] = 0."""
-    plain = {n: (column(v), d) for n, (v, d) in values.items() if d != 0.0}
+    plain = {n: (inside(column(v), spec), d) for n, (v, d) in values.items() if d != 0.0}
     out = _prefix(df, plain, KEY, STEP, spec, spec.length) if plain else df
     for n in plain:
         out = out.withColumnRenamed(f"{n}_state", n)

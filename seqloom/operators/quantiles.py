@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.functions.scalar import column, search_sorted
+from seqloom.session import settle
 
 BINS = 4_096
 SMALL = 4_096  # distinct values of one histogram bin that the driver may look at
@@ -20,9 +21,12 @@ def _values_at(values: DataFrame, ranks: list[int], lo: float, hi: float) -> dic
         return dict.fromkeys(ranks, lo)
     inside = values.filter((F.col("v") >= lo) & (F.col("v") <= hi))
     width = (hi - lo) / BINS
-    if width <= 0.0 or math.isinf(width):
-        width = math.ulp(lo)
-    cell = F.least(F.floor((F.col("v") - lo) / width), F.lit(BINS - 1))
+    place = (F.col("v") - lo) / (width if width > 0.0 else math.ulp(lo))
+    if math.isinf(width):
+        # The range itself is no double: scale both ends first.
+        width = hi / BINS - lo / BINS
+        place = F.col("v") / width - lo / width
+    cell = F.least(F.floor(place), F.lit(BINS - 1))
     hist = inside.groupBy(cell.alias("b")).agg(F.count("*").alias("n"), F.min("v").alias("a"), F.max("v").alias("z")).collect()
     out: dict[int, float] = {}
     below = 0
@@ -49,9 +53,10 @@ def exact_quantiles(df: DataFrame, value, probs: Sequence[float]) -> list[float]
     """Linearly interpolated quantiles.
 
     Each pass is one aggregation into at most 4,096 bins; only bins that hold a wanted rank are opened
-    again. No task or driver ever holds the values themselves, and repeated values cost nothing extra.
+    again. No task or driver ever holds the values themselves, and repeated values cost nothing extra. NULL, NaN and
+    infinite values are left out. The narrow column is stored once, so that no pass runs the input's plan again.
     """
-    values = df.select(column(value).cast("double").alias("v")).filter(F.col("v").isNotNull())
+    values = settle(df.select(column(value).cast("double").alias("v")).filter("v > double('-Infinity') and v < double('Infinity')"))
     lo, hi, n = values.agg(F.min("v"), F.max("v"), F.count("*")).first()
     if n == 0:
         return [math.nan] * len(probs)

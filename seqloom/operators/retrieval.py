@@ -18,7 +18,7 @@ SYNONYMS = {
     "magnitude": "nonlinear", "online": "incremental", "runtime": "inference",
 }
 K1, B, SECONDARY = 1.2, 0.75, 0.5  # Fixed values: ranking constants and the weight of secondary terms.
-QUERY_LIMIT = 4_096  # query vectors shipped to every task
+QUERY_BLOCK = 1_024  # query vectors held against one batch of rows at a time
 
 
 def tokens(text: Column, synonyms: dict[str, str] | None = None) -> Column:
@@ -65,28 +65,36 @@ def top_k(scored: DataFrame, by: str, key: str, k: int, score: str = "score", as
 def vector_knn(vectors: DataFrame, key: str, embedding: str, queries: dict[str, Sequence[float]], k: int) -> DataFrame:
     """Exact nearest neighbours `(query, key, distance2, rank)` by squared Euclidean distance.
 
-    A task computes all its distances as one matrix product per batch and keeps its own k nearest per
-    query, so neither pairs nor vectors are shuffled.
+    A task computes |x|^2 + |q|^2 - 2 x.q as one matrix product per batch and block of queries, takes every row within the
+    k-th distance (with a margin for rounding), computes these exactly and keeps its own k nearest per query, so neither
+    pairs nor vectors are shuffled. Any number of queries works; they go to the tasks as one broadcast array.
     """
-    if len(queries) > QUERY_LIMIT:
-        raise ValueError("split the queries: too many to ship to every task")
     names = list(queries)
-    q = np.array([queries[n] for n in names], dtype=float)
+    shared = vectors.sparkSession.sparkContext.broadcast(np.array([queries[n] for n in names], dtype=float).reshape(len(names), -1))
     kind = dict(vectors.dtypes)[key]
 
     def run(batches):
-        best: dict[str, pd.DataFrame] = {}
+        q = shared.value
+        length = (q**2).sum(1)
+        best = [(np.zeros(0), np.zeros(0, object)) for _ in names]
         for pdf in batches:
-            x = np.vstack(pdf[key + "_e"].to_numpy()).astype(float)
             ids = pdf[key].to_numpy()
-            for i, n in enumerate(names):
-                d = ((x - q[i]) ** 2).sum(1)
-                take = np.lexsort((ids, d))[:k]
-                part = pd.DataFrame({"query": n, key: ids[take], "distance2": d[take]})
-                old = best.get(n)
-                both = part if old is None else pd.concat([old, part]).sort_values(["distance2", key]).head(k)
-                best[n] = both
-        yield from best.values()
+            x = np.concatenate(pdf[key + "_e"].to_numpy()).astype(float).reshape(len(ids), -1)
+            square = (x**2).sum(1)
+            for low in range(0, len(names), QUERY_BLOCK):
+                block = q[low:low + QUERY_BLOCK]
+                rough = square[:, None] + length[None, low:low + QUERY_BLOCK] - 2.0 * (x @ block.T)
+                last = min(k, len(ids)) - 1
+                bound = np.partition(rough, last, axis=0)[last] + 1e-9 * (square.max() + length[low:low + QUERY_BLOCK] + 1.0)
+                for i in range(len(block)):
+                    near = np.flatnonzero(rough[:, i] <= bound[i])
+                    d = np.concatenate([best[low + i][0], ((x[near] - block[i]) ** 2).sum(1)])
+                    owner = np.concatenate([best[low + i][1], ids[near]])
+                    keep = np.lexsort((owner, d))[:k]
+                    best[low + i] = d[keep], owner[keep]
+        for name, (d, owner) in zip(names, best):
+            if len(d):
+                yield pd.DataFrame({"query": name, key: owner, "distance2": d})
 
     near = spread(vectors).select(key, F.col(embedding).alias(key + "_e")).mapInPandas(run, f"query string, `{key}` {kind}, distance2 double")
     return top_k(near, "query", key, k, "distance2", ascending=True)

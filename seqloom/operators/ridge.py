@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -52,14 +54,22 @@ class Gram:
         return float((self.rr - 2.0 * coef @ self.xr + coef @ self.xx @ coef) / self.mass)
 
 
+def present(c: Column) -> Column:
+    """Neither NULL nor NaN."""
+    return c.isNotNull() & ~F.isnan(c.cast("double"))
+
+
 def gram_table(df: DataFrame, features: Sequence, responses: dict[str, Response], by: Sequence[str] = ()) -> DataFrame:
     """Long sums `(by..., response, i, j, value)` for j >= i.
 
     Index d stands for the response: (i, d) is X'Wr and (d, d) is r'Wr; (d, d+1) is the weight and
-    (d, d+2) the number of rows.
+    (d, d+2) the number of rows. A row with a NULL or NaN feature, response or weight is left out of every sum of that
+    response, its count of rows included.
     """
     d = len(features)
     cols = [column(f).cast("double") for f in features]
+    whole = reduce(and_, [present(c) for c in cols], F.lit(True))
+    responses = {n: (v, F.when(whole & present(v) & present(w), w.cast("double"))) for n, (v, w) in responses.items()}
     if d <= NARROW:
         aggs = []
         for name, (value, weight) in responses.items():
@@ -85,11 +95,16 @@ def gram_table(df: DataFrame, features: Sequence, responses: dict[str, Response]
         for pdf in batches:
             for key, part in (pdf.groupby(keys, sort=False) if keys else [((), pdf)]):
                 key = key if isinstance(key, tuple) else (key,)
-                x = np.vstack(part["_x"].to_numpy())
+                x = np.concatenate(part["_x"].to_numpy()).astype(float).reshape(len(part), d)
                 for i in range(len(names)):
                     v, w = part[f"_v{i}"].to_numpy(float), part[f"_w{i}"].to_numpy(float)
-                    full = np.column_stack([x, v])
+                    used = ~np.isnan(w)
+                    v, w = v[used], w[used]
+                    full = np.column_stack([x[used], v])
+                    # An infinity can still cancel to NaN, which a sum of columns would keep and Arrow would drop.
                     sums = np.concatenate([(full.T @ (w[:, None] * full))[upper], [w.sum(), float(len(w))]])
+                    if np.isnan(sums).any():
+                        raise ValueError(f"sums of {names[i]} are not numbers")
                     token = (key, i)
                     total[token] = sums if token not in total else total[token] + sums
         for (key, i), sums in total.items():
@@ -109,6 +124,8 @@ def collect_grams(table: DataFrame, d: int, by: Sequence[str] = ()) -> dict[tupl
         key = (*[row[b] for b in by], row["response"])
         g = out.setdefault(key, Gram(np.zeros((d, d)), np.zeros(d), 0.0, 0.0, 0.0))
         i, j, v = row["i"], row["j"], row["value"]
+        if v is None or v != v:
+            raise ValueError(f"no usable sums for {key}")
         if j < d:
             g.xx[i, j] = g.xx[j, i] = v
         elif j == d and i < d:

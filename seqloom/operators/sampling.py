@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from seqloom.functions.hashing import coin, digest, digest_int
 from seqloom.layout import KEY, NEED, STEP, SequenceSpec
 from seqloom.operators.ordered import per_sequence, running_sum
+from seqloom.session import settle
 
 
 def with_rank(df: DataFrame, mark: Column, spec: SequenceSpec, out: str = "_k") -> DataFrame:
@@ -123,14 +124,16 @@ def leakage(a: DataFrame, b: DataFrame) -> DataFrame:
 def sequence_places(ids: DataFrame) -> DataFrame:
     """Distinct ids with their index in id order.
 
-    Ids are integers: blocks of 65,536 consecutive ids are counted first, then numbered on their own.
+    Range partitioning puts neighbouring ids together however sparse they are; rows are numbered inside their partition
+    and moved by the number of ids in the partitions before it. The placed rows are stored, so that both steps see the
+    same partitions; one count per partition is all that meets.
     """
-    keyed = ids.select(KEY).distinct().withColumn("_b", F.floor(F.col(KEY) / 65_536))
-    sizes = keyed.groupBy("_b").agg(F.count("*").alias("_n"))
+    placed = settle(ids.select(KEY).distinct().repartitionByRange(F.col(KEY)).withColumn("_b", F.spark_partition_id()))
+    sizes = placed.groupBy("_b").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
     local = F.row_number().over(Window.partitionBy("_b").orderBy(KEY))
-    return keyed.withColumn("_rn", local).join(sizes, "_b").select(KEY, (F.col("_o") + F.col("_rn") - 1).alias("place"))
+    return placed.withColumn("_rn", local).join(F.broadcast(sizes), "_b").select(KEY, (F.col("_o") + F.col("_rn") - 1).alias("place"))
 
 
 def every_kth_holdout(ids: DataFrame, k: int = 5) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -179,6 +180,9 @@ def centered_moments(df: DataFrame, y: str, p: str, limit: float | None = 2.0) -
             yv, pv = pdf["y"].to_numpy(float), pdf["p"].to_numpy(float)
             if limit is not None:
                 yv, pv = yv.clip(-limit, limit), pv.clip(-limit, limit)
+            # A row without both numbers is left out, not the batch it came in.
+            both = ~(np.isnan(yv) | np.isnan(pv))
+            yv, pv = yv[both], pv[both]
             w = abs(yv)
             total = w.sum()
             if total == 0:

@@ -1,12 +1,15 @@
 """Keyed replay of ordered rows: state per sequence, output only where a prediction is due.
 
 Rows of a sequence may arrive out of order. The state keeps the next expected step; earlier steps are
-reported as late, later ones wait in the state store until the gap is filled.
+reported as late, later ones wait in the state store until the gap is filled. A second row for a waiting step is reported as
+a repeat and changes nothing. Once more than `most_waiting` rows wait, or a row with the step `END` closes the sequence, the missing
+steps are reported as gaps and the waiting rows follow in order.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -17,6 +20,8 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from seqloom.layout import KEY, NEED, STEP
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Step of a row that says: no more rows of this sequence will come.
+END = -1
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
@@ -35,46 +40,71 @@ class StepModel:
         raise NotImplementedError
 
 
+@dataclass(frozen=True)
+class Reading:
+    """One row as the readout sees it: standardized inputs, base prediction and the three memories after the row."""
+
+    x: np.ndarray
+    base: float
+    fast: np.ndarray
+    slow: np.ndarray
+    square: np.ndarray
+
+    def spread(self) -> np.ndarray:
+        return np.sqrt(np.maximum(self.square - self.slow**2, 0.1))
+
+
+#: Feature blocks by name, and the blocks of each mode in the order of their coefficients. The bounds are fixed values.
+BLOCKS: dict[str, Callable[[Reading], np.ndarray]] = {
+    "one": lambda r: np.ones(1),
+    "base": lambda r: np.clip([r.base], -2.0, 2.0),
+    "x": lambda r: r.x,
+    "fast": lambda r: r.fast,
+    "slow": lambda r: r.slow,
+    "x_fast": lambda r: r.x * r.fast,
+    "x_slow": lambda r: r.x * r.slow,
+    "surprise": lambda r: np.clip((r.x - r.slow) / r.spread(), -8.0, 8.0),
+}
+PLAIN = ("one", "base", "x", "fast", "slow")
+MODES = {"linear": PLAIN, "bilinear": (*PLAIN, "x_fast", "x_slow"), "normalize": (*PLAIN, "surprise")}
+
+
 class MemoryCorrection(StepModel):
     """Base prediction plus a linear readout of the inputs and their fast and slow memories.
 
-    Inputs are the features followed by the base prediction. `mode` adds products with the memories
-    (`bilinear`) or a running z-score (`normalize`). The coefficients follow the order 1, clipped base,
-    x, fast, slow, then the extra block.
+    Inputs are the features followed by the base prediction. The state is a matrix with one memory per row; every row
+    moves towards what it sees at a rate of its own. `mode` names the feature blocks of the readout (`MODES`).
     """
 
     outputs = ("corrected",)
 
     def __init__(self, mean, scale, coef, strength: float = 1.0, mode: str = "linear", from_step: int = 0, fast: float = 0.01, slow: float = 0.001):
-        if mode not in ("linear", "bilinear", "normalize"):
+        if mode not in MODES:
             raise ValueError(f"unknown mode: {mode}")
-        self.mean, self.scale, self.coef = (np.asarray(v, dtype=float) for v in (mean, scale, coef))
-        self.strength, self.mode, self.from_step, self.rates = strength, mode, from_step, (fast, slow)
+        self.blocks = [BLOCKS[name] for name in MODES[mode]]
+        self.offset, self.factor = np.asarray(mean, dtype=float), 1.0 / np.asarray(scale, dtype=float)
+        self.coef, self.strength, self.from_step = np.asarray(coef, dtype=float), strength, from_step
+        self.rates = np.array([[fast], [slow], [slow]])
 
     def start(self) -> np.ndarray:
-        return np.zeros(3 * len(self.mean))
+        return np.zeros(self.rates.size * self.offset.size)
+
+    def read(self, memories: np.ndarray, row: np.ndarray) -> Reading:
+        """Take one row in: the memories move, and the reading holds them as they are then."""
+        x = ((row[:-1] - self.offset) * self.factor).clip(-8.0, 8.0)
+        memories += self.rates * (np.array([x, x, x * x]) - memories)
+        return Reading(x, float(np.nan_to_num(row[-1], posinf=0.0, neginf=0.0)), *memories)
 
     def step(self, state, step, row):
-        x = np.clip((row[:-1] - self.mean) / self.scale, -8.0, 8.0)
-        base = row[-1] if np.isfinite(row[-1]) else 0.0
-        fast, slow, second = np.split(state, 3)
-        a, b = self.rates
-        fast, slow = a * x + (1.0 - a) * fast, b * x + (1.0 - b) * slow
-        second = b * x * x + (1.0 - b) * second
-        parts = [np.array([1.0, np.clip(base, -2.0, 2.0)]), x, fast, slow]
-        if self.mode == "bilinear":
-            parts += [x * fast, x * slow]
-        elif self.mode == "normalize":
-            parts.append(np.clip((x - slow) / np.sqrt(np.maximum(second - slow * slow, 0.1)), -8.0, 8.0))
-        value = base
-        if step >= self.from_step:
-            value += self.strength * float(np.concatenate(parts) @ self.coef)
-        return np.concatenate([fast, slow, second]), (value,)
+        memories = np.array(state, dtype=float).reshape(3, -1)
+        reading = self.read(memories, np.asarray(row, dtype=float))
+        change = 0.0 if step < self.from_step else self.strength * float(np.hstack([b(reading) for b in self.blocks]) @ self.coef)
+        return memories.ravel(), (reading.base + change,)
 
 
 class _Replay(StatefulProcessor):
-    def __init__(self, make_model: Callable[[], StepModel], visible: Sequence[str]):
-        self.make_model, self.visible = make_model, list(visible)
+    def __init__(self, make_model: Callable[[], StepModel], visible: Sequence[str], most_waiting: int | None = None):
+        self.make_model, self.visible, self.most_waiting = make_model, list(visible), most_waiting
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.model = self.make_model()
@@ -82,31 +112,55 @@ class _Replay(StatefulProcessor):
         self.waiting = handle.getMapState("waiting", "step bigint", "need boolean, row array<double>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        expected, state = 0, self.model.start()
+        self.expected, self.state = 0, self.model.start()
         if self.memory.exists():
             saved = self.memory.get()
-            expected, state = saved[0], np.asarray(saved[1], dtype=float)
+            self.expected, self.state = saved[0], np.asarray(saved[1], dtype=float)
+        # Places of the waiting rows; their content stays in the state store.
+        held = {k[0] for k in self.waiting.keys()}
+        closed = False
         for pdf in rows:
             pdf = pdf.sort_values(STEP)
             out: list[tuple] = []
-            values = pdf[self.visible].to_numpy(float)
-            for step, need, row in zip(pdf[STEP].tolist(), pdf[NEED].tolist(), values):
-                if step < expected:
+            for step, need, row in zip(pdf[STEP].tolist(), pdf[NEED].tolist(), pdf[self.visible].to_numpy(float)):
+                if step == END:
+                    closed = True
+                elif step < self.expected:
                     out.append((step, "late", None))
-                elif step > expected:
+                elif step in held:
+                    out.append((step, "repeat", None))
+                elif step > self.expected:
                     self.waiting.updateValue((step,), (need, row.tolist()))
+                    held.add(step)
+                    if self.most_waiting is not None and len(held) > self.most_waiting:
+                        self._skip(held, out)
                 else:
-                    state = self._one(state, step, need, row, out)
-                    expected += 1
-                    # Rows that waited for this step follow at once.
-                    while self.waiting.containsKey((expected,)):
-                        need_next, row_next = self.waiting.getValue((expected,))
-                        self.waiting.removeKey((expected,))
-                        state = self._one(state, expected, need_next, np.asarray(row_next, dtype=float), out)
-                        expected += 1
+                    self.state = self._one(self.state, step, need, row, out)
+                    self.expected += 1
+                    self._follow(held, out)
             if out:
                 yield self._frame(key[0], out)
-        self.memory.update((expected, state.tolist()))
+        if closed and held:
+            out = []
+            while held:
+                self._skip(held, out)
+            yield self._frame(key[0], out)
+        self.memory.update((self.expected, self.state.tolist()))
+
+    def _follow(self, held: set, out: list) -> None:
+        """Rows that waited for the step before them."""
+        while self.expected in held:
+            need, row = self.waiting.getValue((self.expected,))
+            self.waiting.removeKey((self.expected,))
+            held.remove(self.expected)
+            self.state = self._one(self.state, self.expected, need, np.asarray(row, dtype=float), out)
+            self.expected += 1
+
+    def _skip(self, held: set, out: list) -> None:
+        """Give up the steps missing before the first waiting row: one report per run of missing steps."""
+        out.append((self.expected, "gap", None))
+        self.expected = min(held)
+        self._follow(held, out)
 
     def _one(self, state, step, need, row, out):
         state, values = self.model.step(state, step, row)
@@ -132,8 +186,9 @@ def use_state_store(spark) -> None:
         spark.conf.set(PROVIDER, ROCKSDB)
 
 
-def stream_replay(stream: DataFrame, visible: Sequence[str], make_model: Callable[[], StepModel]) -> DataFrame:
-    """Streaming `(seq, step, status, outputs...)`: `ok` rows carry predictions, `late` rows broke the order.
+def stream_replay(stream: DataFrame, visible: Sequence[str], make_model: Callable[[], StepModel], most_waiting: int | None = None) -> DataFrame:
+    """Streaming `(seq, step, status, outputs...)`: `ok` rows carry predictions, `late` and `repeat` rows broke the order, a
+    `gap` row names the first of a run of steps given up.
 
     The model sees only `visible` columns; warm-up rows update its state and give no output.
     """
@@ -141,7 +196,7 @@ def stream_replay(stream: DataFrame, visible: Sequence[str], make_model: Callabl
     fields = ", ".join(f"`{o}` double" for o in make_model().outputs)
     rows = stream.select(KEY, STEP, NEED, *[F.col(c).cast("double").alias(c) for c in visible])
     return rows.groupBy(KEY).transformWithStateInPandas(
-        statefulProcessor=_Replay(make_model, visible), outputStructType=f"{KEY} bigint, {STEP} bigint, status string, {fields}",
+        statefulProcessor=_Replay(make_model, visible, most_waiting), outputStructType=f"{KEY} bigint, {STEP} bigint, status string, {fields}",
         outputMode="Append", timeMode="None")
 
 
