@@ -281,14 +281,14 @@ def f13(s, d):
 @query("m11_fit_wp")
 def m11(s, d):
     df = scoring.required_rows(seq(s, d))
-    coef, value = objective.fit_wp(df, F3S(), "p0", "t0", 0.01, iterations=12)
+    coef, value = objective.fit_wp(df, F3S(), "p0", "t0", 0.01)
     return round_all(s.createDataFrame([(i, float(c), float(value)) for i, c in enumerate(coef)], "position int, coef double, objective double"))
 
 
 @query("m12_fit_wp_groups")
 def m12(s, d):
     df = scoring.required_rows(seq(s, d)).withColumn("grp", F.col(KEY) % 4)
-    coef, value = objective.fit_wp_groups(df, F3S(), "p0", "t0", "grp", 0.1, 100.0, iterations=8)
+    coef, value = objective.fit_wp_groups(df, F3S(), "p0", "t0", "grp", 0.1, 100.0)
     return round_all(s.createDataFrame([(i, float(c), float(value)) for i, c in enumerate(coef)], "position int, coef double, objective double"))
 
 

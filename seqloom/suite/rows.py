@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from seqloom.functions import scalar, vectors
-from seqloom.layout import KEY, STEP
+from seqloom.layout import KEY, STEP, FeatureLayout
 from seqloom.operators import joins, sampling, scoring
 from seqloom.session import shared_dir
 from seqloom.sources import documents, ingest, ledger, sequences, tables
@@ -41,10 +41,13 @@ def s00(s, d):
     return round_all(build(s, d).select(KEY, STEP, "need_prediction", "is_scored", "t0", "p1"), digits=9)
 
 
-@query("s01_sequence_scan", sql(f"SELECT seq_ix, count(*) AS n, {r('sum(x0)')} AS x0 FROM seq WHERE seq_ix < 10 GROUP BY ALL"))
+@query("s01_sequence_scan", sql(f"SELECT seq_ix, count(*) AS n, {r('sum(x0)')} AS x0, {r('sum(t1)')} AS t1 FROM seq GROUP BY ALL"))
 def s01(s, d):
-    out = seq(s, d).filter(F.col(KEY) < 10).groupBy(KEY).agg(F.count("*").alias("n"), F.sum("x0").alias("x0"))
-    return round_all(out)
+    layout, path = FeatureLayout(XS), scratch(s, "scan")
+    contract = layout.schema(spec(s, d), scored=True).fieldNames()
+    seq(s, d).select(*contract).write.parquet(path)
+    rows = sequences.sequence_scan(s, path, layout, spec(s, d), scored=True, columns=[KEY, "x0", "t1"])
+    return round_all(rows.groupBy(KEY).agg(F.count("*").alias("n"), F.sum("x0").alias("x0"), F.sum("t1").alias("t1")))
 
 
 def damaged(df):
@@ -185,15 +188,28 @@ def s15(s, d):
     return ledger.verify_hash_chain(broken, "o_orderkey", line).select("o_orderkey", "previous_sha256")
 
 
-@query("s16_read_documents", "SELECT 'doc-' || doc_id AS file_id, 'doc-' || doc_id AS card_id, lang AS family, text AS title FROM documents WHERE length(text) < 300")
+@query("s16_read_documents", "SELECT 'doc-' || doc_id AS card_id, text AS title, length(text)::BIGINT AS chars, true AS named FROM documents")
 def s16(s, d):
     path = scratch(s, "cards")
-    docs = table(s, d, "documents").filter(F.length("text") < 300)
     card = F.concat(F.lit("doc-"), F.col("doc_id").cast("string"))
-    # One JSON document per file: the partition column names the folder, the reader reports the id.
-    docs.select(F.to_json(F.struct(card.alias("card_id"), F.col("lang").alias("family"), F.col("text").alias("title"))).alias("value")).write.text(path)
-    lines = s.read.schema("card_id string, family string, title string").json(path)
-    return lines.select(F.col("card_id").alias("file_id"), "card_id", "family", "title")
+    # One document per file, as the reader's contract has it; the reader reports each file's name.
+    table(s, d, "documents").select(card.alias("card_id"), F.col("text").alias("title")).write.option("maxRecordsPerFile", 1).json(path)
+    read = documents.read_documents(s, path, "card_id string, title string")
+    names = read.groupBy("file_id").agg(F.count("*").alias("_n"))
+    return read.join(names, "file_id").select("card_id", "title", F.length("title").cast("bigint").alias("chars"), (F.col("_n") == 1).alias("named"))
+
+
+@query("s15_append_then_verify", Q["s15_verify_hash_chain"][1])
+def s15b(s, d):
+    path = scratch(s, "events")
+    line = ledger.event_line(["o_orderkey", "o_orderstatus"])
+    good = ledger.chain(table(s, d, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey", line, block=4_096).drop("line_sha256")
+    forged = F.when(F.col("o_orderkey") % 1000 == 7, F.lit("x")).otherwise(F.col("previous_sha256"))
+    broken = good.withColumn("previous_sha256", forged)
+    # Two appends; the chain is verified over what both have left in the files.
+    for part in (F.col("o_orderkey") % 2 == 0, F.col("o_orderkey") % 2 == 1):
+        ledger.append_event(broken.filter(part), path)
+    return ledger.verify_hash_chain(s.read.schema(broken.schema).json(path), "o_orderkey", line).select("o_orderkey", "previous_sha256")
 
 
 @query("s17_validate_documents", """SELECT doc_id, array_to_string(list_filter([CASE WHEN NOT (lang IN ('en', 'de')) THEN 'lang' END,

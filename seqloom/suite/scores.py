@@ -85,8 +85,9 @@ def a06(s, d):
 
 
 BUCKETS = [
-    LONG_SQL,
-    f"root AS (SELECT *, max(CASE WHEN system = 'base' THEN p END) OVER (PARTITION BY seq_ix, step_in_seq, target) AS pb FROM long WHERE {SCORED})",
+    "root AS (" + " UNION ALL ".join(
+        f"SELECT seq_ix, step_in_seq, '{name}' AS system, '{t}' AS target, {t} AS y, {p} AS p, {base} AS pb FROM seq WHERE {SCORED}"
+        for name, pair in BOTH.items() for t, p, base in zip(("t0", "t1"), pair, BOTH["base"])) + ")",
     f"""b AS (SELECT system, target, y, p, {POS} AS position, {mag('y')} AS target_magnitude, {mag('pb')} AS prediction_magnitude FROM root)""",
     f"""g AS (SELECT system, target, CASE WHEN grouping(position) = 0 THEN 'position' WHEN grouping(target_magnitude) = 0 THEN 'target_magnitude'
       WHEN grouping(prediction_magnitude) = 0 THEN 'prediction_magnitude' ELSE 'all' END AS slice,
