@@ -15,7 +15,7 @@ from seqloom.suite import catalog  # noqa: E402
 HEADLINE = (
     "s00_ingest_events", "a06_wp_report", "a07_wp_by_bucket", "a13_strength_grid", "a22_residual_persistence", "a24_paired_bootstrap",
     "a33_feature_residual_corr", "a36_error_atlas", "f04_sample_n_per_sequence", "w02_multi_lag", "w04_dual_ema", "w10_legendre_memory",
-    "w11_dilated_stack", "m01_weighted_ridge", "m08_replicated_fit", "p17_score_trees_arrow", "r02_bm25", "r04_vector_knn", "r06_hybrid_search",
+    "w11_dilated_stack", "m01_weighted_ridge", "m01_wide_gram", "m08_replicated_fit", "p17_score_trees_arrow", "r02_bm25", "r04_vector_knn", "r06_hybrid_search",
     "u03_fuse_average", "u04_fuse_vote", "u05_fuse_cellwise", "t02_top_k_with_group_cap", "x01_stream_replay", "x02_stream_correction",
 )
 

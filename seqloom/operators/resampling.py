@@ -29,11 +29,12 @@ def _picks(indexed: DataFrame, draws: int, seed: int) -> DataFrame:
     """`(draw, idx, times)`: n picks with replacement per draw.
 
     The n slots of a draw are the index rows themselves, so nothing needs the number of sequences on
-    the driver; picks are counted before they meet their sequence.
+    the driver. Picks move once, to the place of the sequence they name: they are counted there, and what joins
+    the sequences on `idx` or sums over draws needs no other exchange of them.
     """
     slots = indexed.select(F.col("idx").alias("_slot"), "n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
     picks = slots.select("draw", draw_index(F.col("n"), seed, F.col("draw"), F.col("_slot")).alias("idx"))
-    return picks.groupBy("draw", "idx").agg(F.count("*").alias("times"))
+    return picks.repartition("idx").groupBy("draw", "idx").agg(F.count("*").alias("times"))
 
 
 def bootstrap_counts(ids: DataFrame, draws: int, seed: int, key: str = KEY) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from seqloom.session import settle
+
 EVENT_SCHEMA = "seqno bigint, kind string, id string, payload string, previous_sha256 string"
 
 
@@ -50,14 +52,22 @@ def verify_hash_chain(df: DataFrame, order: str, line: Column, stored: str = "pr
     return again.filter(~F.col("_stored").eqNullSafe(F.col("previous_sha256"))).drop("_stored", "line_sha256")
 
 
-def manifest_hash(documents: DataFrame, columns: Sequence[str]) -> DataFrame:
+def manifest_hash(documents: DataFrame, columns: Sequence[str], per_bucket: int = 4_096) -> DataFrame:
     """Order-independent digest over (id, version, content digest).
 
-    Equal rows are counted first, so that many copies make one entry; entries are then digested by the
-    first three digits of their own digest, and the 4,096 results once more.
+    Equal rows are counted first, so that many copies make one entry. Entries are digested by the first digits of
+    their own digest, as many as leave about `per_bucket` entries in one list but at least three, and the results
+    again with three digits less, level by level.
     """
     copies = documents.groupBy(F.sha2(event_line(columns), 256).alias("_d")).agg(F.count("*").alias("_n"))
-    rows = copies.select(F.substring("_d", 1, 3).alias("_b"), F.concat_ws(":", "_d", F.col("_n").cast("string")).alias("_h"))
-    some = rows.groupBy("_b").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("_h")), ""), 256).alias("_h"))
-    pair = F.sort_array(F.collect_list(F.struct("_b", "_h")))
-    return some.agg(F.sha2(F.array_join(F.transform(pair, lambda p: p["_h"]), ""), 256).alias("manifest_sha256"))
+    copies = settle(copies)
+    digits = 3
+    while copies.count() > per_bucket * 16**digits and digits < 60:
+        digits += 3
+    rows = copies.select(F.col("_d").alias("_b"), F.concat_ws(":", "_d", F.col("_n").cast("string")).alias("_h"))
+    some = rows.groupBy(F.substring("_b", 1, digits).alias("_b")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("_h")), ""), 256).alias("_h"))
+    pair = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_b", "_h"))), lambda p: p["_h"]), "")
+    while digits > 3:
+        digits -= 3
+        some = some.groupBy(F.substring("_b", 1, digits).alias("_b")).agg(F.sha2(pair, 256).alias("_h"))
+    return some.agg(F.sha2(pair, 256).alias("manifest_sha256"))

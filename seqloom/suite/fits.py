@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from seqloom.functions import scalar, vectors
@@ -276,6 +277,36 @@ def f13(s, d):
     return round_all(out.select((F.col("system") == "True").alias("own"), "target", "wp"))
 
 
+# Wide design: inputs, their products and their products with both predictions, as text for both engines.
+WIDE = [f"x{i}" for i in range(4)] + [f"x{i} * x{j}" for i in range(4) for j in range(i, 4)] + [f"x{i} * p{k}" for i in range(4) for k in (0, 1)] + ["p0", "p1"]
+
+
+@query("m01_wide_gram", sql(
+    f"""SELECT response, i::INTEGER AS i, j::INTEGER AS j, {r('sum(w * f[i + 1] * f[j + 1])', 4)} AS value
+    FROM wide, range({len(WIDE) + 1}) a(i), range({len(WIDE) + 1}) b(j) WHERE j >= i GROUP BY ALL""",
+    "wide AS (" + " UNION ALL ".join(
+        f"SELECT '{t}' AS response, abs({sclip(t)}) AS w, [{', '.join(f'({e})::DOUBLE' for e in [*WIDE, f'{t} - {p}'])}] AS f FROM seq WHERE need_prediction"
+        for t, p in (("t0", "p0"), ("t1", "p1"))) + ")"))
+def m01_wide(s, d):
+    table = ridge.gram_table(scoring.required_rows(seq(s, d)), [F.expr(e) for e in WIDE], ridge.residual_responses(("p0", "p1")))
+    return round_all(table.filter(F.col("j") <= len(WIDE)), digits=4)
+
+
+@query("m08_wide_replicated", sql(
+    f"SELECT CAST(seq_ix % 2 AS VARCHAR) AS replica, response, {r('sum(w)', 4)} AS mass, count(*) AS n FROM wide GROUP BY ALL",
+    "wide AS (" + " UNION ALL ".join(f"SELECT seq_ix, '{t}' AS response, abs({sclip(t)}) AS w FROM seq WHERE need_prediction" for t in ("t0", "t1")) + ")"))
+def m08_wide(s, d):
+    df = scoring.required_rows(seq(s, d)).withColumn("half", F.col(KEY) % 2)
+    found = ridge.grams(df, [F.expr(e) for e in WIDE], ridge.residual_responses(("p0", "p1")), ["half"])
+    for g in found.values():
+        # The fit must not be worse than no correction, and solve its own equations.
+        coef = g.solve(1e-3)
+        if g.mse(coef) > g.rr / g.mass or abs((g.xx + 1e-3 * g.rows * np.eye(len(coef))) @ coef - g.xr).max() > 1e-6 * abs(g.xr).max():
+            raise ValueError("the wide fit does not solve its equations")
+    rows = [(str(k[0]), k[1], float(g.mass), int(g.rows)) for k, g in found.items()]
+    return round_all(s.createDataFrame(rows, "replica string, response string, mass double, n bigint"), digits=4)
+
+
 # ---- fits without a closed form in SQL: row checks here, numeric checks in the tests -----------
 
 @query("m11_fit_wp")
