@@ -426,10 +426,22 @@ def error_atlas(df: DataFrame, features: Sequence[str], groups: dict[str, Sequen
     relations = feature_residual_corr(df, features, systems, spec, (0, *distances))
     parts.append(feature_group_rms(relations, groups).select(
         F.lit("feature_relation").alias("section"), "target", "system", F.col("feature_group").alias("bucket"), "lag", "n", F.col("rms_corr").alias("value")))
+    first, *others = systems
+    for other in others:
+        parts.append(_sequence_section(sequence_spread(df, systems, first, other), first, other))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    return out.dropDuplicates(["section", "target", "system", "bucket", "lag"]) if len(others) > 1 else out
+
+
+def _sequence_section(spread: DataFrame, reference: str, candidate: str) -> DataFrame:
+    """Atlas rows of the per-sequence scores: deciles of both systems and the share of sequences where the candidate is better."""
+    cells = [F.struct(F.lit("sequence_score").alias("section"), F.lit(s).alias("system"), F.lit(q).alias("bucket"), F.col(f"{s}_{q}").alias("value"))
+             for s in (reference, candidate) for q in ("q10", "q50", "q90")]
+    cells.append(F.struct(F.lit("sequence_better").alias("section"), F.lit(candidate).alias("system"), F.lit("all").alias("bucket"), F.col("better_share").alias("value")))
+    rows = spread.select("target", "sequences", F.explode(F.array(*cells)).alias("_c"))
+    return rows.select("_c.section", "target", "_c.system", "_c.bucket", F.lit(0).alias("lag"), F.col("sequences").alias("n"), "_c.value")
 
 
 ATLAS_SCHEMA = {"section": "string", "target": "string", "system": "string", "bucket": "string", "lag": "int", "n": "bigint", "value": "double"}
@@ -441,7 +453,7 @@ def check_atlas(atlas: DataFrame) -> DataFrame:
     if actual != ATLAS_SCHEMA:
         raise ValueError(f"atlas schema {actual}")
     known = ["wp_all", "wp_position", "wp_target_magnitude", "wp_prediction_magnitude", "residual_bias", "residual_scale",
-             "residual_persistence", "feature_relation"]
+             "residual_persistence", "feature_relation", "sequence_score", "sequence_better"]
     bad = ~F.col("section").isin(known) | F.col("value").isNull() | F.isnan("value") | (F.col("n") < 0)
     score = F.col("section").startswith("wp_") | F.col("section").isin("residual_persistence", "feature_relation")
     return atlas.filter(bad | (score & (F.abs("value") > 1.0)))

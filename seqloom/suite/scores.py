@@ -332,8 +332,10 @@ def a35(s, d):
     UNION ALL SELECT 'residual_scale', target, system, 'all', 0, count(*),
       sqrt(greatest(sum({W}*{E}*{E})/sum({W}) - (sum({W}*{E})/sum({W}))*(sum({W}*{E})/sum({W})), 0.0)) FROM long WHERE {SCORED} GROUP BY target, system
     UNION ALL SELECT 'residual_persistence', target, system, 'all', lag, count(*), corr(a, b) FROM pr WHERE ma AND mb GROUP BY target, system, lag
-    UNION ALL SELECT 'feature_relation', target, system, CASE WHEN feature < 2 THEN 'signal' ELSE 'clock' END, lag, max(n), sqrt(avg(corr*corr)) FROM fc GROUP BY ALL)""",
-    *BUCKETS, *REL[1:],
+    UNION ALL SELECT 'feature_relation', target, system, CASE WHEN feature < 2 THEN 'signal' ELSE 'clock' END, lag, max(n), sqrt(avg(corr*corr)) FROM fc GROUP BY ALL
+    UNION ALL SELECT 'sequence_score', target, system, unnest(['q10', 'q50', 'q90']), 0, count(*), unnest(quantile_cont(wp, [0.1, 0.5, 0.9])) FROM sv GROUP BY target, system
+    UNION ALL SELECT 'sequence_better', a.target, 'candidate', 'all', 0, count(*), avg((b.wp > a.wp)::INT) FROM sv a JOIN sv b USING (seq_ix, target) WHERE a.system = 'base' AND b.system = 'candidate' GROUP BY a.target)""",
+    *BUCKETS, LONG_SQL, MSEQ, f"sv AS (SELECT seq_ix, system, target, {wp_sql()} AS wp FROM mseq)", *REL[1:],
     f"e AS (SELECT seq_ix, step_in_seq, system, target, ({SCORED}) AS m, {E} AS e FROM long)",
     "pr AS (SELECT l.lag, a.system, a.target, a.e AS a, b.e AS b, a.m AS ma, b.m AS mb FROM e a, (VALUES (1), (10), (100)) l(lag), e b "
     "WHERE b.seq_ix = a.seq_ix AND b.system = a.system AND b.target = a.target AND b.step_in_seq = a.step_in_seq - l.lag)"))
