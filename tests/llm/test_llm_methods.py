@@ -63,21 +63,33 @@ def _sequential(history, byte):
     return out / math.log(10)
 
 
-def test_tree_matches_sequential_weighting():
-    texts = [b"abab abc", b"abba", b"cab"]
-    cells, _ = context_tree._cells(texts)
-    counts = np.bincount(cells, minlength=context_tree.CONTEXTS * 256)
-    table = context_tree.log_probabilities(counts)
-    assert np.abs((10.0 ** table.reshape(-1, 256).astype(float)).sum(1) - 1).max() < 1e-5
+def _split(key):
+    context, byte = divmod(int(key), 256)
+    return tuple(context >> 5 * i & 31 for i in range(context_tree.DEPTH)), byte
 
-    def split(cell):
-        context, byte = divmod(int(cell), 256)
-        return tuple(context // 32 ** i % 32 for i in range(3)), byte
 
-    history = [split(c) for c in cells]
+def test_tree_matches_sequential_weighting(spark):
+    keys, times = context_tree.grams([b"abab abc", b"abba", b"cab"])
+    rows = [(int(k), int(n)) for k, n in zip(keys, times)]
+    history = [_split(k) for k, n in rows for _ in range(n)]
+    tree, table = context_tree.grow(spark.createDataFrame(rows, "key long, n long"))
+    assert np.abs((10.0 ** table.reshape(-1, 256).astype(float)).sum(1) - 1).max() < 1e-5
     for text in (b"ab", b"cc", b"z"):
-        for cell in context_tree._cells([text])[0]:
-            assert table[cell] == pytest.approx(_sequential(history, split(cell)), abs=1e-4)
+        for key in context_tree.grams([text])[0]:
+            context, byte = _split(key)
+            node = tree.walk([np.array([c]) for c in context])[0]
+            assert table[node * 256 + byte] == pytest.approx(_sequential(history, (context, byte)), abs=1e-4)
+
+
+def test_pruned_tree_is_a_distribution(spark):
+    rows = [(int(k), int(n)) for k, n in zip(*context_tree.grams([b"the cat and the hat and the bat " * 5, b"a cat"]))]
+    tree, table = context_tree.grow(spark.createDataFrame(rows, "key long, n long"), nodes=12)
+    assert tree.dead == 12 and np.abs((10.0 ** table.reshape(-1, 256).astype(float)).sum(1) - 1).max() < 1e-5
+
+
+def test_tree_beats_words_on_held_out(spark):
+    found = suite.op2_context_tree(spark, SF_DIR.replace("sf0.01", "sf0.1")).filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert found[0] > found[1]
 
 
 def test_base_score_by_counting(spark):
