@@ -18,6 +18,7 @@ SYNONYMS = {
     "magnitude": "nonlinear", "online": "incremental", "runtime": "inference",
 }
 K1, B, SECONDARY = 1.2, 0.75, 0.5  # Fixed values: ranking constants and the weight of secondary terms.
+HOT_BUCKET = 1_000  # token sets that may meet on one rare token
 QUERY_BLOCK = 1_024  # query vectors held against one batch of rows at a time
 
 
@@ -143,8 +144,10 @@ def near_duplicate_titles(df: DataFrame, key: str, words: Column, threshold: flo
     Of two sets with Jaccard >= t one of the |x| - ceil(t|x|) + 1 rarest tokens of each must be shared, and
     their sizes differ by at most the factor t. Sets therefore meet on (rare token, size class). They are
     first compared with the lowest set of each bucket only, which settles groups of near-copies in linear
-    time; the sets still without a partner are then compared with all sets of their buckets. Full sets are
-    fetched only for pairs that share enough rare tokens to reach the threshold.
+    time; the sets still without a partner are then compared with all sets of their buckets. Where a bucket holds more
+    than `HOT_BUCKET` sets its token is not rare enough: near-duplicates of two or more tokens share a second one among one
+    rare token more, so sets with that token meet on both. Full sets are fetched only for pairs that share enough rare
+    tokens to reach the threshold.
     """
     sets = spread(df).select(F.col(key), F.array_sort(F.array_distinct(words)).alias("_s")).filter(F.size("_s") > 0)
     groups = settle(sets.groupBy("_s").agg(F.min(key).alias("id"), F.count("*").alias("copies")))
@@ -155,27 +158,33 @@ def near_duplicate_titles(df: DataFrame, key: str, words: Column, threshold: flo
     length = (F.size("_o") - F.ceil(F.size("_o") * threshold - 1e-9) + 1).cast("int")
     # Sizes within the factor t fall into the same or the next class.
     size_class = F.floor(F.log(F.size("_o").cast("double")) / (-math.log(threshold) * 1.0001)).cast("int")
-    head = settle(tagged.select("id", F.size("_o").alias("n"), size_class.alias("g"), F.explode(F.slice("_o", F.lit(1), length)).alias("_p")).select("id", "n", "g", "_p.t"))
+    head = settle(tagged.select("id", F.size("_o").alias("n"), size_class.alias("g"), F.explode(F.slice("_o", F.lit(1), length)).alias("_p"),
+                              F.transform(F.slice("_o", F.lit(1), length + 1), lambda x: x["t"]).alias("_more")).select("id", "n", "g", "_p.t", "_more"))
     full = groups.select("id", "_s")
 
     def verified(seekers: DataFrame, others: DataFrame) -> DataFrame:
-        near = seekers.select(F.col("id").alias("a"), F.col("n").alias("na"), "t", F.explode(F.array(F.col("g") - 1, F.col("g"), F.col("g") + 1)).alias("g"))
-        met = near.join(others.select(F.col("id").alias("b"), F.col("n").alias("nb"), "t", "g"), ["t", "g"]).filter("a <> b")
+        near = seekers.select(F.col("id").alias("a"), F.col("n").alias("na"), "t", "u", F.explode(F.array(F.col("g") - 1, F.col("g"), F.col("g") + 1)).alias("g"))
+        met = near.join(others.select(F.col("id").alias("b"), F.col("n").alias("nb"), "t", "u", "g"), ["t", "u", "g"]).filter("a <> b")
         met = met.filter(F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9)
         # Common tokens <= common rare tokens + what follows the rare tokens of one of the sets.
         need = F.ceil((F.col("na") + F.col("nb")) * (threshold / (1.0 + threshold)) - 1e-9)
         after = F.ceil(F.greatest("na", "nb") * threshold - 1e-9) - 1
-        pairs = met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("_c")).filter(F.col("_c") >= need - after).select("a", "b")
+        pairs = met.groupBy("a", "b", "na", "nb").agg(F.count_distinct("t").alias("_c")).filter(F.col("_c") >= need - after).select("a", "b")
         both = pairs.join(full.select(F.col("id").alias("a"), F.col("_s").alias("_sa")), "a").join(full.select(F.col("id").alias("b"), F.col("_s").alias("_sb")), "b")
         common = F.size(F.array_intersect("_sa", "_sb"))
         scored = both.select("a", "b", (common / (F.size("_sa") + F.size("_sb") - common)).alias("jaccard")).filter(F.col("jaccard") >= threshold)
         either = F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("partner")), F.struct(F.col("b").alias("id"), F.col("a").alias("partner"))))
         return scored.select(either.alias("_p"), "jaccard").select("_p.*", "jaccard")
 
-    leaders = head.groupBy("t", "g").agg(F.min(F.struct("id", "n")).alias("_l")).select("t", "g", "_l.id", "_l.n")
-    easy = settle(verified(head, leaders))
-    rest = head.join(easy.select("id").distinct(), "id", "left_anti")
-    found = easy.unionByName(verified(rest, head))
+    alone = head.withColumn("u", F.lit(""))
+    buckets = head.groupBy("t", "g").agg(F.min(F.struct("id", "n")).alias("_l"), F.count("*").alias("_m"))
+    leaders = buckets.select("t", "g", F.lit("").alias("u"), "_l.id", "_l.n")
+    easy = settle(verified(alone, leaders))
+    crowded = buckets.filter(F.col("_m") > HOT_BUCKET).select("t", F.lit(True).alias("_hot")).distinct()
+    second = F.when(F.col("_hot"), F.array_except("_more", F.array("t"))).otherwise(F.array(F.lit("")))
+    keyed = head.join(crowded, "t", "left").select("id", "n", "g", "t", F.explode(second).alias("u"))
+    rest = keyed.join(easy.select("id").distinct(), "id", "left_anti")
+    found = easy.unionByName(verified(rest, keyed))
     witness = found.groupBy("id").agg(F.min_by(F.struct("partner", "jaccard"), "partner").alias("_w"))
     out = groups.join(witness, "id", "left").filter((F.col("copies") > 1) | F.col("_w").isNotNull())
     return out.select("id", "copies", F.col("_w.partner").alias("partner"), F.col("_w.jaccard").alias("jaccard"))

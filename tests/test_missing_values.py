@@ -138,6 +138,25 @@ def running_total():
     return Steps
 
 
+@pytest.mark.parametrize("hot", [1_000, 5])
+def test_title_sets_that_share_their_rare_tokens(spark, monkeypatch, hot):
+    monkeypatch.setattr(retrieval, "HOT_BUCKET", hot)
+    rng = np.random.default_rng(6)
+    common = [f"c{i}" for i in range(12)]
+    rows = [(i, ["rare", *rng.choice(common, 6, replace=False).tolist()]) for i in range(120)] + [(500 + i, [f"z{i}", *common[:7], "rare"]) for i in range(4)]
+    df = spark.createDataFrame(rows, "id long, w array<string>")
+    found = {r["id"]: (r["copies"], r["partner"] is not None) for r in retrieval.near_duplicate_titles(df, "id", F.col("w"), 0.7).collect()}
+    first: dict = {}
+    for i, w in rows:
+        first.setdefault(frozenset(w), []).append(i)
+    want = {}
+    for s, ids in first.items():
+        near = any(t != s and len(s & t) / len(s | t) >= 0.7 for t in first)
+        if len(ids) > 1 or near:
+            want[ids[0]] = (len(ids), near)
+    assert found == want
+
+
 @pytest.mark.parametrize("most", [None, 2])
 def test_replay_reports_gaps_and_repeats(spark, tmp_path, most):
     batches = [[(0, 1.0), (1, 1.0), (4, 1.0)], [(4, 9.0), (5, 1.0), (0, 1.0)], [(6, 1.0), (8, 1.0)], [(replay.END, 0.0)]]
