@@ -13,7 +13,6 @@ repeated rows are labelled each; an empty table gives no rows; other columns are
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from dataclasses import dataclass
 from itertools import repeat
@@ -27,7 +26,6 @@ from seqloom.session import spread
 
 SPAN = 24
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-_LETTER = re.compile(r"[^\W\d_]")
 #: Words whose labels a worker remembers; further words are computed again where they occur.
 REMEMBER = 300_000
 
@@ -243,7 +241,7 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
                 book.update(zip(new[:room], range(start, start + room)))
             fresh = dict(zip(new[room:], range(room, len(new))))
         for text, words in zip(texts, split):
-            if not n or not _LETTER.search(text.decode()):
+            if not n or not any(map(str.isalpha, text.decode())):
                 for name, value in (("lang_pred", "und"), ("score", 0.0), ("n_positions", 0), ("agreeing", 0)):
                     out[name].append(value)
                 continue

@@ -13,6 +13,7 @@ matched words stays, then the one that starts first, then the template that sort
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import defaultdict
 from itertools import repeat
 
@@ -97,11 +98,15 @@ class TemplateIndex:
             if got and got[2] >= least * len(self.words[t]):
                 found.append((t, *got))
         found.sort(key=lambda m: (-m[3], m[1], self.names[m[0]], m[2]))
+        # Kept matches lie apart, so only the neighbours of a place can overlap it.
+        starts: list[int] = []
         kept: list[tuple[int, int, int, int]] = []
         for m in found:
-            if all(m[2] <= k[1] or m[1] >= k[2] for k in kept):
-                kept.append(m)
-        return sorted(kept, key=lambda m: m[1])
+            at = bisect_left(starts, m[1])
+            if (at == 0 or kept[at - 1][2] <= m[1]) and (at == len(kept) or kept[at][1] >= m[2]):
+                starts.insert(at, m[1])
+                kept.insert(at, m)
+        return kept
 
 
 def align(template: list[int], text: np.ndarray, diagonal: int, band: int = 2 * BAND) -> tuple[int, int, int] | None:
