@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from seqloom.layout import KEY
@@ -305,9 +306,16 @@ def u01(s, d):
     return fusion.detect_format(df)
 
 
-@query("u02_fusion_weights", f"WITH {MODEL_SQL}, {WEIGHT_SQL} SELECT model, rank::INT AS rank, {r('weight', 9)} AS weight FROM we")
+@query("u02_fusion_weights", f"""WITH su AS (SELECT s_nationkey AS nation, s_suppkey AS model, s_acctbal::DOUBLE / 10000.0 + 1.0 AS metric, s_suppkey % 3 <> 0 AS maximize,
+    row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) - 1 AS rank FROM supplier),
+  sr AS (SELECT *, (CASE WHEN maximize THEN metric ELSE 1.0 / (metric + {fusion.METRIC_EPS}::DOUBLE) END) * (count(*) OVER (PARTITION BY nation) - rank) AS raw FROM su)
+  SELECT nation, model, rank::INT AS rank, {r('raw / sum(raw) OVER (PARTITION BY nation)', 9)} AS weight FROM sr""")
 def u02(s, d):
-    return round_all(fusion.fusion_weights(models(s)).select("model", "rank", "weight"), digits=9)
+    # Suppliers stand for the models of their nation, balances for their metrics.
+    place = F.row_number().over(Window.partitionBy("nation").orderBy(F.col("s_acctbal").desc(), "model")) - 1
+    su = table(s, d, "supplier").select(F.col("s_nationkey").alias("nation"), F.col("s_suppkey").alias("model"), "s_acctbal")
+    su = su.select("nation", "model", (F.col("s_acctbal").cast("double") / 10000.0 + 1.0).alias("metric"), (F.col("model") % 3 != 0).alias("maximize"), place.alias("rank"))
+    return round_all(fusion.fusion_weights(su, ["nation"]).select("nation", "model", "rank", "weight"), digits=9)
 
 
 @query("u03_fuse_average", f"WITH {ITEMS}, {MODEL_SQL}, {WEIGHT_SQL}, {NUM_SQL} SELECT id, {r('sum(weight * value) / sum(weight)')} AS value FROM pr JOIN we USING (model) GROUP BY id")
