@@ -242,7 +242,7 @@ def s19(s, d):
     return tables.profile_table(table(s, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority"))
 
 
-@query("s20_infer_json_schema", """SELECT replace(replace(replace(replace(replace(replace(json_group_structure(props)::VARCHAR, '"', ''), ',', ', '), ':', ': '), 'UBIGINT', 'BIGINT'), '{', 'OBJECT<'), '}', '>')
+@query("s20_infer_json_schema", """SELECT replace(replace(replace(replace(replace(replace(json_group_structure(CAST(props AS JSON))::VARCHAR, '"', ''), ',', ', '), ':', ': '), 'UBIGINT', 'BIGINT'), '{', 'OBJECT<'), '}', '>')
   AS json_schema FROM events""")
 def s20(s, d):
     return tables.infer_json_schema(table(s, d, "events"), "props")
