@@ -32,7 +32,7 @@ _PIECE = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 # Fixed value: the vocabulary's own pattern.
 _FINE = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Distinct runs that a worker remembers; further ones are encoded again where they occur.
-_REMEMBER = 800_000
+_REMEMBER = 300_000
 _BOOKS: dict[str, "_Book"] = {}
 #: The vocabulary writes each byte as one printable character: itself where it is printable, else one from 256 on.
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]

@@ -293,7 +293,7 @@ def similar_classes(marked: DataFrame, similarity: float = 0.8, width: int = 5,
 
     rows = marked.select(F.struct("_near_id", "_near_digest").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     stored = settle(map_texts(spread(rows), "doc_id long, digest long, seq long, fp long, sampled array<long>, sketch binary, n long", each))
-    classes = settle(stored.groupBy("seq").agg(F.first("fp").alias("fp"), F.first("sampled").alias("sampled"), F.first("sketch").alias("sketch"), F.first("n").alias("n")))
+    classes = settle(stored.groupBy("seq").agg(F.first("fp").alias("fp"), F.first("sampled").alias("sampled"), F.min(F.struct("doc_id", "digest")).alias("first")))
     groups = classes.select("seq", F.posexplode("sampled").alias("t", "k"))
     pick = [F.min_by("seq", F.xxhash64("seq", "t", F.lit(i))).alias(f"r{i}") for i in (0, 1)]
     heads = groups.groupBy("t", "k").agg(*pick, F.count("*").alias("members")).filter("members > 1")
@@ -303,8 +303,10 @@ def similar_classes(marked: DataFrame, similarity: float = 0.8, width: int = 5,
     by_fp = classes.groupBy("fp").agg(F.min("seq").alias("head"))
     pairs.append(near.join(by_fp.select(F.col("fp").alias("a"), F.col("head").alias("seq")), "a").join(by_fp.select(F.col("fp").alias("b"), F.col("head").alias("other")), "b").select("seq", "other"))
     pairs.append(classes.join(by_fp, "fp").select("seq", F.col("head").alias("other")))
-    both = union_all(pairs).filter("seq <> other").select(F.least("seq", "other").alias("a"), F.greatest("seq", "other").alias("b")).distinct()
-    sketches = classes.select("seq", "sketch", "n")
+    both = settle(union_all(pairs).filter("seq <> other").select(F.least("seq", "other").alias("a"), F.greatest("seq", "other").alias("b")).distinct())
+    # Sketches are wide: they are fetched for candidates only, one row per text.
+    needed = both.select(F.explode(F.array("a", "b")).alias("seq")).distinct().join(classes.select("seq", "first.*"), "seq")
+    sketches = settle(needed.join(stored.select("doc_id", "digest", "sketch", "n"), ["doc_id", "digest"]).select("seq", "sketch", "n").dropDuplicates(["seq"]))
     full = both.join(sketches.toDF("a", "sa", "na"), "a").join(sketches.toDF("b", "sb", "nb"), "b")
     # The smaller set over the larger bounds the similarity from above.
     full = full.filter(F.least("na", "nb") >= similarity * F.greatest("na", "nb"))
