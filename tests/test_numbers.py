@@ -213,7 +213,7 @@ def test_atlas_rejects_poisoned_rows(data):
     assert slices.check_atlas(atlas.withColumn("value", F.lit(float("nan")))).count() == atlas.count()
     with pytest.raises(ValueError):
         slices.check_atlas(atlas.withColumn("secret", F.lit(1)))
-    assert slices.atlas_json(atlas).count() == 8
+    assert slices.atlas_json(atlas).count() == 10
 
 
 def test_near_duplicates_equal_brute_force_with_many_copies(spark):
