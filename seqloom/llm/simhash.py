@@ -220,8 +220,10 @@ def components(docs: DataFrame, width: int = 3, distance: int = 3) -> DataFrame:
     return join_heavy(stored, classes.select("fp", "component_id"), classes.select("fp", "copies"), "fp", "copies")
 
 
-#: Sampled fingerprints per text, shingles voting in each, and shingle digests kept to estimate the similarity of two texts.
-SAMPLES, VOTERS, SKETCH = 12, 3, 256
+#: Sampled fingerprints per text, and shingles voting in each.
+SAMPLES, VOTERS = 12, 3
+#: Texts of candidate pairs up to which their keys are sent to all tasks; more are joined, with the same result.
+FEW_TEXTS = 500_000
 _MIX = np.random.default_rng(8).integers(1, 1 << 63, SAMPLES, dtype=np.uint64) | np.uint64(1)
 
 
@@ -246,33 +248,36 @@ def _vote(digests: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * total > len(digests), bitorder="little").tobytes(), "little")
 
 
-def signature(text: bytes, width: int) -> tuple[int, int, list[int], bytes, int]:
-    """Sequence digest, fingerprint, sampled fingerprints, sketch and number of distinct shingles of a text.
+def signature(text: bytes, width: int) -> tuple[int, int, list[int], np.ndarray]:
+    """Sequence digest, fingerprint, sampled fingerprints and all distinct shingle digests of a text.
 
     A sampled fingerprint lets only the `VOTERS` shingles vote that come first in an order of its own, so two texts of
     similarity s share one with a probability near s to the power `VOTERS`.
     """
     whole, every = shingle_digests(text, width)
     if not len(every):
-        return whole, 0, [0] * SAMPLES, b"", 0
+        return whole, 0, [0] * SAMPLES, every
     once = np.unique(every)
     voters = min(VOTERS, len(once))
     sampled = []
     for mix in _MIX:
         mixed = (once * mix) ^ ((once * mix) >> np.uint64(29))
         sampled.append(_vote(np.sort(once[np.argpartition(mixed, voters - 1)[:voters]])))
-    return whole, _vote(every), sampled, (once[:SKETCH] >> np.uint64(32)).astype("<u4").tobytes(), len(once)
+    return whole, _vote(every), sampled, once
 
 
-def estimate(a: bytes, b: bytes, n: int, m: int) -> float:
-    """Jaccard similarity from the smallest digests of two texts; exact when both hold all their digests."""
-    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
-    if not len(x) or not len(y):
-        return float(n == m)
-    union = np.union1d(x, y)
-    if n > SKETCH or m > SKETCH:
-        union = union[:SKETCH]
-    return float(np.isin(union, np.intersect1d(x, y)).sum() / len(union))
+def verified(pairs: DataFrame, classes: DataFrame, stored: DataFrame, similarity: float) -> DataFrame:
+    """The pairs `(a, b)` whose whole shingle sets have at least the given similarity."""
+    # Sets are wide: they are fetched for candidates only, one row per text.
+    needed = settle(pairs.select(F.explode(F.array("a", "b")).alias("seq")).distinct().join(classes.select("seq", "first.*"), "seq"))
+    if needed.count() <= FEW_TEXTS:
+        needed = F.broadcast(needed)
+    sets = settle(stored.select("doc_id", "digest", "seq", "shingles").join(needed, ["doc_id", "digest", "seq"]).select("seq", "shingles").dropDuplicates(["seq"]))
+    full = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    # The smaller set over the larger bounds the similarity from above.
+    full = full.filter(F.least(F.size("x"), F.size("y")) >= similarity * F.greatest(F.size("x"), F.size("y")))
+    both = F.size(F.array_intersect("x", "y"))
+    return full.filter((F.size("x") == 0) | (both / (F.size("x") + F.size("y") - both) >= similarity)).select("a", "b")
 
 
 def similar_classes(marked: DataFrame, similarity: float = 0.8, width: int = 5, distance: int = 3) -> DataFrame:
@@ -281,18 +286,19 @@ def similar_classes(marked: DataFrame, similarity: float = 0.8, width: int = 5,
 
     Candidates share a sampled fingerprint, or have fingerprints of all shingles within `distance` bits. Each text meets two
     representatives of every group it falls in, chosen anew in each group, so a group of any size costs two
-    comparisons per member. All candidates are checked against the similarity.
+    comparisons per member. All candidates are checked by their whole shingle sets.
     """
     def each(ids, texts):
-        names = ("seq", "fp", "sampled", "sketch", "n")
-        found = list(zip(*[signature(t, width) for t in texts])) or [[]] * 5
+        names = ("seq", "fp", "sampled", "shingles")
+        found = list(zip(*[signature(t, width) for t in texts])) or [[]] * 4
         out = dict(zip(names, found))
         out["seq"], out["fp"] = (np.array(out[k], np.uint64).view(np.int64) for k in ("seq", "fp"))
         out["sampled"] = [np.array(v, np.uint64).view(np.int64) for v in out["sampled"]]
+        out["shingles"] = [v.view(np.int64) for v in out["shingles"]]
         return out | {"doc_id": [i["_near_id"] for i in ids], "digest": [i["_near_digest"] for i in ids]}
 
     rows = marked.select(F.struct("_near_id", "_near_digest").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    stored = settle(map_texts(spread(rows), "doc_id long, digest long, seq long, fp long, sampled array<long>, sketch binary, n long", each))
+    stored = settle(map_texts(spread(rows), "doc_id long, digest long, seq long, fp long, sampled array<long>, shingles array<long>", each))
     classes = settle(stored.groupBy("seq").agg(F.first("fp").alias("fp"), F.first("sampled").alias("sampled"), F.min(F.struct("doc_id", "digest")).alias("first")))
     groups = classes.select("seq", F.posexplode("sampled").alias("t", "k"))
     pick = [F.min_by("seq", F.xxhash64("seq", "t", F.lit(i))).alias(f"r{i}") for i in (0, 1)]
@@ -304,20 +310,7 @@ def similar_classes(marked: DataFrame, similarity: float = 0.8, width: int = 5,
     pairs.append(near.join(by_fp.select(F.col("fp").alias("a"), F.col("head").alias("seq")), "a").join(by_fp.select(F.col("fp").alias("b"), F.col("head").alias("other")), "b").select("seq", "other"))
     pairs.append(classes.join(by_fp, "fp").select("seq", F.col("head").alias("other")))
     both = settle(union_all(pairs).filter("seq <> other").select(F.least("seq", "other").alias("a"), F.greatest("seq", "other").alias("b")).distinct())
-    # Sketches are wide: they are fetched for candidates only, one row per text.
-    needed = both.select(F.explode(F.array("a", "b")).alias("seq")).distinct().join(classes.select("seq", "first.*"), "seq")
-    sketches = settle(needed.join(stored.select("doc_id", "digest", "sketch", "n"), ["doc_id", "digest"]).select("seq", "sketch", "n").dropDuplicates(["seq"]))
-    full = both.join(sketches.toDF("a", "sa", "na"), "a").join(sketches.toDF("b", "sb", "nb"), "b")
-    # The smaller set over the larger bounds the similarity from above.
-    full = full.filter(F.least("na", "nb") >= similarity * F.greatest("na", "nb"))
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, x, y, n, m = (batch.column(c).to_pylist() for c in ("a", "b", "sa", "sb", "na", "nb"))
-            good = [i for i in range(len(a)) if estimate(x[i], y[i], n[i], m[i]) >= similarity]
-            yield pa.RecordBatch.from_arrays([pa.array([v[i] for i in good], pa.int64()) for v in (a, b)], names=["a", "b"])
-
-    roots = min_label(full.select("a", "b", "sa", "sb", "na", "nb").mapInArrow(check, "a long, b long")).withColumnRenamed("node", "seq")
+    roots = min_label(verified(both, classes, stored, similarity)).withColumnRenamed("node", "seq")
     named = classes.select("seq").join(roots, "seq", "left").withColumn("root", F.coalesce("root", "seq"))
     sizes = stored.groupBy("seq").agg(F.count("*").alias("copies"))
     return join_heavy(stored.select("doc_id", "digest", "seq"), named, sizes, "seq", "copies")
