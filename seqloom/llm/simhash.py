@@ -6,8 +6,8 @@ blocks. Inside a route the fingerprints are sorted by Gray rank; runs of neighbo
 their members share, nodes become nodes of a higher level, and a pair of nodes is given up as soon as the
 differences in the bits both share exceed the distance.
 
-The operator over similarity (`similar_classes`, `keep_first`) adds fingerprints of sampled shingles, because 64 bits of all shingles tell
-texts of similarity 0.8 from others only at distances that no index prunes; every candidate is then checked.
+The operator over similarity (`similar_classes`, `keep_first`) joins shingle sets by prefix filtering instead, because 64 bits of all
+shingles tell texts of similarity 0.8 from others only at distances that no index prunes; every candidate is then checked.
 
 Defined results: a null or empty text has no words and fingerprint zero, and is linked like any other; repeated
 rows stay, each with the same component; an empty table gives an empty result; other columns are not read.
@@ -220,11 +220,13 @@ def components(docs: DataFrame, width: int = 3, distance: int = 3) -> DataFrame:
     return join_heavy(stored, classes.select("fp", "component_id"), classes.select("fp", "copies"), "fp", "copies")
 
 
-#: Sampled fingerprints per text, and shingles voting in each.
-SAMPLES, VOTERS = 12, 3
 #: Texts of candidate pairs up to which their keys are sent to all tasks; more are joined, with the same result.
 FEW_TEXTS = 500_000
-_MIX = np.random.default_rng(8).integers(1, 1 << 63, SAMPLES, dtype=np.uint64) | np.uint64(1)
+#: Least number of texts whose shingles are counted, and shingles taken for frequent. Both only set an order of the shingles.
+COUNTED, FREQUENT = 20_000, 100_000
+#: Members of a list compared with all others at once, and members of a block of a longer list.
+SHORT_LIST, BLOCK = 8, 2_000
+_MIX = np.random.default_rng(8).integers(1, 1 << 63, 2, dtype=np.uint64) | np.uint64(1)
 
 
 def shingle_digests(text: bytes, width: int) -> tuple[int, np.ndarray]:
@@ -243,27 +245,142 @@ def shingle_digests(text: bytes, width: int) -> tuple[int, np.ndarray]:
     return whole, np.fromiter(found, np.uint64, len(starts))
 
 
-def _vote(digests: np.ndarray) -> int:
-    total = np.unpackbits(digests.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * total > len(digests), bitorder="little").tobytes(), "little")
+def _least(x: np.ndarray) -> np.ndarray:
+    """Smallest whole number not below x, safe against rounding."""
+    return np.ceil(x - 1e-9).astype(np.int64)
 
 
-def signature(text: bytes, width: int) -> tuple[int, int, list[int], np.ndarray]:
-    """Sequence digest, fingerprint, sampled fingerprints and all distinct shingle digests of a text.
+def possible(n: np.ndarray, i: np.ndarray, m: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets of n and m shingles can be similar if the first one they share is at places i and j of their orders."""
+    return (np.minimum(n, m) >= _least(similarity * np.maximum(n, m))) & (np.minimum(n - i, m - j) >= _least(similarity / (1 + similarity) * (n + m)))
 
-    A sampled fingerprint lets only the `VOTERS` shingles vote that come first in an order of its own, so two texts of
-    similarity s share one with a probability near s to the power `VOTERS`.
+
+def frequent(stored: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles met often in a sample of the texts, in order of their digests, and how often."""
+    part = max(1, min(16, stored.count() // COUNTED))
+    counts = stored.filter(F.pmod(F.xxhash64("seq"), F.lit(part)) == 0).select(F.explode("shingles").alias("k")).groupBy("k").count()
+    table = counts.filter("count >= 8").orderBy(F.desc("count"), "k").limit(FREQUENT).toArrow()
+    keys, times = (table.column(c).to_numpy() for c in ("k", "count"))
+    order = np.argsort(keys)
+    return keys[order], times[order]
+
+
+def prefixes(stored: DataFrame, similarity: float) -> DataFrame:
+    """`(token, seq, n, place)`: the first shingles of each text, in an order common to all that puts frequent ones last.
+
+    Of n shingles so many are taken that two texts of the given similarity have the first shingle they share among them.
+    """
+    shared = stored.sparkSession.sparkContext.broadcast(frequent(stored))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, times = shared.value
+        for batch in batches:
+            for start in range(0, batch.num_rows, 2_000):
+                part = batch.slice(start, 2_000)
+                _, once = np.unique(part.column("seq").to_numpy(), return_index=True)
+                part = part.take(pa.array(once))
+                seq, lists = part.column("seq").to_numpy(), part.column("shingles")
+                flat, n = lists.flatten().to_numpy(), lists.value_lengths().to_numpy().astype(np.int64)
+                row = np.repeat(np.arange(len(n)), n)
+                weight = np.zeros(len(flat), np.int64)
+                if len(keys):
+                    at = np.minimum(np.searchsorted(keys, flat), len(keys) - 1)
+                    weight = np.where(keys[at] == flat, times[at], 0)
+                order = np.lexsort((flat, weight, row))
+                place = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
+                took = place < (n - _least(similarity * n) + 1)[row]
+                columns = flat[order[took]], seq[row[took]], n[row[took]], place[took]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "seq", "n", "place"])
+
+    return stored.select("seq", "shingles").mapInArrow(run, "token long, seq long, n long, place long")
+
+
+def _sorted_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+    return both[:, 0], both[:, 1]
+
+
+def first_pairs(tokens: DataFrame, similarity: float) -> DataFrame:
+    """Rows `(token, a, b, n, place)` from the lists of texts that share a token.
+
+    A short list gives all its pairs `(a, b)`, a longer one those with three representatives and, with a null b, its
+    members, for the pairs left over.
     """
-    whole, every = shingle_digests(text, width)
-    if not len(every):
-        return whole, 0, [0] * SAMPLES, every
-    once = np.unique(every)
-    voters = min(VOTERS, len(once))
-    sampled = []
-    for mix in _MIX:
-        mixed = (once * mix) ^ ((once * mix) >> np.uint64(29))
-        sampled.append(_vote(np.sort(once[np.argpartition(mixed, voters - 1)[:voters]])))
-    return whole, _vote(every), sampled, once
+    spark = tokens.sparkSession
+    n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        token, seq, n, place = (table.column(c).to_numpy() for c in ("token", "seq", "n", "place"))
+        order = np.lexsort((seq, token))
+        token, seq, n, place = token[order], seq[order], n[order], place[order]
+        once = np.concatenate(([True], (token[1:] != token[:-1]) | (seq[1:] != seq[:-1])))
+        token, seq, n, place = token[once], seq[once], n[once], place[once]
+        starts = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+        sizes = np.diff(np.append(starts, len(token)))
+        members = np.repeat(sizes, sizes)
+        found = []
+        for step in range(1, SHORT_LIST):
+            at = np.flatnonzero((token[step:] == token[:-step]) & (members[step:] <= SHORT_LIST)) if len(token) > step else np.zeros(0, np.int64)
+            found.append((at, at + step))
+        long = np.flatnonzero(members > SHORT_LIST)
+        for mix in (None, *_MIX):
+            by = seq[long] if mix is None else seq[long].view(np.uint64) * mix
+            heads = np.lexsort((by, token[long]))
+            edge = np.flatnonzero(np.concatenate(([True], token[long][1:] != token[long][:-1]))) if len(long) else np.zeros(0, np.int64)
+            head = np.repeat(long[heads[edge]], np.diff(np.append(edge, len(long))))
+            found.append((long, head))
+        x, y = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+        good = (x != y) & possible(n[x], place[x], n[y], place[y], similarity)
+        a, b = _sorted_pairs(seq[x[good]], seq[y[good]])
+        names = ["token", "a", "b", "n", "place"]
+        for start in range(0, len(a), 100_000):
+            part = slice(start, start + 100_000)
+            k = len(a[part])
+            yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.array(a[part]), pa.array(b[part]), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], names=names)
+        for start in range(0, len(long), 100_000):
+            part = long[start:start + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(token[part]), pa.array(seq[part]), pa.nulls(len(part), pa.int64()), pa.array(n[part]), pa.array(place[part])], names=names)
+
+    return tokens.repartition(n_parts, "token").mapInArrow(run, "token long, a long, b long, n long, place long")
+
+
+def left_pairs(lists: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """All possible pairs `(a, b)` of members of the long lists `(token, a, n, place)` that have different roots.
+
+    Lists of one root are settled. Others are cut into blocks, and every pair of blocks is compared in a place of its own.
+    """
+    named = lists.join(roots.toDF("a", "root"), "a", "left").withColumn("root", F.coalesce("root", "a"))
+    open_lists = named.groupBy("token").agg(F.count("*").alias("members"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
+    cut = named.join(open_lists.select("token", F.ceil(F.col("members") / BLOCK).alias("blocks")), "token")
+    cut = cut.withColumn("own", F.pmod(F.xxhash64("a"), "blocks"))
+    cut = cut.select("token", "a", "n", "place", "root", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    cut = cut.select("token", "a", "n", "place", "root", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held).sort_by([("token", "ascending"), ("lo", "ascending"), ("hi", "ascending")])
+        token, a, n, place, root, own, lo, hi = (table.column(c).to_numpy() for c in ("token", "a", "n", "place", "root", "own", "lo", "hi"))
+        edge = np.flatnonzero(np.concatenate(([True], (token[1:] != token[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]))))
+        for start, stop in zip(edge.tolist(), [*edge[1:].tolist(), len(token)]):
+            for at in range(start, stop, 256):
+                x, y = np.arange(at, min(at + 256, stop))[:, None], np.arange(at + 1, stop)[None, :]
+                good = (x < y) & (root[x] != root[y]) & ((lo[start] == hi[start]) | (own[x] != own[y]))
+                i, j = np.nonzero(good)
+                i, j = i + at, j + at + 1
+                good = possible(n[i], place[i], n[j], place[j], similarity)
+                if good.any():
+                    low, high = _sorted_pairs(a[i[good]], a[j[good]])
+                    yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], names=["a", "b"])
+
+    spark = lists.sparkSession
+    n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return cut.repartition(n_parts, "token", "lo", "hi").mapInArrow(run, "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, classes: DataFrame, stored: DataFrame, similarity: float) -> DataFrame:
@@ -280,37 +397,29 @@ def verified(pairs: DataFrame, classes: DataFrame, stored: DataFrame, similarity
     return full.filter((F.size("x") == 0) | (both / (F.size("x") + F.size("y") - both) >= similarity)).select("a", "b")
 
 
-def similar_classes(marked: DataFrame, similarity: float = 0.8, width: int = 5, distance: int = 3) -> DataFrame:
+def similar_classes(marked: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
     """`(doc_id, digest, seq, root)` of rows that carry `_near_id` and `_near_digest`: texts whose shingle sets have at least the given
     similarity, directly or through others, share a root.
 
-    Candidates share a sampled fingerprint, or have fingerprints of all shingles within `distance` bits. Each text meets two
-    representatives of every group it falls in, chosen anew in each group, so a group of any size costs two
-    comparisons per member. All candidates are checked by their whole shingle sets.
+    Candidates share one of the first shingles of both in a common order (prefix filtering), so that no pair is missed.
+    Members of a long list first meet three representatives; those still in different components then meet each other.
+    All candidates are checked by their whole shingle sets.
     """
     def each(ids, texts):
-        names = ("seq", "fp", "sampled", "shingles")
-        found = list(zip(*[signature(t, width) for t in texts])) or [[]] * 4
-        out = dict(zip(names, found))
-        out["seq"], out["fp"] = (np.array(out[k], np.uint64).view(np.int64) for k in ("seq", "fp"))
-        out["sampled"] = [np.array(v, np.uint64).view(np.int64) for v in out["sampled"]]
-        out["shingles"] = [v.view(np.int64) for v in out["shingles"]]
-        return out | {"doc_id": [i["_near_id"] for i in ids], "digest": [i["_near_digest"] for i in ids]}
+        found = [shingle_digests(t, width) for t in texts]
+        return {"doc_id": [i["_near_id"] for i in ids], "digest": [i["_near_digest"] for i in ids],
+                "seq": np.array([w for w, _ in found], np.uint64).view(np.int64), "shingles": [np.unique(v).view(np.int64) for _, v in found]}
 
     rows = marked.select(F.struct("_near_id", "_near_digest").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    stored = settle(map_texts(spread(rows), "doc_id long, digest long, seq long, fp long, sampled array<long>, shingles array<long>", each))
-    classes = settle(stored.groupBy("seq").agg(F.first("fp").alias("fp"), F.first("sampled").alias("sampled"), F.min(F.struct("doc_id", "digest")).alias("first")))
-    groups = classes.select("seq", F.posexplode("sampled").alias("t", "k"))
-    pick = [F.min_by("seq", F.xxhash64("seq", "t", F.lit(i))).alias(f"r{i}") for i in (0, 1)]
-    heads = groups.groupBy("t", "k").agg(*pick, F.count("*").alias("members")).filter("members > 1")
-    joined = groups.join(heads.drop("members"), ["t", "k"])
-    pairs = [joined.select("seq", F.col(f"r{i}").alias("other")) for i in (0, 1)]
-    near = links(classes.select("fp").distinct(), distance)
-    by_fp = classes.groupBy("fp").agg(F.min("seq").alias("head"))
-    pairs.append(near.join(by_fp.select(F.col("fp").alias("a"), F.col("head").alias("seq")), "a").join(by_fp.select(F.col("fp").alias("b"), F.col("head").alias("other")), "b").select("seq", "other"))
-    pairs.append(classes.join(by_fp, "fp").select("seq", F.col("head").alias("other")))
-    both = settle(union_all(pairs).filter("seq <> other").select(F.least("seq", "other").alias("a"), F.greatest("seq", "other").alias("b")).distinct())
-    roots = min_label(verified(both, classes, stored, similarity)).withColumnRenamed("node", "seq")
+    stored = settle(map_texts(spread(rows), "doc_id long, digest long, seq long, shingles array<long>", each))
+    classes = stored.groupBy("seq").agg(F.min(F.struct("doc_id", "digest")).alias("first"))
+    first = settle(first_pairs(prefixes(stored, similarity), similarity))
+    edges = settle(verified(first.filter("b is not null").select("a", "b").distinct(), classes, stored, similarity))
+    roots = min_label(edges)
+    left = settle(left_pairs(first.filter("b is null").select("token", "a", "n", "place"), roots, similarity))
+    if not left.isEmpty():
+        roots = min_label(edges.union(verified(left, classes, stored, similarity)))
+    roots = roots.withColumnRenamed("node", "seq")
     named = classes.select("seq").join(roots, "seq", "left").withColumn("root", F.coalesce("root", "seq"))
     sizes = stored.groupBy("seq").agg(F.count("*").alias("copies"))
     return join_heavy(stored.select("doc_id", "digest", "seq"), named, sizes, "seq", "copies")

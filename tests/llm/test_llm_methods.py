@@ -374,6 +374,33 @@ def test_similarity_of_long_texts_is_exact(spark):
     assert sorted(r["doc_id"] for r in kept) == _kept_by_brute_force(rows)
 
 
+def test_families_that_share_a_template(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 60)
+    template, rows = [f"t{j}" for j in range(168)], []
+    for family in range(60):
+        own = [f"f{family}x{j}" for j in range(20)]
+        for member in range(4):
+            # About 0.66 alike across families and 0.83 within one.
+            rows.append((len(rows), " ".join(template + own + [f"m{len(rows)}x{j}" for j in range(14)])))
+    kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = _kept_by_brute_force(rows)
+    assert len(want) == 60 and sorted(r["doc_id"] for r in kept) == want
+
+
+def test_prefix_pairs_by_brute_force(spark, monkeypatch):
+    random.seed(11)
+    monkeypatch.setattr(simhash, "BLOCK", 10)
+    rows = []
+    for group in range(12):
+        shared = [f"g{group}w{j}" for j in range(random.randrange(5, 300))]
+        for _ in range(15):
+            # Words are added and changed at the end, up to a third.
+            words = shared[:len(shared) - random.randrange(0, len(shared) // 5 + 1)]
+            rows.append((len(rows), " ".join(words + [f"r{random.random()}" for _ in range(random.randrange(0, len(shared) // 6 + 2))])))
+    kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in kept) == _kept_by_brute_force(rows)
+
+
 def test_min_label(spark):
     random.seed(7)
     edges = [(i, i + 1) for i in range(100, 160)] + [(5, i) for i in range(6, 60)] + [(random.randint(200, 300), random.randint(200, 300)) for _ in range(60)]
