@@ -443,6 +443,33 @@ def test_automata_know_formats():
     assert np.mean(found) > 0.95 and np.mean(wrong) < 0.01
 
 
+def _planted(spark, n, token):
+    """Texts with long words, listed keys and, in every twelfth, a token of no listed format; and the tokens and words."""
+    draw = random.Random(n)
+    upper, low = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyz"
+    rows, tokens, words = [], {}, {}
+    for i in range(n):
+        words[i] = "".join(draw.choice(low) for _ in range(draw.randint(16, 24)))
+        tokens[i] = token(draw) if i % 12 == 0 else ""
+        key = "AKIA" + "".join(draw.choice(upper) for _ in range(16)) if i % 4 == 1 else ""
+        rows.append((i, f"here is {words[i]} and {key} or {tokens[i]} there"))
+    return spark.createDataFrame(rows, "doc_id long, text string"), tokens, words
+
+
+def _reported(docs):
+    model = secrets.fit(docs)
+    return {r["doc_id"]: r["n_format"] for r in secrets.scan(docs, model).collect()}
+
+
+@pytest.mark.parametrize("n", [240, 6000])
+def test_unlisted_format_is_reported(spark, n):
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    docs, tokens, _ = _planted(spark, n, lambda d: "ASIA" + "".join(d.choice(upper) + d.choice("0123456789") for _ in range(8)))
+    found = _reported(docs)
+    assert np.mean([found[i] == 1 for i in found if tokens[i]]) > 0.95
+    assert np.mean([found[i] > 0 for i in found if not tokens[i]]) < 0.01
+
+
 def test_redact_masks_all(spark):
     docs = read_table(spark, SF_DIR, "documents")
     clean = secrets.redact(docs, secrets.fit(docs))
