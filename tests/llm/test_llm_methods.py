@@ -470,6 +470,20 @@ def test_unlisted_format_is_reported(spark, n):
     assert np.mean([found[i] > 0 for i in found if not tokens[i]]) < 0.01
 
 
+def test_every_candidate_is_scored(spark):
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    docs, tokens, _ = _planted(spark, 480, lambda d: "ASIA" + "".join(d.choice(upper) for _ in range(15)) + d.choice("0123456789"))
+    found = _reported(docs)
+    assert np.mean([found[i] == 1 for i in found if tokens[i]]) > 0.95
+    assert np.mean([found[i] > 0 for i in found if not tokens[i]]) < 0.01
+    # Listed credentials of 13 characters teach that strings of 13 characters can be credentials.
+    docs, tokens, _ = _planted(spark, 480, lambda d: "".join(d.choice("0123456789ABCDEF") for _ in range(13)))
+    listed = docs.withColumn("text", F.concat("text", F.lit(" token="), F.upper(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 13))))
+    found = _reported(listed)
+    assert np.mean([found[i] == 1 for i in found if tokens[i]]) > 0.9
+    assert np.mean([found[i] > 0 for i in found if not tokens[i]]) < 0.01
+
+
 def test_redact_masks_all(spark):
     docs = read_table(spark, SF_DIR, "documents")
     clean = secrets.redact(docs, secrets.fit(docs))
