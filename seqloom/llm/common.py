@@ -73,8 +73,8 @@ def min_label(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) ->
     return stars.union(stars.select(F.col("root").alias("node"), "root")).distinct()
 
 
-def rewrite_texts(docs: DataFrame, extras: str, each: Callable[[list], dict]) -> DataFrame:
-    """All columns with `text` replaced and the `extras` added; `each(texts as bytes or None)` returns both by name."""
+def rewrite_texts(docs: DataFrame, extras: str, each: Callable[..., dict], reads: tuple[str, ...] = ()) -> DataFrame:
+    """All columns with `text` replaced and the `extras` added; `each(texts as bytes or None, values of the columns read)` returns both by name."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType, _parse_datatype_string
 
@@ -85,7 +85,7 @@ def rewrite_texts(docs: DataFrame, extras: str, each: Callable[[list], dict]) ->
         for batch in batches:
             for start in range(0, batch.num_rows, 2_000):
                 part = batch.slice(start, 2_000)
-                new = each(part.column("text").cast(pa.binary()).to_pylist())
+                new = each(part.column("text").cast(pa.binary()).to_pylist(), *(part.column(n).to_pylist() for n in reads))
                 columns = {n: part.column(n) for n in part.schema.names} | {n: pa.array(v, fields.field(n).type) for n, v in new.items()}
                 yield pa.RecordBatch.from_arrays([columns[n].cast(fields.field(n).type) for n in fields.names], schema=fields)
 

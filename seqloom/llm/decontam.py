@@ -31,7 +31,7 @@ from seqloom.session import settle, spread
 SHARD_WORDS = 1_000_000
 
 #: Working columns of `clean`.
-CUT, WORDS = "_decontam_cut", "_decontam_words"
+CUT, WORDS, ROW, STARTS, ENDS = "_decontam_cut", "_decontam_words", "_decontam_row", "_decontam_starts", "_decontam_ends"
 
 _KEEP = set(range(0x30, 0x3A)) | set(range(0x61, 0x7B)) | set(range(0x80, 0x100))
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b in _KEEP else 32 for b in range(256))
@@ -170,8 +170,11 @@ def item_shards(items: DataFrame, shard_words: int = SHARD_WORDS) -> list[list[t
 
 def matches(docs: DataFrame, items: DataFrame, window: int = 10, key: str = "doc_id") -> DataFrame:
     """`(doc_id, n_words, starts, ends, items)` per row: merged hit word spans and the items found, in order."""
+    return _matches(docs, item_shards(items), window, key)
+
+
+def _matches(docs: DataFrame, shards: list[list[tuple[int, bytes]]], window: int, key: str) -> DataFrame:
     stored = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    shards = item_shards(items)
     many = len(shards) > 1
     if many:
         stored = settle(stored.withColumn("row", F.monotonically_increasing_id())).select(F.struct("doc_id", "row").alias("doc_id"), "text")
@@ -232,24 +235,30 @@ def clean(docs: DataFrame, items: DataFrame, window: int = 10, least_words: int
     """Documents with the hit spans of at least `least_words` words cut out of `text`; a document with more than
     `most_coverage` of its words hit is removed. All columns stay; `n_chars` follows the text where present.
     """
-    current = docs.withColumns({CUT: F.lit(0).cast("long"), WORDS: F.lit(0).cast("long")})
-    for shard in item_shards(items):
-        shared = docs.sparkSession.sparkContext.broadcast(ItemAutomaton.build(shard, window))
-
-        def each(texts, shared=shared):
-            automaton = shared.value
-            out: dict[str, list] = {"text": [], "_now_words": [], "_now_cut": []}
-            for text in texts:
-                words = words_of(text or b"")
-                spans = [s for s in automaton.find(words)[0] if s[1] - s[0] >= least_words]
-                out["text"].append((cut_spans(text, spans) if spans else text).decode() if text is not None else None)
-                out["_now_words"].append(len(words))
-                out["_now_cut"].append(sum(b - a for a, b in spans))
-            return out
+    shards = item_shards(items)
+    if len(shards) == 1:
+        current, reads = docs, ()
+        shared = docs.sparkSession.sparkContext.broadcast(ItemAutomaton.build(shards[0], window))
+    else:
+        # The spans of all shards are merged on the original text, which is cut once.
+        rows = settle(docs.withColumn(ROW, F.monotonically_increasing_id()))
+        found = _matches(rows, shards, window, ROW)
+        current, reads = rows.join(found.select(F.col("doc_id").alias(ROW), F.col("starts").alias(STARTS), F.col("ends").alias(ENDS)), ROW), (STARTS, ENDS)
+        shared = None
+
+    def each(texts, *spans_of):
+        out: dict[str, list] = {"text": [], CUT: [], WORDS: []}
+        for text, *given in zip(texts, *spans_of):
+            words = words_of(text or b"")
+            spans = zip(*given) if given else shared.value.find(words)[0]
+            spans = [s for s in spans if s[1] - s[0] >= least_words]
+            out["text"].append((cut_spans(text, spans) if spans else text).decode() if text is not None else None)
+            out[WORDS].append(len(words))
+            out[CUT].append(sum(b - a for a, b in spans))
+        return out
 
-        current = rewrite_texts(spread(current), "_now_words long, _now_cut long", each).withColumns(
-            {CUT: F.col(CUT) + F.col("_now_cut"), WORDS: F.greatest(WORDS, "_now_words")}).drop("_now_words", "_now_cut")
-    return with_length(current.filter(F.col(CUT) <= most_coverage * F.col(WORDS)).drop(CUT, WORDS))
+    done = rewrite_texts(spread(current), f"{CUT} long, {WORDS} long", each, reads)
+    return with_length(done.filter(F.col(CUT) <= most_coverage * F.col(WORDS)).select(*docs.columns))
 
 
 def brute_report(texts: list[tuple[int, str]], items: list[tuple[int, str]], window: int = 10) -> list[tuple]:

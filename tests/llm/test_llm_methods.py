@@ -229,6 +229,20 @@ def test_clean_cuts_spans(spark):
     assert "BETA" not in out[1]["text"] and out[1]["text"].count("w39") == 2 and out[1]["n_chars"] == len(out[1]["text"])
 
 
+def test_clean_cuts_once_over_all_shards(spark, monkeypatch):
+    words = [f"b{i}" for i in range(600)]
+    # Every second item is the start of the one after it, so that cutting the shorter first leaves part of the longer.
+    pairs = [(20 * k, words[20 * k:20 * k + 14]) for k in range(30)]
+    items = spark.createDataFrame([(2 * k + j, " ".join(w if j else w[:11])) for k, (_, w) in enumerate(pairs) for j in (0, 1)], "item_id long, text string")
+    texts = [" ".join([f"d{k}x{i}" for i in range(20)] + w + [f"e{k}x{i}" for i in range(4 if k % 2 else 0)]) for k, (_, w) in enumerate(pairs)]
+    docs = spark.createDataFrame([*((k, t) for k, t in enumerate(texts)), (99, None), (98, ""), (0, texts[0])], "doc_id long, text string")
+    one = sorted(map(tuple, decontam.clean(docs, items, most_coverage=0.4).collect()), key=repr)
+    monkeypatch.setattr(decontam.item_shards, "__defaults__", (300,))
+    assert len(decontam.item_shards(items)) > 1
+    assert sorted(map(tuple, decontam.clean(docs, items, most_coverage=0.4).collect()), key=repr) == one
+    assert not any(f"b{20 * k + 13}" in (t or "").split() for k, t in one)
+
+
 # Licenses
 
 def test_license_matches():
