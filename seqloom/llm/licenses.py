@@ -3,7 +3,7 @@
 Each template is cut into runs of `GRAM` words; of every `WINDOW` neighbouring runs the one with the smallest digest enters an
 inverted index. A text is searched for these runs: any passage of `GRAM + WINDOW - 1` words shared with a template
 holds one. Every candidate is aligned with its template, word by word, inside a band around the diagonal of the run, and reported
-when the matched words cover enough of the template.
+when the matched words cover enough of the template. The band is aligned again beside the words aligned before, until no run is left.
 
 The templates are a parameter of bounded size (at most `MOST_TEMPLATE_WORDS` words, checked). Defined results: null, empty
 and unmatched texts give no row; repeated rows are reported each; of overlapping matches of one text the one with more
@@ -85,18 +85,26 @@ class TemplateIndex:
         """`(template, start word, end word, matched words)` of the matches that cover at least `least` of a template."""
         known = np.fromiter(map(self.ids.get, words, repeat(-1)), np.int64, len(words))
         edge = np.flatnonzero(np.diff(np.concatenate(([False], known >= 0, [False])).astype(np.int8)))
-        spots = set()
+        spots = defaultdict(list)
         for start, stop in zip(edge[::2].tolist(), edge[1::2].tolist()):
             run = known[start:stop].tolist() if stop - start >= GRAM else []
             for i in range(len(run) - GRAM + 1):
                 for t, place in self.index.get(tuple(run[i:i + GRAM]), ()):
                     # Runs on nearby diagonals belong to one alignment.
-                    spots.add((t, round((start + i - place) / BAND)))
-        found = []
-        for t, diagonal in spots:
-            got = align(self.words[t], known, diagonal * BAND)
-            if got and got[2] >= least * len(self.words[t]):
-                found.append((t, *got))
+                    spots[t, round((start + i - place) / BAND)].append(start + i)
+        matches = set()
+        for (t, diagonal), seeds in spots.items():
+            # What was aligned is masked, until no run of this diagonal lies outside all alignments.
+            low = max(0, diagonal * BAND - 2 * BAND)
+            open_words = known[low:max(low, diagonal * BAND + 2 * BAND) + len(self.words[t])].copy()
+            while any((open_words[i - low:i - low + GRAM] >= 0).all() for i in seeds):
+                got = align(self.words[t], open_words, diagonal * BAND - low)
+                if not got:
+                    break
+                open_words[got[0]:got[1]] = -1
+                if got[2] >= least * len(self.words[t]):
+                    matches.add((t, got[0] + low, got[1] + low, got[2]))
+        found = sorted(matches)
         found.sort(key=lambda m: (-m[3], m[1], self.names[m[0]], m[2]))
         # Kept matches lie apart, so only the neighbours of a place can overlap it.
         starts: list[int] = []

@@ -258,6 +258,18 @@ def test_license_matches():
     assert index.find(noise, 0.8) == [] and index.find(words[:30], 0.8) == []
 
 
+@pytest.mark.parametrize("name", ["cc-by-nc-4.0-notice", "mit-notice", "apache-2.0-notice", "gpl-3.0-notice"])
+def test_repeated_notices(name):
+    index = licenses.TemplateIndex({name: licenses.TEMPLATES[name]})
+    words = licenses.words_of(licenses.TEMPLATES[name].encode())
+    for between in (0, 1, 2, 4, 10, 14, 20, 24, 30):
+        text, want = [], []
+        for copy in range(5):
+            want.append((0, len(text), len(text) + len(words), len(words)))
+            text += words + [b"noise%d" % i for i in range(between)]
+        assert sorted(index.find(text, 0.8)) == want
+
+
 def test_license_spans(spark):
     text = "Ünder this: RELEASED under\nthe MIT license!  More words."
     docs = spark.createDataFrame([(1, text), (2, "nothing here")], "doc_id long, text string")
