@@ -222,6 +222,8 @@ def components(docs: DataFrame, width: int = 3, distance: int = 3) -> DataFrame:
 
 #: Texts of candidate pairs up to which their keys are sent to all tasks; more are joined, with the same result.
 FEW_TEXTS = 500_000
+#: Smallest digests kept of a text; a pair that shares under three eighths of those of its union is far from similar. Of pairs at 0.8 one in 10^12 does.
+SKETCH = 64
 #: Least number of texts whose shingles are counted, and shingles taken for frequent. Both only set an order of the shingles.
 COUNTED, FREQUENT = 20_000, 100_000
 #: Members of a list compared with all others at once, and members of a block of a longer list.
@@ -255,22 +257,32 @@ def possible(n: np.ndarray, i: np.ndarray, m: np.ndarray, j: np.ndarray, similar
     return (np.minimum(n, m) >= _least(similarity * np.maximum(n, m))) & (np.minimum(n - i, m - j) >= _least(similarity / (1 + similarity) * (n + m)))
 
 
-def frequent(stored: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(rows: DataFrame, width: int) -> DataFrame:
+    """`(seq, shingles)` of rows `(key, text)`: digest of the word sequence and distinct shingle digests. Not stored: they outgrow the texts."""
+    def each(ids, texts):
+        found = [shingle_digests(t, width) for t in texts]
+        return {"seq": np.array([w for w, _ in found], np.uint64).view(np.int64), "shingles": [np.unique(v).view(np.int64) for _, v in found]}
+
+    return map_texts(spread(rows), "seq long, shingles array<long>", each)
+
+
+def frequent(rows: DataFrame, texts: int, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles met often in a sample of the texts, in order of their digests, and how often."""
-    part = max(1, min(16, stored.count() // COUNTED))
-    counts = stored.filter(F.pmod(F.xxhash64("seq"), F.lit(part)) == 0).select(F.explode("shingles").alias("k")).groupBy("k").count()
+    part = max(1, min(16, texts // COUNTED))
+    sample = rows.filter(F.pmod(F.xxhash64("text"), F.lit(part)) == 0)
+    counts = shingle_sets(sample, width).select(F.explode("shingles").alias("k")).groupBy("k").count()
     table = counts.filter("count >= 8").orderBy(F.desc("count"), "k").limit(FREQUENT).toArrow()
     keys, times = (table.column(c).to_numpy() for c in ("k", "count"))
     order = np.argsort(keys)
     return keys[order], times[order]
 
 
-def prefixes(stored: DataFrame, similarity: float) -> DataFrame:
+def prefixes(rows: DataFrame, texts: int, similarity: float, width: int) -> DataFrame:
     """`(token, seq, n, place)`: the first shingles of each text, in an order common to all that puts frequent ones last.
 
     Of n shingles so many are taken that two texts of the given similarity have the first shingle they share among them.
     """
-    shared = stored.sparkSession.sparkContext.broadcast(frequent(stored))
+    shared = rows.sparkSession.sparkContext.broadcast(frequent(rows, texts, width))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, times = shared.value
@@ -292,7 +304,7 @@ def prefixes(stored: DataFrame, similarity: float) -> DataFrame:
                 columns = flat[order[took]], seq[row[took]], n[row[took]], place[took]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "seq", "n", "place"])
 
-    return stored.select("seq", "shingles").mapInArrow(run, "token long, seq long, n long, place long")
+    return shingle_sets(rows, width).mapInArrow(run, "token long, seq long, n long, place long")
 
 
 def _sorted_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -383,13 +395,19 @@ def left_pairs(lists: DataFrame, roots: DataFrame, similarity: float) -> DataFra
     return cut.repartition(n_parts, "token", "lo", "hi").mapInArrow(run, "a long, b long").distinct()
 
 
-def verified(pairs: DataFrame, classes: DataFrame, stored: DataFrame, similarity: float) -> DataFrame:
-    """The pairs `(a, b)` whose whole shingle sets have at least the given similarity."""
-    # Sets are wide: they are fetched for candidates only, one row per text.
-    needed = settle(pairs.select(F.explode(F.array("a", "b")).alias("seq")).distinct().join(classes.select("seq", "first.*"), "seq"))
+def verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, similarity: float, width: int) -> DataFrame:
+    """The pairs `(a, b)` whose whole shingle sets have at least the given similarity; the sketches settle only those far from it."""
+    sketches = classes.select("seq", "first.sketch")
+    near = pairs.join(sketches.toDF("a", "x"), "a").join(sketches.toDF("b", "y"), "b")
+    union = F.slice(F.array_sort(F.array_union("x", "y")), 1, SKETCH)
+    shared = F.size(F.array_intersect(union, F.array_intersect("x", "y")))
+    pairs = settle(near.filter(8 * shared >= (3 if similarity >= 0.8 else 0) * F.size(union)).select("a", "b"))
+    # Sets are wide: they are made for these pairs only, one row per text.
+    needed = settle(pairs.select(F.explode(F.array("a", "b")).alias("seq")).distinct().join(classes, "seq").select(
+        F.struct(F.col("first.doc_id").alias("_near_id"), F.col("first.digest").alias("_near_digest")).alias("key")))
     if needed.count() <= FEW_TEXTS:
         needed = F.broadcast(needed)
-    sets = settle(stored.select("doc_id", "digest", "seq", "shingles").join(needed, ["doc_id", "digest", "seq"]).select("seq", "shingles").dropDuplicates(["seq"]))
+    sets = settle(shingle_sets(rows.join(needed, "key", "left_semi").dropDuplicates(["key"]), width).dropDuplicates(["seq"]))
     full = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
     # The smaller set over the larger bounds the similarity from above.
     full = full.filter(F.least(F.size("x"), F.size("y")) >= similarity * F.greatest(F.size("x"), F.size("y")))
@@ -407,18 +425,18 @@ def similar_classes(marked: DataFrame, similarity: float = 0.8, width: int = 5)
     """
     def each(ids, texts):
         found = [shingle_digests(t, width) for t in texts]
-        return {"doc_id": [i["_near_id"] for i in ids], "digest": [i["_near_digest"] for i in ids],
-                "seq": np.array([w for w, _ in found], np.uint64).view(np.int64), "shingles": [np.unique(v).view(np.int64) for _, v in found]}
+        return {"doc_id": [i["_near_id"] for i in ids], "digest": [i["_near_digest"] for i in ids], "seq": np.array([w for w, _ in found], np.uint64).view(np.int64),
+                "sketch": [(np.unique(v)[:SKETCH] >> np.uint64(33)).astype(np.int32) for _, v in found]}
 
     rows = marked.select(F.struct("_near_id", "_near_digest").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    stored = settle(map_texts(spread(rows), "doc_id long, digest long, seq long, shingles array<long>", each))
-    classes = stored.groupBy("seq").agg(F.min(F.struct("doc_id", "digest")).alias("first"))
-    first = settle(first_pairs(prefixes(stored, similarity), similarity))
-    edges = settle(verified(first.filter("b is not null").select("a", "b").distinct(), classes, stored, similarity))
+    stored = settle(map_texts(spread(rows), "doc_id long, digest long, seq long, sketch array<int>", each))
+    classes = settle(stored.groupBy("seq").agg(F.min(F.struct("doc_id", "digest", "sketch")).alias("first")))
+    first = settle(first_pairs(prefixes(rows, stored.count(), similarity, width), similarity))
+    edges = settle(verified(first.filter("b is not null").select("a", "b").distinct(), classes, rows, similarity, width))
     roots = min_label(edges)
     left = settle(left_pairs(first.filter("b is null").select("token", "a", "n", "place"), roots, similarity))
     if not left.isEmpty():
-        roots = min_label(edges.union(verified(left, classes, stored, similarity)))
+        roots = min_label(edges.union(verified(left, classes, rows, similarity, width)))
     roots = roots.withColumnRenamed("node", "seq")
     named = classes.select("seq").join(roots, "seq", "left").withColumn("root", F.coalesce("root", "seq"))
     sizes = stored.groupBy("seq").agg(F.count("*").alias("copies"))
