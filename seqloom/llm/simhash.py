@@ -421,7 +421,7 @@ def similar_classes(marked: DataFrame, similarity: float = 0.8, width: int = 5)
 
     Candidates share one of the first shingles of both in a common order (prefix filtering), so that no pair is missed.
     Members of a long list first meet three representatives; those still in different components then meet each other.
-    All candidates are checked by their whole shingle sets.
+    A sketch settles candidates far from the similarity, whole shingle sets all others.
     """
     def each(ids, texts):
         found = [shingle_digests(t, width) for t in texts]
