@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import compression, context_tree, decontam, language, licenses, packing, quality_rules, secrets, simhash, warc
+from seqloom.llm import bond, compression, context_tree, decontam, language, licenses, packing, quality_rules, repair, secrets, simhash, url_rules, warc
 from seqloom.llm.common import crc_bucket, read_table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -62,6 +62,27 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("held_out", held).select("doc_id", "held_out", "lang_pred", "score", "n_positions", "agreeing")
 
 
+#: Listed rules of the contract: verdict, host and path.
+URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
+#: The number of the document that a page shows stands after the language in its path.
+PAGE_DOCUMENT = r"^[^:/?#]*://[^/?#]*/[a-z]{2}/([0-9]{1,18})(?:[./?#]|$)"
+
+
+def op11_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages")
+    number = F.regexp_extract("url", PAGE_DOCUMENT, 1)
+    rules = url_rules.mine(url_rules.labelled(pages, read_table(spark, sf_dir, "labels"), F.when(number != "", number.cast("long"))))
+    return url_rules.judge(pages, rules, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "mined_rule", "mined_confidence")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.reconstruct(repair.damage(read_table(spark, sf_dir, "conversations")))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bond.mine(bond.prepared(read_table(spark, sf_dir, "embeddings")), F.col("vec_id") % 50 == 0)
+
+
 #: Records by payload digest: base32 from five-bit groups of the SHA-1, the first page of a digest is the response.
 OP4_SQL = """
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS h FROM pages),
@@ -114,6 +135,68 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM doc LEFT JOIN words USING (r) LEFT JOIN items USING (r)
 """
 
+
+
+def _add(value: str, cost: int, letter: str) -> str:
+    """Cost in nine digits, then the audit; so the least string is the cheapest, least audit."""
+    return f"lpad(CAST(CAST(left({value}, 9) AS INTEGER) + {cost} AS VARCHAR), 9, '0') || '{letter}' || substr({value}, 10)"
+
+
+def _raw(q: int, after: int) -> str:
+    """Ways to use up a row in state q, of which `after` follows for a user or assistant row."""
+    late = f"CAST(CAST(left(s{after}, 9) AS INTEGER) + 3 AS VARCHAR)"
+    kept = [f"CASE WHEN lower(ch) = '{'u' if after == 2 else 'a'}' THEN CASE WHEN ch = lower(ch) THEN s{after} ELSE lpad({late}, 9, '0') || substr(s{after}, 10) END END"]
+    if q == 0:
+        kept.append("CASE WHEN ch = 's' THEN s1 WHEN ch = 'S' THEN lpad(CAST(CAST(left(s1, 9) AS INTEGER) + 3 AS VARCHAR), 9, '0') || substr(s1, 10) END")
+    ways = [_add(f"s{q}", 4, "D"), f"CASE WHEN ch = lower(ch) THEN {_add(f's{after}', 3, 'R')} ELSE {_add(f's{after}', 6, 'R')} END"]
+    ways += [f"left({k}, 9) || 'K' || substr({k}, 10)" for k in kept]
+    return f"CASE WHEN ch = 'x' THEN {_add(f's{q}', 4, 'D')} ELSE least({', '.join(ways)}) END"
+
+
+#: CRC-32 bit by bit; suffix costs and audits of four states from the last row to the first; the audit replayed over the rows.
+OP12_SQL = rf"""
+WITH RECURSIVE src AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS t, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+hit AS (SELECT *, xor(4294967295::BIGINT, list_reduce(list_concat([4294967295::BIGINT], range(0, 8 * length(k))), lambda c, j:
+  xor(xor(c, CASE WHEN j % 8 = 0 THEN ascii(k[j // 8 + 1]) ELSE 0 END::BIGINT) >> 1, (xor(c, CASE WHEN j % 8 = 0 THEN ascii(k[j // 8 + 1]) ELSE 0 END::BIGINT) & 1) * 3988292384::BIGINT))) % 20 AS d FROM src),
+dam AS (SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role, CASE WHEN d = 1 THEN '' WHEN d = 2 THEN regexp_replace(t, '[.!?]', '', 'g') ELSE t END AS t,
+  unnest(range(0, CASE WHEN d = 3 THEN 2 ELSE 1 END)) AS copy FROM hit WHERE d <> 0),
+ord AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(t), copy) AS i,
+  row_number() OVER (PARTITION BY conv_id, role, t ORDER BY turn NULLS FIRST, copy) AS seen, rtrim(t, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM dam),
+f AS (SELECT conv_id, turn, role, t, i, left(role, 1) AS c, CASE WHEN bare = '' THEN 'b' WHEN seen > 1 THEN 'd' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault,
+  lead(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS nxt FROM ord),
+conv AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+  count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (nxt IS NOT NULL AND c || nxt NOT IN ('su', 'ua', 'au')) AS illegal,
+  string_agg(CASE WHEN fault IN ('b', 'd') THEN 'x' WHEN fault = 't' THEN CASE WHEN c IN ('s', 'u', 'a') THEN upper(c) ELSE 'O' END ELSE CASE WHEN c IN ('s', 'u', 'a') THEN c ELSE 'o' END END, '' ORDER BY i) AS codes
+  FROM f GROUP BY conv_id),
+dp AS (SELECT conv_id, codes, length(codes) AS pos, '000000000' AS s0, '000000006II' AS s1, '000000003I' AS s2, '000000000' AS s3 FROM conv
+  UNION ALL SELECT conv_id, codes, pos, least(r0, {_add('r2', 3, 'I')}, {_add('r3', 6, 'II')}), least(r1, {_add('r2', 3, 'I')}, {_add('r3', 6, 'II')}),
+    least(r2, {_add('r3', 3, 'I')}, {_add('r2', 6, 'II')}), least(r3, {_add('r2', 3, 'I')}, {_add('r3', 6, 'II')})
+  FROM (SELECT conv_id, codes, pos - 1 AS pos, {_raw(0, 2)} AS r0, {_raw(1, 2)} AS r1, {_raw(2, 3)} AS r2, {_raw(3, 2)} AS r3 FROM (SELECT *, codes[pos] AS ch FROM dp WHERE pos > 0))),
+best AS (SELECT conv_id, CAST(left(s0, 9) AS BIGINT) AS cost, substr(s0, 10) AS audit FROM dp WHERE pos = 0),
+letters AS (SELECT conv_id, p, audit[p] AS e FROM best, unnest(range(1, length(audit) + 1)) AS u(p)),
+placed AS (SELECT *, count(*) FILTER (e <> 'I') OVER w AS i, count(*) FILTER (e <> 'D') OVER w AS o FROM letters WINDOW w AS (PARTITION BY conv_id ORDER BY p)),
+lines AS (SELECT l.conv_id, l.o, l.e, f.role, f.t, max(CASE WHEN l.o = 1 AND l.e = 'K' AND f.c = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY l.conv_id) AS s
+  FROM placed l LEFT JOIN f ON l.conv_id IS NOT DISTINCT FROM f.conv_id AND l.i = f.i AND l.e <> 'I' WHERE l.e <> 'D'),
+text AS (SELECT conv_id, string_agg(CASE WHEN e = 'K' THEN role WHEN (o - s) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN e = 'I' THEN '' ELSE t END, chr(10) ORDER BY o) AS x FROM lines GROUP BY conv_id)
+SELECT a.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+  CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(x, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN conv ON a.conv_id IS NOT DISTINCT FROM conv.conv_id
+LEFT JOIN best ON a.conv_id IS NOT DISTINCT FROM best.conv_id LEFT JOIN text ON a.conv_id IS NOT DISTINCT FROM text.conv_id
+"""
+
+#: All scores of the anchors, then windows over them.
+OP13_SQL = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+  list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS q FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+pos AS (SELECT * FROM pairs WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT * FROM (SELECT pos.anchor_id, pos.vec_id AS positive_id, CAST(row_number() OVER (PARTITION BY pos.anchor_id, pos.vec_id ORDER BY n.score DESC, n.vec_id) AS INTEGER) AS rank,
+  n.vec_id AS negative_id, pos.score AS positive_score, n.score AS negative_score
+  FROM pos JOIN pairs n ON n.anchor_id = pos.anchor_id AND NOT n.same AND 50 * pos.score <= 100 * n.score AND 100 * n.score <= 95 * pos.score) WHERE rank <= 3
+"""
+
 QUERIES = {
     "op1_quality_rules": (op1_quality_rules, OP1_SQL),
     "op2_context_tree": (op2_context_tree, None),
@@ -125,4 +208,7 @@ QUERIES = {
     "op8_simhash": (op8_simhash, None),
     "op9_secrets": (op9_secrets, None),
     "op10_language": (op10_language, None),
+    "op11_url_rules": (op11_url_rules, None),
+    "op12_conversation_repair": (op12_conversation_repair, OP12_SQL),
+    "op13_hard_negatives": (op13_hard_negatives, OP13_SQL),
 }
