@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from seqloom.functions.scalar import clip, not_finite, search_sorted
 from seqloom.functions.vectors import interpolation_basis
 from seqloom.layout import KEY, NEED, SCORED
-from seqloom.operators.quantiles import exact_quantiles
+from seqloom.operators.quantiles import exact_quantiles, many_quantiles
 from seqloom.operators.scoring import SUMS, Systems, moments, scored_rows, wp
 from seqloom.operators.slices import by_target
 from seqloom.session import settle
@@ -155,6 +155,11 @@ def poor_row_threshold(df: DataFrame, target: str, prediction: str, q: float = 0
     return exact_quantiles(df, F.abs(clip(target) - clip(prediction)), [q])[0]
 
 
+def poor_row_thresholds(df: DataFrame, pairs: dict[str, str], q: float = 0.75) -> dict[str, float]:
+    """The same for several targets `{target: prediction}` in one set of passes."""
+    return {t: v[0] for t, v in many_quantiles(df, {t: F.abs(clip(t) - clip(p)) for t, p in pairs.items()}, [q])[()].items()}
+
+
 def poor_row_gain(df: DataFrame, base: Sequence[str], candidate: Sequence[str], thresholds: dict[str, float], targets: Sequence[str] = ("t0", "t1")) -> DataFrame:
     """Weighted squared-error gain of the candidate, on rows where the base was poor and on all rows."""
     rows = by_target(scored_rows(df), {"a": base, "b": candidate})

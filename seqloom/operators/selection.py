@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.functions.scalar import column
+from seqloom.functions.scalar import column, logistic
 from seqloom.layout import KEY, SequenceSpec
+from seqloom.operators.boosting import Response, Settings, boost, predicted
 from seqloom.operators.ordered import per_sequence
 from seqloom.operators.sampling import crossfit_folds
 from seqloom.session import settle
@@ -43,12 +44,17 @@ def logistic_propensity(df: DataFrame, features: Sequence, label: Column, spec:
     return _score([maker.fit(rows.filter(F.col("fold") != k)) for k in range(folds)], rows, folds)
 
 
-def tree_propensity(df: DataFrame, features: Sequence, label: Column, spec: SequenceSpec, folds: int = 4, rounds: int = 64,
-                    max_depth: int = 3, seed: int = 1) -> DataFrame:
-    """Out-of-fold boosted-tree probabilities."""
-    rows = _prepared(df, features, label, folds, spec)
-    maker = GBTClassifier(featuresCol="_features", labelCol="_label", maxIter=rounds, maxDepth=max_depth, seed=seed)
-    return _score([maker.fit(rows.filter(F.col("fold") != k)) for k in range(folds)], rows, folds)
+#: Fixed values of the tree fit.
+TREES = Settings(rounds=64, leaves=15, rate=0.1, l2=1.0, min_leaf=40, bins=255, loss="logistic")
+
+
+def tree_propensity(df: DataFrame, features: Sequence, label: Column, spec: SequenceSpec, folds: int = 4, settings: Settings = TREES) -> DataFrame:
+    """Out-of-fold probabilities of boosted leaf-wise trees; the models of all folds grow in the same passes."""
+    names = [f"_f{i}" for i in range(len(features))]
+    tagged = per_sequence(df, crossfit_folds(df, folds), spec=spec)
+    rows = settle(tagged.withColumns({n: column(f).cast("double") for n, f in zip(names, features)} | {"_label": label.cast("double")}))
+    models = boost(rows, names, [Response(F.col("_label"), F.lit(1.0), F.col("fold") != k) for k in range(folds)], settings)
+    return rows.withColumn("propensity", logistic(predicted(models, names, F.col("fold")))).drop(*names, "_label")
 
 
 def fold_rates(df: DataFrame, label: Column, folds: DataFrame, spec: SequenceSpec) -> DataFrame:

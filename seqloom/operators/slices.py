@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from seqloom.functions.scalar import clip, column, correlation, magnitude_bucket, position_bucket
 from seqloom.layout import KEY, NEED, SCORED, STEP, SequenceSpec
 from seqloom.operators.ordered import lags, previous_marked
-from seqloom.operators.quantiles import exact_quantiles
+from seqloom.operators.quantiles import many_quantiles
 from seqloom.operators.scoring import SUMS, Systems, moments, scored_rows, six, with_wp
 from seqloom.session import settle
 
@@ -87,11 +87,8 @@ def sequence_spread(df: DataFrame, systems: Systems, reference: str = "base", ca
         F.count("*").alias("sequences"),
         F.avg((F.col(candidate) > F.col(reference)).cast("double")).alias("better_share"),
     )
-    rows = []
-    for (t,) in share.select("target").collect():
-        mine = per.filter(F.col("target") == t)
-        base, cand = (exact_quantiles(mine, s, (0.1, 0.5, 0.9)) for s in (reference, candidate))
-        rows.append((t, *base, *cand))
+    deciles = many_quantiles(per, {reference: reference, candidate: candidate}, (0.1, 0.5, 0.9), by=["target"])
+    rows = [(t, *q[reference], *q[candidate]) for (t,), q in deciles.items()]
     names = [f"{s}_{q}" for s in (reference, candidate) for q in ("q10", "q50", "q90")]
     table = df.sparkSession.createDataFrame(rows, "target string, " + ", ".join(f"{n} double" for n in names))
     return share.join(table, "target")
@@ -240,10 +237,8 @@ def residual_summary(df: DataFrame, predictions: Sequence[str] = ("p0", "p1"), t
         *[F.avg(e).alias(f"m{i}") for i, e in enumerate(res)], *[F.stddev_pop(e).alias(f"s{i}") for i, e in enumerate(res)],
         F.corr(res[0], res[1]).alias("c"),
     ).first()
-    out = []
-    for i, (t, p) in enumerate(zip(targets, predictions)):
-        q = exact_quantiles(rows, p, (0.0, 0.01, 0.5, 0.99, 1.0))
-        out.append((t, stats[f"m{i}"], stats[f"s{i}"], stats["c"], *q))
+    found = many_quantiles(rows, dict(zip(targets, predictions)), (0.0, 0.01, 0.5, 0.99, 1.0))[()]
+    out = [(t, stats[f"m{i}"], stats[f"s{i}"], stats["c"], *found[t]) for i, t in enumerate(targets)]
     return df.sparkSession.createDataFrame(
         out, "target string, residual_mean double, residual_std double, cross_target_corr double, "
         "q00 double, q01 double, q50 double, q99 double, q100 double")

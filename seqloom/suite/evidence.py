@@ -269,7 +269,7 @@ EA, EB = f"({sclip('y')} - {sclip('a')})", f"({sclip('y')} - {sclip('b')})"
     f"th AS (SELECT target, quantile_cont(abs({EA}), 0.75) AS thr FROM ab GROUP BY target)"))
 def a49(s, d):
     rows = scoring.scored_rows(seq(s, d))
-    limits = {t: populations.poor_row_threshold(rows, t, p) for t, p in (("t0", "p0"), ("t1", "p1"))}
+    limits = populations.poor_row_thresholds(rows, {"t0": "p0", "t1": "p1"})
     return round_all(populations.poor_row_gain(seq(s, d), BASE["base"], BOTH["candidate"], limits))
 
 
@@ -294,6 +294,19 @@ def a51(s, d):
     return binned(seq(s, d), "p0", edges, "bin").groupBy("bin").agg(F.count("*").alias("n"))
 
 
+MANY = {"x0": "x0", "x1": "x1", "p0": "p0", "residual": "t1 - p1"}
+
+
+@query("a51_many_quantiles", sql(" UNION ALL ".join(
+    f"SELECT seq_ix % 4 AS part, '{n}' AS name, {q}::DOUBLE AS q, {r(f'quantile_cont({e}, {q})')} AS value FROM seq GROUP BY ALL" for n, e in MANY.items() for q in (0.0, 0.05, 0.5, 0.9, 1.0))))
+def a51b(s, d):
+    from seqloom.operators.quantiles import many_quantiles
+    probs = (0.0, 0.05, 0.5, 0.9, 1.0)
+    found = many_quantiles(seq(s, d).withColumn("part", F.col(KEY) % 4), {n: F.expr(e) for n, e in MANY.items()}, probs, by=["part"])
+    rows = [(part, n, q, v) for (part,), table in found.items() for n, line in table.items() for q, v in zip(probs, line)]
+    return round_all(s.createDataFrame(rows, "part bigint, name string, q double, value double"))
+
+
 KNOTS = [-2.0, -1.0, 0.0, 1.0, 2.0]
 
 

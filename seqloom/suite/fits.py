@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from seqloom.functions import scalar, vectors
 from seqloom.layout import KEY, STEP
-from seqloom.operators import curves, gradients, joins, memory, objective, ordered, populations, ridge, sampling, scoring, selection, slices, transport, trees
+from seqloom.operators import boosting, curves, gradients, joins, memory, objective, ordered, populations, ridge, sampling, scoring, selection, slices, transport, trees
 from seqloom.operators.quantiles import exact_quantiles
 from seqloom.suite.fixture import LONG_SQL, XS, r, round_all, sclip, seq, six_sql, spec, sql, wp_sql
 
@@ -338,7 +338,7 @@ def m13(s, d):
 @query("m14_selection_trees")
 def m14(s, d):
     rows = scoring.required_rows(seq(s, d))
-    return round_all(_selection_report(selection.tree_propensity(rows, [*XS, "p0", "p1"], F.col("is_scored"), spec(s, d), folds=2, rounds=3, max_depth=2)))
+    return round_all(_selection_report(selection.tree_propensity(rows, [*XS, "p0", "p1"], F.col("is_scored"), spec(s, d))))
 
 
 HIST = [f"hb AS (SELECT 0 AS node, unnest([0, 1]) AS feature, unnest([(x1 > 1)::INT + (x1 > 3)::INT + (x1 > 5)::INT, (x2 > 0.5)::INT + (x2 > 1.0)::INT + (x2 > 1.5)::INT]) AS bin, abs({sclip('t0')}) AS w, abs({sclip('t0')}) * ({sclip('t0')} - p0) AS g FROM seq WHERE need_prediction)",
@@ -355,13 +355,86 @@ def m15(s, d):
     return round_all(trees.split_gains(hist, 4, 100.0, 50).select("node", "feature", "bin", "n", "gain"))
 
 
+def _residual(target, base):
+    y = scalar.clip(target)
+    return boosting.Response(y - F.col(base), F.abs(y), F.lit(True))
+
+
 @query("m15_boosted_residual")
 def m15b(s, d):
-    df = scoring.required_rows(seq(s, d))
-    model = trees.boosted_residual(df, XS, "t1", "p1", rounds=2, n_bins=8, min_leaf=50)
-    systems = {"base": ("p1",), "boosted": (F.col("p1") + trees.score_trees(model, XS),)}
-    return round_all(slices.weighted_mse(df.select("t1", "p1", *XS, "need_prediction", "is_scored").withColumn("t0", F.col("t1")).withColumns({"p0": F.col("p1")}),
-                                         {n: (c[0], c[0]) for n, c in systems.items()}).filter("target = 't1'"))
+    rows = scoring.required_rows(seq(s, d))
+    features = [*XS, "p0", "p1"]
+    models = boosting.boost(rows, features, [_residual("t0", "p0"), _residual("t1", "p1")], boosting.Settings())
+    moved = [F.col(f"p{k}") + boosting.predicted(models, features, F.lit(k)) for k in (0, 1)]
+    return round_all(slices.weighted_mse(rows.withColumns({"b0": moved[0], "b1": moved[1]}), {"base": ("p0", "p1"), "boosted": ("b0", "b1")}))
+
+
+@query("m15_small_trees")
+def m15d(s, d):
+    rows = scoring.required_rows(seq(s, d))
+    features = [*XS, scalar.clip("p0"), scalar.clip("p1")]
+    model = boosting.boost(rows, features, [_residual("t0", "p0")], boosting.Settings(rounds=32, leaves=7, rate=0.08, l2=20.0, min_leaf=100))
+    rows = rows.withColumn("c", boosting.predicted(model, features))
+    grid = {f"{k:g}": (F.col("p0") + F.col("c") * k, F.col("p1")) for k in (0.0, 0.25, 0.5, 1.0)}
+    return round_all(scoring.wp_report(rows, grid))
+
+
+CODES = "(x1 > 1)::INT + (x1 > 3)::INT + (x1 > 5)::INT", "(x2 > 0.5)::INT + (x2 > 1.0)::INT + (x2 > 1.5)::INT"
+EDGES = [[1.0, 3.0, 5.0], [0.5, 1.0, 1.5]]
+ROOT = "g*g/(w+10) + (ag-g)*(ag-g)/(aw-w+10) - ag*ag/(aw+10)"
+
+
+def _cut(name, source, node):
+    """The best split of every node of `source`, rows `(node, feature, bin, gain)`."""
+    return [f"{name}h AS (SELECT {node} AS node, feature, bin, count(*) AS n, sum(g) AS g, sum(w) AS w FROM {source} GROUP BY ALL)",
+            f"""{name}r AS (SELECT node, feature, bin, sum(n) OVER u AS n, sum(g) OVER u AS g, sum(w) OVER u AS w, sum(n) OVER a AS an, sum(g) OVER a AS ag, sum(w) OVER a AS aw
+            FROM {name}h WINDOW u AS (PARTITION BY node, feature ORDER BY bin), a AS (PARTITION BY node, feature))""",
+            f"""{name}s AS (SELECT node, feature, bin, {ROOT} AS gain FROM {name}r WHERE n >= 50 AND an - n >= 50 AND bin < 3 AND {ROOT} > 0
+            QUALIFY row_number() OVER (PARTITION BY node ORDER BY gain DESC, feature, bin) = 1)"""]
+
+
+@query("m15_first_tree", sql(
+    f"SELECT feature_path, n::BIGINT AS n, {r('0.05::DOUBLE * g / (w + 10)')} AS value FROM leaf",
+    f"""fb AS (SELECT *, row_number() OVER () AS id, y - base AS z FROM (SELECT {CODES[0]} AS c0, {CODES[1]} AS c1, abs({sclip('t0')}) AS w, {sclip('t0')} - p0 AS y,
+      sum(abs({sclip('t0')}) * ({sclip('t0')} - p0)) OVER () / sum(abs({sclip('t0')})) OVER () AS base FROM seq WHERE need_prediction))""",
+    "fl AS (SELECT id, w, w * z AS g, 0 AS feature, c0 AS bin, c0, c1 FROM fb UNION ALL SELECT id, w, w * z, 1, c1, c0, c1 FROM fb)",
+    *_cut("ra", "fl", "0"),
+    "fm AS (SELECT fl.*, CASE WHEN (CASE ras.feature WHEN 0 THEN c0 ELSE c1 END) <= ras.bin THEN 1 ELSE 2 END AS node FROM fl, ras)",
+    *_cut("rb", "fm", "node"),
+    "pick AS (SELECT * FROM rbs ORDER BY gain DESC, node LIMIT 1)",
+    """leaf AS (SELECT feature_path, count(*) AS n, sum(g) AS g, sum(w) AS w FROM (SELECT fm.g, fm.w, CASE WHEN fm.node = pick.node THEN
+      fm.node || CASE WHEN (CASE pick.feature WHEN 0 THEN c0 ELSE c1 END) <= pick.bin THEN 'l' ELSE 'r' END ELSE fm.node::VARCHAR END AS feature_path
+      FROM fm, pick WHERE fm.feature = 0) GROUP BY ALL)"""))
+def m15e(s, d):
+    """Three leaves of the first tree; a leaf is named by the side of the root and, under the second split, of that."""
+    rows = scoring.required_rows(seq(s, d))
+    model = boosting.boost(rows, ["x1", "x2"], [_residual("t0", "p0")], boosting.Settings(rounds=1, leaves=3, min_leaf=50, bins=4), EDGES)[0]
+    tree = model.trees[0]
+    root = tree[0]
+    path = {}
+    for name, at in (("1", root.left), ("2", root.right)):
+        path |= {at: name} if tree[at].is_leaf else {tree[at].left: name + "l", tree[at].right: name + "r"}
+    named = [trees.Node(v.value, v.feature, v.threshold, v.left, v.right) if not v.is_leaf else trees.Node(float(i)) for i, v in enumerate(tree)]
+    found = rows.select(trees.tree_column(named, ["x1", "x2"]).cast("int").alias("leaf")).groupBy("leaf").agg(F.count("*").alias("n"))
+    names = s.createDataFrame([(i, p, float(tree[i].value)) for i, p in path.items()], "leaf int, feature_path string, value double")
+    return round_all(found.join(F.broadcast(names), "leaf").drop("leaf"))  # as many rows as leaves
+
+
+@query("m14_first_histogram", sql(
+    f"""SELECT fold, feature, bin, count(*) AS n, {r('sum(y - rate)')} AS g, {r('sum(rate * (1 - rate))')} AS h
+    FROM (SELECT f.fold, y, rate, unnest([0, 1]) AS feature, unnest([c0, c1]) AS bin FROM sf JOIN fr f ON sf.fold <> f.fold) GROUP BY ALL""",
+    "pl AS (SELECT seq_ix, (row_number() OVER (ORDER BY seq_ix) - 1) % 4 AS fold FROM (SELECT DISTINCT seq_ix FROM seq WHERE need_prediction))",
+    f"sf AS (SELECT fold::INT AS fold, is_scored::INT AS y, {CODES[0]} AS c0, {CODES[1]} AS c1 FROM seq JOIN pl USING (seq_ix) WHERE need_prediction)",
+    "fr AS (SELECT k AS fold, avg(y) AS rate FROM sf, (SELECT unnest([0, 1, 2, 3]) AS k) WHERE fold <> k GROUP BY k)"))
+def m14b(s, d):
+    """The histograms of the first logistic round, for the models of four folds from one pass."""
+    rows = ordered.per_sequence(scoring.required_rows(seq(s, d)), sampling.crossfit_folds(scoring.required_rows(seq(s, d))), spec=spec(s, d))
+    responses = [boosting.Response(F.col("is_scored").cast("double"), F.lit(1.0), F.col("fold") != k) for k in range(4)]
+    start = boosting.baselines(rows, responses, "logistic")
+    stored = boosting.blocks(rows.withColumns({"f0": F.col("x1"), "f1": F.col("x2")}), ["f0", "f1"], EDGES, responses, start)
+    found = boosting.histograms(stored, [[]] * 4, [[trees.Node()]] * 4, [[0]] * 4, 2, 4, "logistic")
+    cells = [(k, f, b, int(h[f, 2, b]), float(h[f, 0, b]), float(h[f, 1, b])) for (k, _), h in found.items() for f in range(2) for b in range(4) if h[f, 2, b]]
+    return round_all(s.createDataFrame(cells, "fold int, feature int, bin int, n bigint, g double, h double"))
 
 
 @query("m15_library_boosting")

@@ -300,10 +300,35 @@ def number(k):
     return F.col("q") / 50.0 + F.col("dc") * k
 
 
-@query("u01_detect_format", """SELECT 'id' AS id_columns, 'a,b' AS prediction_columns, 'note' AS passthrough_columns, 'average' AS fusion, true AS normalize FROM lineitem LIMIT 1""")
+def _format_sql(columns: dict, kind: str) -> str:
+    """Format of the table `id, columns...`: ids by distinct share, long text by mean length; `kind` gives strategy and normalization."""
+    def listing(test):
+        return "array_to_string(list_filter([" + ", ".join(f"CASE WHEN avg(length(CAST({e} AS VARCHAR))) {test} {fusion.LONG_TEXT} THEN '{c}' END" for c, e in columns.items()) + "], lambda x: x IS NOT NULL), ',')"
+    return (f"SELECT '{kind}' AS source, CASE WHEN count(DISTINCT id) > {fusion.ID_UNIQUE} * count(*) THEN 'id' ELSE '' END AS id_columns, {listing('<=')} AS prediction_columns, "
+            f"{listing('>')} AS passthrough_columns, ")
+
+
+WIDE = "max(CASE WHEN abs(dc / 2 + (1.0 - dc / 2)) > 1e-10 THEN abs(dc / 2 + (1.0 - dc / 2) - 1.0) END) < 0.05"
+CELLS = "q || ' ' || dc"
+TEXT = "f || ' of ' || pk"
+
+
+@query("u01_detect_format", f"""WITH {ITEMS},
+  averaged AS ({_format_sql({"note": "repeat('long text ', 30)", "a": "dc / 2", "b": "1.0 - dc / 2"}, "average")} CASE WHEN bool_and(dc / 2 = round(dc / 2)) THEN 'vote' ELSE 'average' END AS fusion, {WIDE} AS normalize FROM it),
+  voted AS ({_format_sql({"a": "pk"}, "vote")} CASE WHEN bool_and(pk = round(pk)) THEN 'vote' ELSE 'average' END AS fusion, false AS normalize FROM it),
+  celled AS ({_format_sql({"a": CELLS}, "cells")} CASE WHEN bool_and(try_cast(string_split({CELLS}, ' ')[1] AS DOUBLE) IS NOT NULL) AND min(len(string_split({CELLS}, ' '))) = max(len(string_split({CELLS}, ' '))) THEN 'cellwise' ELSE 'text_vote' END AS fusion, false AS normalize FROM it),
+  worded AS ({_format_sql({"a": TEXT}, "text")} CASE WHEN bool_and(try_cast(string_split({TEXT}, ' ')[1] AS DOUBLE) IS NOT NULL) THEN 'cellwise' ELSE 'text_vote' END AS fusion, false AS normalize FROM it)
+  SELECT * FROM averaged UNION ALL SELECT * FROM voted UNION ALL SELECT * FROM celled UNION ALL SELECT * FROM worded""")
 def u01(s, d):
-    df = items(s, d).select("id", F.repeat(F.lit("long text "), 30).alias("note"), (F.col("dc") / 2).alias("a"), (F.lit(1.0) - F.col("dc") / 2).alias("b"))
-    return fusion.detect_format(df)
+    it = items(s, d)
+    half = F.col("dc") / 2
+    tables = {"average": it.select("id", F.repeat(F.lit("long text "), 30).alias("note"), half.alias("a"), (F.lit(1.0) - half).alias("b")), "vote": it.select("id", F.col("pk").alias("a")),
+              "cells": it.select("id", F.concat_ws(" ", "q", "dc").alias("a")), "text": it.select("id", F.concat_ws(" of ", "f", F.col("pk").cast("string")).alias("a"))}
+    out = None
+    for name, df in tables.items():
+        part = fusion.detect_format(df).withColumn("source", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query("u02_fusion_weights", f"""WITH su AS (SELECT s_nationkey AS nation, s_suppkey AS model, s_acctbal::DOUBLE / 10000.0 + 1.0 AS metric, s_suppkey % 3 <> 0 AS maximize,

@@ -89,11 +89,10 @@ BUCKETS = [
         f"SELECT seq_ix, step_in_seq, '{name}' AS system, '{t}' AS target, {t} AS y, {p} AS p, {base} AS pb FROM seq WHERE {SCORED}"
         for name, pair in BOTH.items() for t, p, base in zip(("t0", "t1"), pair, BOTH["base"])) + ")",
     f"""b AS (SELECT system, target, y, p, {POS} AS position, {mag('y')} AS target_magnitude, {mag('pb')} AS prediction_magnitude FROM root)""",
-    f"""g AS (SELECT system, target, CASE WHEN grouping(position) = 0 THEN 'position' WHEN grouping(target_magnitude) = 0 THEN 'target_magnitude'
-      WHEN grouping(prediction_magnitude) = 0 THEN 'prediction_magnitude' ELSE 'all' END AS slice,
-      CASE WHEN grouping(position) = 0 THEN position WHEN grouping(target_magnitude) = 0 THEN target_magnitude
-      WHEN grouping(prediction_magnitude) = 0 THEN prediction_magnitude ELSE 'all' END AS bucket, count(*) AS n, {six_sql('y', 'p')}
-      FROM b GROUP BY GROUPING SETS ((system, target), (system, target, position), (system, target, target_magnitude), (system, target, prediction_magnitude)))""",
+    f"cell AS (SELECT system, target, position, target_magnitude, prediction_magnitude, count(*) AS n, {six_sql('y', 'p')} FROM b GROUP BY system, target, position, target_magnitude, prediction_magnitude)",
+    "g AS (" + " UNION ALL ".join(
+        f"SELECT system, target, '{name}' AS slice, {bucket} AS bucket, CAST(sum(n) AS BIGINT) AS n, {', '.join(f'sum({m}) AS {m}' for m in ('w', 'wy', 'wp', 'wyy', 'wpp', 'wyp'))} FROM cell GROUP BY system, target, {bucket}"
+        for name, bucket in (("all", "'all'"), *((c, c) for c in ("position", "target_magnitude", "prediction_magnitude")))) + ")",
     f"gv AS (SELECT system, target, slice, bucket, n, {wp_sql()} AS v FROM g)",
 ]
 

@@ -202,14 +202,27 @@ def w17(s, d):
     return round_all(out.filter("need_prediction"))
 
 
-@query("w18_causality_check", sql("SELECT 'ema' AS operator, count(*) AS violations FROM seq WHERE false UNION ALL SELECT 'lag', count(*) FROM seq WHERE false"))
+ALTERED = "CASE WHEN step_in_seq >= 50 THEN x0 * -3.0::DOUBLE + 7.0::DOUBLE ELSE x0 END"
+
+
+@query("w18_causality_check", ema_sql(
+    {"a": ("x0", 0.05), "b": ("alt", 0.05)},
+    """SELECT 'ema' AS operator, count(*) FILTER (step_in_seq < 50 AND a IS DISTINCT FROM b) AS violations FROM em
+    UNION ALL SELECT 'lag', count(*) FILTER (step_in_seq < 50 AND la IS DISTINCT FROM lb) FROM wi
+    UNION ALL SELECT 'peak', count(*) FILTER (step_in_seq < 50 AND x0 - pa IS DISTINCT FROM x0 - pb) FROM wi""",
+    (f"base AS (SELECT *, {ALTERED} AS alt FROM seq)",
+     """wi AS (SELECT *, lag(x0, 10) OVER w AS la, lag(alt, 10) OVER w AS lb, max(x0) OVER (PARTITION BY seq_ix) AS pa, max(alt) OVER (PARTITION BY seq_ix) AS pb
+     FROM base WINDOW w AS (PARTITION BY seq_ix ORDER BY step_in_seq))""")))
 def w18(s, d):
+    """Two causal operators, and one that looks ahead: the distance from the sequence's peak."""
     df, sp = seq(s, d).select(KEY, STEP, "x0"), spec(s, d)
-    ema = memory.causality_violations(df, lambda x: memory.ema(x, {"s": ("x0", 0.05)}, sp), ["s"], 50, ["x0"])
-    lag = memory.causality_violations(df, lambda x: ordered.lags(x, {"l": ("x0", 10)}, sp), ["l"], 50, ["x0"])
-    count = [F.count("*").alias("violations")]
-    return ema.agg(*count).select(F.lit("ema").alias("operator"), "violations").unionByName(
-        lag.agg(*count).select(F.lit("lag").alias("operator"), "violations"))
+    operators = {"ema": lambda x: memory.ema(x, {"o": ("x0", 0.05)}, sp), "lag": lambda x: ordered.lags(x, {"o": ("x0", 10)}, sp),
+                 "peak": lambda x: x.join(x.groupBy(KEY).agg(F.max("x0").alias("_m")), KEY).withColumn("o", F.col("x0") - F.col("_m"))}
+    out = None
+    for name, fn in operators.items():
+        part = memory.causality_violations(df, fn, ["o"], 50, ["x0"]).agg(F.count("*").alias("violations")).select(F.lit(name).alias("operator"), "violations")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 QUERIES = Q

@@ -105,6 +105,17 @@ def x05(s, d):
     return round_all(replay.parity(replayed(s, df, ["x0"], Leaky), batch, ["y"]), digits=9)
 
 
+@query("x05_parity_gap", ema_sql(
+    {"a": ("x0", 0.1), "b": ("x0", 0.11)},
+    f"""SELECT count(*) AS stream_rows, count(*) FILTER (step_in_seq % 13 <> 5) AS batch_rows, count(*) FILTER (step_in_seq % 13 = 5) AS unmatched,
+    {r('max(abs(a - b)) FILTER (step_in_seq % 13 <> 5)')} AS gap_y FROM em JOIN seq USING (seq_ix, step_in_seq) WHERE need_prediction"""))
+def x05b(s, d):
+    """A batch side of another decay and with rows left out: both faults are found and measured."""
+    df = seq(s, d).select(KEY, STEP, "need_prediction", "x0")
+    batch = memory.ema(df, {"y": ("x0", 0.11)}, spec(s, d)).filter("need_prediction").filter(F.col(STEP) % 13 != 5)
+    return round_all(replay.parity(replayed(s, df, ["x0"], Leaky), batch, ["y"]))
+
+
 @query("x06_late_rows", sql("SELECT seq_ix, step_in_seq FROM seq WHERE step_in_seq % 17 = 3"))
 def x06(s, d):
     df = seq(s, d).select(KEY, STEP, "need_prediction", "x0")

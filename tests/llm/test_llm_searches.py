@@ -51,10 +51,10 @@ def test_rules_equal_counted_sets(spark):
 
 
 def test_mined_rules_judge_unseen_pages(spark):
-    pages = spark.createDataFrame(_urls(900), "page_id long, url string")
-    marks = spark.createDataFrame([(i, 1 - _bad(i, u), 0) for i, u in _urls(600)], "doc_id long, quality int, toxic int")
+    pages = spark.createDataFrame(_urls(4_000), "page_id long, url string")
+    marks = spark.createDataFrame([(i, 1 - _bad(i, u), 0) for i, u in _urls(3_000)], "doc_id long, quality int, toxic int")
     rules = url_rules.mine(url_rules.labelled(pages, marks, F.col("page_id")))
-    got = url_rules.judge(pages.filter("page_id >= 600"), rules).collect()
+    got = url_rules.judge(pages.filter("page_id >= 3000"), rules).collect()
     wrong = [(r["url"], r["verdict"], r["mined_rule"]) for r in got if (r["verdict"] == "block") != ("win-big" in r["url"] and "/en/" in r["url"])]
     assert not wrong
 
