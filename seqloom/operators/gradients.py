@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from seqloom.functions.scalar import clip, column
 from seqloom.layout import KEY, SequenceSpec
-from seqloom.operators.resampling import bootstrap_counts, resampled_sums
+from seqloom.operators.resampling import bootstrap_sums
 from seqloom.operators.ridge import present
 from seqloom.operators.sampling import required_rank
 from seqloom.operators.scoring import SUMS, moments
@@ -136,7 +136,7 @@ def gradient_noise(df: DataFrame, features: Sequence, base: Sequence, draws: int
     b = cross.select(KEY, target_no.alias("_t"), F.explode(crosses).alias("_c")).select(KEY, (F.col("_t") * block + F.col("_c.i")).alias("i"), "_c.v")
     entry = F.sort_array(F.collect_list(F.struct("i", "v")))  # a fixed number of cells per sequence
     vectors = settle(a.unionByName(b).groupBy(KEY).agg(F.transform(entry, lambda p: p["v"]).alias("vec")))
-    sums = resampled_sums(vectors, bootstrap_counts(vectors, draws, seed), draws)
+    sums = bootstrap_sums(vectors, draws, seed).select("draw", F.posexplode("sums").alias("position", "value"))
     # One draw holds (6 + 3 * features) values per target.
     long = sums.withColumns({"t": F.floor(F.col("position") / block).cast("int"), "i": F.pmod(F.col("position"), F.lit(block))})
     label = F.element_at(F.array(*[F.lit(t) for t in targets]), F.col("t") + 1)

@@ -1,46 +1,196 @@
 """Sequence bootstrap, influence and block checks on per-sequence moments.
 
-All draws derive from md5 of (seed, draw, slot), so systems and populations compared in one call share
-the same picks, and results do not depend on partitioning.
+A bootstrap draw picks n of n sequences with replacement. The picks are not made one by one: the number that falls to the left half of a range of
+sequences is binomial given the number that falls to the range, so each task finds the counts of its own range by splitting n down the halves from
+the whole to single sequences. All tasks that pass a node make the same split from the same digits of (seed, draw, node), so nothing but the
+moments is moved and only draws x sums leave a task. Systems and populations compared in one call share the draws, and results do not
+depend on partitioning.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.functions.hashing import digest, draw_index
+from seqloom.functions.hashing import digest
 from seqloom.layout import KEY
 from seqloom.operators.quantiles import exact_quantiles
 from seqloom.operators.sampling import sequence_places
 from seqloom.operators.scoring import SUMS, pack, unpack, with_wp
-from seqloom.session import settle
+from seqloom.session import place_for_python, settle
 from seqloom.sources.ingest import dense_index
 
 Contrasts = dict[str, dict[str, float]]  # name -> coefficient per system
 DELTA: Contrasts = {"delta": {"candidate": 1.0, "base": -1.0}}
+#: Picks that one digit splits, and sequences of a range, about; a range's counts are held at once.
+PIECE, LEAF = 512, 2_048
+# The steps of the 64-bit mixer.
+MIX_ADD, MIX_ONE, MIX_TWO = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """Scramble 64-bit numbers."""
+    x = np.atleast_1d(np.asarray(x, np.uint64)) + np.uint64(MIX_ADD)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(MIX_ONE)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(MIX_TWO)
+    return x ^ (x >> np.uint64(31))
+
+
+def _unit(h: np.ndarray, node: np.ndarray, piece: int) -> np.ndarray:
+    """Uniform numbers in [0, 1): a row per node, a column per draw."""
+    key = (np.asarray(node, np.uint64).reshape(-1, 1) << np.uint64(24)) | np.uint64(piece)
+    return (mix(h[None, :] ^ key) >> np.uint64(11)).astype(float) / 2.0**53
+
+
+@lru_cache(maxsize=4_096)
+def _cumulated(m: int, left: int, size: int) -> np.ndarray:
+    """Probabilities of at most 0 .. m - 1 of m picks going left."""
+    if left in (0, size):
+        return np.full(m, 0.0 if left else 1.0)
+    p, j = left / size, np.arange(m)
+    logs = [math.lgamma(m + 1.0) - math.lgamma(i + 1.0) - math.lgamma(m - i + 1.0) for i in range(m)]
+    return np.cumsum(np.exp(np.array(logs) + j * math.log(p) + (m - j) * math.log(1.0 - p)))
+
+
+def _inverse(u: np.ndarray, m: np.ndarray, left: int, size: int) -> np.ndarray:
+    """Binomial numbers of m picks from uniform numbers."""
+    sizes, at = np.unique(m, return_inverse=True)
+    rows = [_cumulated(int(k), left, size) for k in sizes]
+    start = np.cumsum([0, *map(len, rows)])[:-1]
+    # Tables one after another, 2 apart: one search serves all.
+    flat = np.concatenate([row + 2.0 * i for i, row in enumerate(rows)])
+    at = at.reshape(m.shape)
+    return np.searchsorted(flat, u + 2.0 * at, side="right") - start[at]
+
+
+def _split(m: np.ndarray, left: int, size: int, h: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """How many of the m picks of each node and draw go left; m picks are split in pieces of `PIECE`."""
+    out = np.zeros_like(m)
+    for piece in range(-(-int(m.max(initial=0)) // PIECE)):
+        part = np.clip(m - PIECE * piece, 0, PIECE)
+        out += _inverse(_unit(h, node, piece), part, left, size)
+    return out
+
+
+def draw_keys(draws: int, seed: int) -> np.ndarray:
+    return mix(mix(np.uint64(seed)) ^ np.arange(draws, dtype=np.uint64))
+
+
+def levels(n: int) -> int:
+    """Halvings from n sequences to ranges of at most one."""
+    return max(0, (n - 1).bit_length())
+
+
+class Splitter:
+    """Counts of ranges of sequences; the upper nodes met on the way are remembered, one row of draws each."""
+
+    def __init__(self, n: int, draws: int, seed: int, depth: int):
+        self.n, self.depth, self.h = n, depth, draw_keys(draws, seed)
+        self.known: dict[int, np.ndarray] = {1: np.full((1, draws), n, dtype=np.int64)}
+
+    def bounds(self, level: int, place: int) -> tuple[int, int, int]:
+        """First, middle and end sequence of a node: the ends are whole parts of multiples of n / 2^level."""
+        return tuple(self.n * (2 * place + k) >> (level + 1) for k in range(3))
+
+    def node(self, node: int) -> np.ndarray:
+        """Picks of a node in each draw."""
+        if node not in self.known:
+            parent = node >> 1
+            level = parent.bit_length() - 1
+            lo, mid, hi = self.bounds(level, parent - (1 << level))
+            m = self.node(parent)
+            k = _split(m, mid - lo, hi - lo, self.h, np.array([parent]))
+            self.known[2 * parent], self.known[2 * parent + 1] = k, m - k
+        return self.known[node]
+
+    def counts(self, leaf: int) -> tuple[int, np.ndarray]:
+        """First sequence of a leaf range, and picks of its sequences, a row each."""
+        nodes, m = np.array([(1 << self.depth) + leaf]), self.node((1 << self.depth) + leaf)
+        first = self.bounds(self.depth, leaf)[0]
+        for level in range(self.depth, levels(self.n)):
+            ends = np.array([self.bounds(level, int(x) - (1 << level)) for x in nodes])
+            left, size = ends[:, 1] - ends[:, 0], ends[:, 2] - ends[:, 0]
+            k = np.zeros_like(m)
+            for a, b in np.unique(np.stack([left, size], 1), axis=0):
+                here = np.flatnonzero((left == a) & (size == b))
+                if b:
+                    k[here] = _split(m[here], int(a), int(b), self.h, nodes[here])
+            nodes = np.stack([2 * nodes, 2 * nodes + 1], 1).ravel()
+            m = np.stack([k, m - k], 1).reshape(len(nodes), -1)
+        ends = np.array([self.bounds(levels(self.n), int(x) - (1 << levels(self.n))) for x in nodes])
+        return first, m[ends[:, 2] > ends[:, 0]]
+
+
+def _leaves(indexed: DataFrame) -> tuple[DataFrame, int, int]:
+    """Rows with the number `_leaf` of their range of sequences, ranges together and in order; the number of sequences, and halvings to a range."""
+    n = indexed.agg(F.max("n")).first()[0] or 0
+    depth = max(0, levels(n) - levels(LEAF))
+    leaf = F.floor(((F.col("idx") + 1) * F.lit(1 << depth) - 1) / F.lit(max(n, 1))).cast("long")
+    return place_for_python(indexed.withColumn("_leaf", leaf), "_leaf").sortWithinPartitions("_leaf", "idx"), n, depth
+
+
+def _by_leaf(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+    """The rows of one range after another."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        leaf = b.column("_leaf").to_numpy()
+        cuts = [0, *(np.flatnonzero(leaf[1:] != leaf[:-1]) + 1).tolist(), len(leaf)]
+        for start, stop in zip(cuts, cuts[1:]):
+            part = b.slice(start, stop - start)
+            if held and held[0].column("_leaf")[0].as_py() != leaf[start]:
+                yield held[0].column("_leaf")[0].as_py(), pa.Table.from_batches(held)
+                held = []
+            if part.num_rows:
+                held.append(part)
+    if held:
+        yield held[0].column("_leaf")[0].as_py(), pa.Table.from_batches(held)
 
 
-def _picks(indexed: DataFrame, draws: int, seed: int) -> DataFrame:
-    """`(draw, idx, times)`: n picks with replacement per draw.
+def bootstrap_counts(ids: DataFrame, draws: int, seed: int, key: str = KEY) -> DataFrame:
+    """`(draw, key, times)`: how often each sequence is picked in each draw, made where the sequence is."""
+    placed, n, depth = _leaves(settle(dense_index(ids, key)))
+    schema = f"draw int, idx long, times long, `{key}` {ids.schema[key].dataType.simpleString()}"
 
-    The n slots of a draw are the index rows themselves, so nothing needs the number of sequences on
-    the driver. Picks move once, to the place of the sequence they name: they are counted there, and what joins
-    the sequences on `idx` or sums over draws needs no other exchange of them.
-    """
-    slots = indexed.select(F.col("idx").alias("_slot"), "n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    picks = slots.select("draw", draw_index(F.col("n"), seed, F.col("draw"), F.col("_slot")).alias("idx"))
-    return picks.repartition("idx").groupBy("draw", "idx").agg(F.count("*").alias("times"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        splitter = Splitter(n, draws, seed, depth)
+        for leaf, rows in _by_leaf(batches):
+            first, counts = splitter.counts(leaf)
+            idx, keys = rows.column("idx").to_numpy(), rows.column(key).combine_chunks()
+            for start in range(0, len(idx), 64):
+                part = counts[idx[start:start + 64] - first]
+                at, draw = np.nonzero(part)
+                yield pa.RecordBatch.from_arrays([pa.array(draw.astype(np.int32)), pa.array(idx[start:start + 64][at]), pa.array(part[at, draw]), keys.take(pa.array(start + at))], names=["draw", "idx", "times", key])
 
+    return placed.mapInArrow(run, schema).select("draw", key, "times")
 
-def bootstrap_counts(ids: DataFrame, draws: int, seed: int, key: str = KEY) -> DataFrame:
-    """`(draw, key, times)`: how often each sequence is picked in each draw."""
-    index = settle(dense_index(ids, key))
-    return _picks(index, draws, seed).join(index.select(key, "idx"), "idx").select("draw", key, "times")
+
+def bootstrap_sums(vectors: DataFrame, draws: int, seed: int, key: str = KEY) -> DataFrame:
+    """`(draw, sums array<double>)`: sum over sequences of times * vector, for rows `(key, vec array<double>)`, one per sequence.
+
+    A missing number counts as 0. Only one (draws x width) block leaves each task.
+    """
+    placed, n, depth = _leaves(vectors.join(dense_index(vectors, key), key).select("idx", "n", "vec"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        splitter, total = Splitter(n, draws, seed, depth), None
+        for leaf, rows in _by_leaf(batches):
+            first, counts = splitter.counts(leaf)
+            x = np.nan_to_num(rows.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, -1), nan=0.0, posinf=np.inf, neginf=-np.inf)
+            part = counts[rows.column("idx").to_numpy() - first].T.astype(float) @ x
+            total = part if total is None else total + part
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(draws, dtype=np.int32)), pa.array(total.tolist(), pa.list_(pa.float64()))], names=["draw", "sums"])
+
+    cells = placed.mapInArrow(run, "draw int, sums array<double>").select("draw", F.posexplode("sums").alias("position", "value"))
+    total = cells.groupBy("draw", "position").agg(F.sum("value").alias("value"))
+    entry = F.array_sort(F.collect_list(F.struct("position", "value")))  # as many as a vector is wide
+    return total.groupBy("draw").agg(F.transform(entry, lambda p: p["value"]).alias("sums"))
 
 
 def names_of(contrasts: Contrasts) -> list[str]:
@@ -65,9 +215,9 @@ def bootstrap_draws(per_sequence: DataFrame, contrasts: Contrasts, draws: int, s
     """Contrast values of every draw. `per_sequence` holds `(seq, system, target, six sums)`."""
     systems = names_of(contrasts)
     wide = pack(per_sequence, [KEY], systems, targets)
-    wide = settle(wide.join(dense_index(wide, KEY), KEY))  # one row per sequence
-    sums = [F.sum(F.col("times") * F.col(f"`{s}|{t}|{m}`")).alias(f"{s}|{t}|{m}") for s in systems for t in targets for m in SUMS]
-    pooled = _picks(wide, draws, seed).join(wide, "idx").groupBy("draw").agg(*sums)
+    cells = [f"{s}|{t}|{m}" for s in systems for t in targets for m in SUMS]
+    vectors = settle(wide.select(KEY, F.array(*[F.col(f"`{c}`") for c in cells]).alias("vec")))  # one row per sequence
+    pooled = bootstrap_sums(vectors, draws, seed).select("draw", *[F.get("sums", F.lit(i)).alias(c) for i, c in enumerate(cells)])
     return contrast_values(with_wp(unpack(pooled, ["draw"], systems, targets)), contrasts, ["draw"])
 
 
@@ -153,38 +303,8 @@ def split_half(per_sequence: DataFrame, contrasts: Contrasts = DELTA, draws: int
         F.avg((F.col("a") * F.col("b") > 0).cast("double")).alias("same_sign_share"), F.avg(F.abs(F.col("a") - F.col("b"))).alias("mean_difference"))
 
 
-def resampled_sums(vectors: DataFrame, counts: DataFrame, draws: int, key: str = KEY) -> DataFrame:
-    """`(draw, position, value)`: sum over sequences of times * vector, as matrix products per task.
-
-    `vectors` is `(key, vec array<double>)`. A sequence's counts form one array of length `draws`; only
-    one (draws x width) block leaves each task.
-    """
-    entry = F.collect_list(F.struct("draw", "times"))  # at most `draws` entries per sequence
-    per = counts.groupBy(key).agg(entry.alias("_c"))
-    joined = vectors.join(per, key).select("vec", "_c")
-
-    def run(batches):
-        total = None
-        for pdf in batches:
-            x = np.vstack(pdf["vec"].to_numpy()).astype(float)
-            c = np.zeros((len(pdf), draws))
-            for i, items in enumerate(pdf["_c"]):
-                for item in items:
-                    c[i, item["draw"]] = item["times"]
-            part = c.T @ x
-            total = part if total is None else total + part
-        if total is not None:
-            d, k = np.meshgrid(np.arange(total.shape[0]), np.arange(total.shape[1]), indexing="ij")
-            yield pd.DataFrame({"draw": d.ravel(), "position": k.ravel(), "value": total.ravel()})
-
-    parts = joined.mapInPandas(run, "draw int, position int, value double")
-    return parts.groupBy("draw", "position").agg(F.sum("value").alias("value"))
-
-
 def interval(drawn: DataFrame, value: str, level: float = 0.95) -> tuple[float, float]:
     """Interval of one drawn statistic."""
     tail = (1.0 - level) / 2.0
     lower, upper = exact_quantiles(drawn, value, (tail, 1.0 - tail))
     return lower, upper
-
-

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from seqloom.functions import scalar
 from seqloom.layout import KEY, STEP
 from seqloom.operators import joins, populations, resampling, sampling, scoring
-from seqloom.suite.fixture import BASE, BOTH, LONG_SQL, XS, r, round_all, sclip, seq, six_sql, spec, sql, table, wp_sql
+from seqloom.suite.fixture import BASE, BOTH, LONG_SQL, XS, counts_sql, r, round_all, sclip, seq, six_sql, spec, sql, table, wp_sql
 
 Q: dict = {}
 SCORED = "need_prediction AND is_scored"
@@ -31,21 +31,24 @@ IDX = "ids AS (SELECT seq_ix, row_number() OVER (ORDER BY substr(md5(seq_ix::VAR
 
 
 def picks(seed, draws=DRAWS):
-    pick = f"('0x' || substr(md5('{seed}:' || draw || ':' || a.idx), 1, 15))::BIGINT % a.n"
-    return (f"cnt AS (SELECT draw, b.seq_ix, count(*) AS times FROM (SELECT draw, {pick} AS pick FROM ids a, (SELECT unnest(range({draws})) AS draw)) p "
-            "JOIN ids b ON b.idx = p.pick GROUP BY ALL)")
-
-
-DRAWN = [
-    LONG_SQL, MSEQ, IDX, picks(17),
-    "dm AS (SELECT draw, system, target, " + ", ".join(f"sum(times * {m}) AS {m}" for m in scoring.SUMS) + " FROM cnt JOIN mseq USING (seq_ix) GROUP BY ALL)",
-    f"dw AS (SELECT draw, system, target, {wp_sql()} AS wp FROM dm)",
-    "dd AS (SELECT draw, a.target, a.wp - b.wp AS v FROM dw a JOIN dw b USING (draw, target) WHERE a.system = 'candidate' AND b.system = 'base')",
-    "de AS (SELECT draw, target, v FROM dd UNION ALL SELECT draw, 'combined', avg(v) FROM dd GROUP BY draw)",
-    f"pm AS (SELECT system, target, {SUM6} FROM mseq GROUP BY ALL)",
-    f"pw AS (SELECT a.target, {wp_sql('a.')} - {wp_sql('b.')} AS v FROM pm a JOIN pm b USING (target) WHERE a.system = 'candidate' AND b.system = 'base')",
-    "pe AS (SELECT target, v FROM pw UNION ALL SELECT 'combined', avg(v) FROM pw)",
-]
+    return counts_sql(seed, draws)
+
+
+def drawn(seed, draws=DRAWS):
+    """`de` holds the contrast of every draw, `pe` its value on all sequences."""
+    return [
+        LONG_SQL, MSEQ, IDX, picks(seed, draws),
+        "dm AS (SELECT draw, system, target, " + ", ".join(f"sum(times * {m}) AS {m}" for m in scoring.SUMS) + " FROM cnt JOIN mseq USING (seq_ix) GROUP BY ALL)",
+        f"dw AS (SELECT draw, system, target, {wp_sql()} AS wp FROM dm)",
+        "dd AS (SELECT draw, a.target, a.wp - b.wp AS v FROM dw a JOIN dw b USING (draw, target) WHERE a.system = 'candidate' AND b.system = 'base')",
+        "de AS (SELECT draw, target, v FROM dd UNION ALL SELECT draw, 'combined', avg(v) FROM dd GROUP BY draw)",
+        f"pm AS (SELECT system, target, {SUM6} FROM mseq GROUP BY ALL)",
+        f"pw AS (SELECT a.target, {wp_sql('a.')} - {wp_sql('b.')} AS v FROM pm a JOIN pm b USING (target) WHERE a.system = 'candidate' AND b.system = 'base')",
+        "pe AS (SELECT target, v FROM pw UNION ALL SELECT 'combined', avg(v) FROM pw)",
+    ]
+
+
+DRAWN = drawn(17)
 
 
 @query("a24_paired_bootstrap", sql(

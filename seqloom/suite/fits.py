@@ -9,7 +9,7 @@ from seqloom.functions import scalar, vectors
 from seqloom.layout import KEY, STEP
 from seqloom.operators import boosting, curves, gradients, joins, memory, objective, ordered, populations, ridge, sampling, scoring, selection, slices, transport, trees
 from seqloom.operators.quantiles import exact_quantiles
-from seqloom.suite.fixture import LONG_SQL, XS, r, round_all, sclip, seq, six_sql, spec, sql, wp_sql
+from seqloom.suite.fixture import LONG_SQL, counts_sql, XS, r, round_all, sclip, seq, six_sql, spec, sql, wp_sql
 
 Q: dict = {}
 SCORED = "need_prediction AND is_scored"
@@ -62,8 +62,7 @@ def a44(s, d):
 
 
 CNT = ("ids AS (SELECT seq_ix, row_number() OVER (ORDER BY substr(md5(seq_ix::VARCHAR), 1, 3), seq_ix) - 1 AS idx, count(*) OVER () AS n FROM (SELECT DISTINCT seq_ix FROM bl))",
-       "cnt AS (SELECT draw, b.seq_ix, count(*) AS times FROM (SELECT draw, ('0x' || substr(md5('9:' || draw || ':' || a.idx), 1, 15))::BIGINT % a.n AS pick "
-       "FROM ids a, (SELECT unnest(range(30)) AS draw)) p JOIN ids b ON b.idx = p.pick GROUP BY ALL)")
+       counts_sql(9, 30))
 
 
 @query("a44_gradient_noise", sql(
@@ -323,6 +322,29 @@ def m12(s, d):
     return round_all(s.createDataFrame([(i, float(c), float(value)) for i, c in enumerate(coef)], "position int, coef double, objective double"))
 
 
+POINTS = [[0.0, 0.0, 0.0], [0.1, -0.2, 0.05], [-0.4, 0.3, 1.5]]
+
+
+def _point(c):
+    return f"p0 + ({c[0]}::DOUBLE) + ({c[1]}::DOUBLE) * x0 + ({c[2]}::DOUBLE) * x2"
+
+
+@query("m12_trial_terms", sql(
+    f"""SELECT grp, trial, feature, {r('-(wyp - wy * wp / w) / sqrt((wyy - wy * wy / w) * greatest(wpp - wp * wp / w, 1e-12))')} AS loss,
+    {r('-((fy - wy / w * f0) - (wyp - wy * wp / w) / greatest(wpp - wp * wp / w, 1e-12) * (fp - wp / w * f0)) / sqrt((wyy - wy * wy / w) * greatest(wpp - wp * wp / w, 1e-12))')} AS gradient
+    FROM tsum JOIN tgrad USING (grp, trial)""",
+    "tp AS (" + " UNION ALL ".join(f"SELECT seq_ix % 4 AS grp, {i} AS trial, t0 AS y, {_point(c)} AS p, x0, x2 FROM seq WHERE need_prediction" for i, c in enumerate(POINTS)) + ")",
+    f"tsum AS (SELECT grp, trial, {six_sql('y', 'p')} FROM tp GROUP BY ALL)",
+    f"""tgrad AS (SELECT grp, trial, feature, sum(a * f) AS f0, sum(a * {sclip('y')} * f) AS fy, sum(a * {sclip('p')} * f) AS fp FROM (SELECT *, CASE WHEN abs(p) < 2 THEN abs({sclip('y')}) ELSE 0.0 END AS a,
+      unnest([0, 1, 2]) AS feature, unnest([1.0::DOUBLE, x0, x2]) AS f FROM tp) GROUP BY grp, trial, feature)"""))
+def m12b(s, d):
+    """Loss and gradient of three trial points in four groups, from one pass."""
+    df = scoring.required_rows(seq(s, d)).withColumn("grp", F.col(KEY) % 4)
+    found = objective.trial_terms(objective.stored_rows(df, F3S(), ["p0"], ["t0"], ["grp"]), [(0, np.array(c)) for c in POINTS], ["grp"])
+    rows = [(g, i, f, float(loss), float(v)) for (g,), terms in found.items() for i, t in enumerate(terms) for loss, grad in [t.loss()] for f, v in enumerate(grad)]
+    return round_all(s.createDataFrame(rows, "grp bigint, trial int, feature int, loss double, gradient double"))
+
+
 def _selection_report(df):
     p, y = F.col("propensity"), F.col("is_scored")
     return populations.log_loss(df, y, p).crossJoin(F.broadcast(populations.roc_auc(df, y, p)))  # one row each
@@ -332,7 +354,7 @@ def _selection_report(df):
 def m13(s, d):
     rows = scoring.required_rows(seq(s, d))
     design = vectors.propensity_design(XS, ["p0", "p1"], STEP, 200, 140)[1:]
-    return round_all(_selection_report(selection.logistic_propensity(rows, design, F.col("is_scored"), spec(s, d), tolerance=1e-5)))
+    return round_all(_selection_report(selection.logistic_propensity(rows, design, F.col("is_scored"), spec(s, d))))
 
 
 @query("m14_selection_trees")

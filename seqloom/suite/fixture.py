@@ -5,11 +5,13 @@ from __future__ import annotations
 import uuid
 from dataclasses import replace
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.functions.scalar import rounded
 from seqloom.layout import KEY, NEED, SCORED, STEP, SequenceSpec
+from seqloom.operators import resampling
 from seqloom.operators.ordered import lags
 from seqloom.session import shared_dir
 from seqloom.sources.ingest import number_rows
@@ -80,8 +82,37 @@ seq AS (SELECT *, p0 * 0.9::DOUBLE + x2 * 0.1::DOUBLE AS q0, p1 * 0.9::DOUBLE +
 
 
 def sql(body: str, *ctes: str) -> str:
-    """Query over `seq` with further common table expressions."""
-    return "WITH " + ",\n".join([SEQ_SQL, *ctes]) + "\n" + body
+    """Query over `seq` with further common table expressions; `tree` is a recursive one."""
+    text = ",\n".join([SEQ_SQL, *ctes])
+    return ("WITH RECURSIVE " if "tree AS (" in text else "WITH ") + text + "\n" + body
+
+
+def _mix_sql(x: str) -> str:
+    """The 64-bit mixer in wide integers."""
+    wrap = "18446744073709551616::UHUGEINT"
+    for shift, step in ((None, None), (30, resampling.MIX_ONE), (27, resampling.MIX_TWO)):
+        if shift is None:
+            x = f"(((({x})::UHUGEINT + {resampling.MIX_ADD}::UHUGEINT) % {wrap})::UBIGINT)"
+        else:
+            x = f"(((xor({x}, {x} >> {shift}))::UHUGEINT * {step}::UHUGEINT % {wrap})::UBIGINT)"
+    return f"xor({x}, {x} >> 31)"
+
+
+def counts_sql(seed: int, draws: int) -> str:
+    """`cnt(draw, seq_ix, times)` of the sequences `ids(seq_ix, idx, n)`: picks split down the halves by the same digits as the operator."""
+    first = int(resampling.mix(np.uint64(seed))[0])
+    ends = ", ".join(f"(n * (2 * (node - (1 << level)) + {k})) >> (level + 1) AS {name}" for k, name in enumerate(("lo", "mid", "hi")))
+    return f"""dr AS (SELECT draw, {_mix_sql(f"xor({first}::UBIGINT, draw::UBIGINT)")} AS h FROM (SELECT unnest(range({draws})) AS draw)),
+nn AS (SELECT count(*) AS n, CASE WHEN count(*) < 2 THEN 0 ELSE ceil(log2(count(*)))::INT END AS deep FROM ids),
+shapes AS (SELECT DISTINCT (s + k) // 2 AS l, s FROM nn, unnest(range(1, n + 1)) AS a(s), unnest([0, 1]) AS b(k)),
+cd AS (SELECT l, s, m, list(c ORDER BY j) AS cs FROM (SELECT l, s, m, j, sum(CASE WHEN l = 0 THEN (j = 0)::INT::DOUBLE WHEN l = s THEN 0.0::DOUBLE ELSE
+  exp(lgamma(m + 1.0::DOUBLE) - lgamma(j + 1.0::DOUBLE) - lgamma(m - j + 1.0::DOUBLE) + j * ln(CASE WHEN l = 0 THEN 1 ELSE l END::DOUBLE / s) + (m - j) * ln(CASE WHEN l = s THEN 1.0::DOUBLE ELSE 1.0::DOUBLE - l::DOUBLE / s END)) END)
+  OVER (PARTITION BY l, s, m ORDER BY j) AS c FROM shapes, nn, unnest(range(1, n + 1)) AS a(m), unnest(range(0, m)) AS b(j)) GROUP BY l, s, m),
+tree AS (SELECT draw, h, 1::BIGINT AS node, 0 AS level, n AS m FROM dr, nn
+  UNION ALL SELECT draw, h, 2 * node + side, level + 1, CASE side WHEN 0 THEN k ELSE m - k END FROM (SELECT t.*, coalesce(len(list_filter(cs, lambda c: c <= t.u)), 0) AS k FROM
+    (SELECT draw, h, node, level, m, {ends}, ({_mix_sql("xor(h, (node << 24)::UBIGINT)")} >> 11)::DOUBLE / 9007199254740992.0::DOUBLE AS u FROM tree, nn WHERE level < deep) t
+    LEFT JOIN cd ON cd.l = t.mid - t.lo AND cd.s = t.hi - t.lo AND cd.m = t.m), (SELECT unnest([0, 1]) AS side)),
+cnt AS (SELECT draw, seq_ix, m AS times FROM (SELECT draw, m, (nn.n * (node - (1 << level))) >> level AS lo FROM tree, nn WHERE level = deep AND m > 0) q JOIN ids ON ids.idx = q.lo)"""
 
 
 def r(expr: str, digits: int = 6) -> str:

@@ -30,21 +30,26 @@ STATS = ("fs AS (SELECT avg(x0) AS m, sqrt(greatest(avg(x0*x0) - avg(x0)*avg(x0)
 
 
 @query("flow_fit_and_evaluate", sql(
-    f"SELECT target, strength, {r('bw')} AS base_wp, {r('wp')} AS candidate_wp FROM pk WHERE k = 1", *STATS,
+    f"""SELECT target, strength, {r('bw')} AS base_wp, {r('wp')} AS candidate_wp, {r('point')} AS point, {r('lower')} AS lower, {r('upper')} AS upper FROM pk JOIN iv USING (target) WHERE k = 1""", *STATS,
     # One target at a time: its design is 1, z and its own base prediction.
     *fit3(rows3(["1.0::DOUBLE", "z", "p0"], src="sx", where="need_prediction AND seq_ix % 2 = 0 AND (step_in_seq - 9) % 5 = 0").split(" UNION ALL ")[0], 0.001),
     "st AS (SELECT unnest([0.0::DOUBLE, 0.05, 0.1, 0.25, 0.5, 1.0]) AS strength)",
     f"gr AS (SELECT 't0' AS target, strength, {six_sql('t0', 'p0 + strength * (c0 + c1*z + c2*p0)')} FROM sx, coef, st WHERE {SCORED} AND seq_ix % 2 = 1 GROUP BY ALL)",
     f"gv AS (SELECT target, strength, {wp_sql()} AS wp FROM gr)",
-    "pk AS (SELECT *, max(CASE WHEN strength = 0 THEN wp END) OVER () AS bw, row_number() OVER (ORDER BY wp DESC, strength) AS k FROM gv)"))
+    "pk AS (SELECT *, max(CASE WHEN strength = 0 THEN wp END) OVER () AS bw, row_number() OVER (ORDER BY wp DESC, strength) AS k FROM gv)",
+    f"""ls AS (SELECT seq_ix, 'base' AS lab, 't0' AS target, {six_sql('t0', 'p0')} FROM sx WHERE {SCORED} AND seq_ix % 2 = 1 GROUP BY ALL
+    UNION ALL SELECT seq_ix, 'candidate', 't0', {six_sql('t0', 'p0 + strength * (c0 + c1*z + c2*p0)')} FROM sx, coef, (SELECT strength FROM pk WHERE k = 1) WHERE {SCORED} AND seq_ix % 2 = 1 GROUP BY ALL)""",
+    *evidence.drawn_contrast([], {"candidate": 1.0, "base": -1.0}, 1),
+    "iv AS (SELECT target, max(pe.v) AS point, quantile_cont(de.v, 0.025) AS lower, quantile_cont(de.v, 0.975) AS upper FROM de JOIN pe USING (target) GROUP BY target)"))
 def fit_and_evaluate(s, d):
     df = seq(s, d)
     train, tune = df.filter(F.col(KEY) % 2 == 0), df.filter(F.col(KEY) % 2 == 1)
     correction.check_roles(train, tune, minimum=5)
     model = correction.fit_correction(train, tune, ["x0"], {"t0": "p0"}, spec(s, d), stride=5)
-    pooled, _ = correction.evaluate_correction(model, tune, draws=20)
+    pooled, interval = correction.evaluate_correction(model, tune, draws=evidence.DRAWS)
     wide = pooled.groupBy("target").agg(*[F.max(F.when(F.col("system") == n, F.col("wp"))).alias(f"{n}_wp") for n in ("base", "candidate")])
-    return round_all(wide.withColumn("strength", F.lit(model.strength["t0"])), "strength")
+    found = wide.join(interval.drop("contrast"), "target")
+    return round_all(found.withColumn("strength", F.lit(model.strength["t0"])), "strength")
 
 
 @query("flow_score_frozen", sql(

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from seqloom.layout import KEY
 from seqloom.operators import decisions, fusion, resampling, retrieval, scoring
 from seqloom.sources import documents
-from seqloom.suite.fixture import BOTH, LONG_SQL, r, round_all, seq, six_sql, sql, table, wp_sql
+from seqloom.suite import evidence
+from seqloom.suite.fixture import BOTH, LONG_SQL, counts_sql, r, round_all, seq, six_sql, sql, table, wp_sql
 
 Q: dict = {}
 SCORED = "need_prediction AND is_scored"
@@ -110,14 +111,13 @@ def t10(s, d):
 
 
 def audit_ctes():
-    pick = "('0x' || substr(md5('41:' || draw || ':' || a.idx), 1, 15))::BIGINT % a.n"
     sums = scoring.SUMS
     return [
         LONG_SQL,
         f"ls AS (SELECT seq_ix, population, system, target, {six_sql('y', 'p')} FROM (SELECT *, 'uniform' AS population FROM long WHERE need_prediction UNION ALL SELECT *, 'official' FROM long WHERE {SCORED}) GROUP BY ALL)",
         f"sel AS (SELECT population, system, avg(v) AS wp FROM (SELECT population, system, target, {wp_sql()} AS v FROM (SELECT population, system, target, {', '.join(f'sum({m}) AS {m}' for m in sums)} FROM ls WHERE seq_ix % 2 = 0 GROUP BY ALL)) GROUP BY ALL)",
         "ids AS (SELECT seq_ix, row_number() OVER (ORDER BY substr(md5(seq_ix::VARCHAR), 1, 3), seq_ix) - 1 AS idx, count(*) OVER () AS n FROM (SELECT DISTINCT seq_ix FROM ls WHERE seq_ix % 2 = 1))",
-        f"cnt AS (SELECT draw, b.seq_ix, count(*) AS times FROM (SELECT draw, {pick} AS pick FROM ids a, (SELECT unnest(range(60)) AS draw)) p JOIN ids b ON b.idx = p.pick GROUP BY ALL)",
+        counts_sql(41, 60),
         f"dm AS (SELECT draw, population, system, target, {', '.join(f'sum(times * {m}) AS {m}' for m in sums)} FROM cnt JOIN ls USING (seq_ix) GROUP BY ALL)",
         f"dw AS (SELECT draw, population, system, avg({wp_sql()}) AS wp FROM dm GROUP BY ALL)",
         "dd AS (SELECT a.population, a.system, quantile_cont(a.wp - b.wp, 0.005) AS lower, quantile_cont(a.wp - b.wp, 0.995) AS upper FROM dw a JOIN dw b USING (draw, population) WHERE a.system = 'candidate' AND b.system = 'base' GROUP BY ALL)",
@@ -138,13 +138,12 @@ def t11(s, d):
 
 
 @query("t12_compare_models", sql(
-    f"SELECT 'delta' AS contrast, target, {r('v')} AS point FROM (SELECT target, v FROM pw UNION ALL SELECT 'combined', avg(v) FROM pw)", LONG_SQL,
-    f"pm AS (SELECT system, target, {six_sql('y', 'p')} FROM long WHERE {SCORED} GROUP BY ALL)",
-    f"pw AS (SELECT a.target, {wp_sql('a.')} - {wp_sql('b.')} AS v FROM pm a JOIN pm b USING (target) WHERE a.system = 'candidate' AND b.system = 'base')"))
+    f"""SELECT 'delta' AS contrast, target, {r('max(pe.v)')} AS point, {r('quantile_cont(de.v, 0.025)')} AS lower, {r('quantile_cont(de.v, 0.975)')} AS upper
+    FROM de JOIN pe USING (target) GROUP BY target""", *evidence.drawn(3, 200)))
 def t12(s, d):
     m = scoring.moments(scoring.scored_rows(seq(s, d)), BOTH, by=[KEY])
     parts = [m.filter(F.col(KEY) % 3 == k) for k in range(3)]
-    return round_all(decisions.compare_models(parts, 40, 3, resampling.DELTA).select("contrast", "target", "point"))
+    return round_all(decisions.compare_models(parts, 200, 3, resampling.DELTA))
 
 
 @query("t13_outcome_label", f"""WITH {LEDGER} SELECT a.run_id, (CASE WHEN a.stage = 'draft' THEN 1 WHEN a.stage = 'debug' THEN CASE WHEN b.buggy AND NOT a.buggy THEN 1 ELSE -1 END
