@@ -48,6 +48,14 @@ class Leaky(replay.StepModel):
         state = 0.1 * row[:1] + 0.9 * state
         return state, (float(state[0]),)
 
+    def block(self, state, first, rows):
+        import numpy as np
+        at, out = float(state[0]), []
+        for x in rows[:, 0].tolist():
+            at = 0.1 * x + 0.9 * at
+            out.append(at)
+        return np.array([at]), np.array(out)[:, None]
+
 
 def replayed(s, df, visible, model):
     out, check = place(s), place(s)
@@ -63,6 +71,35 @@ def x01(s, d):
     return round_all(replayed(s, df, ["x0"], Leaky))
 
 
+@query("x01_continued_replay", ema_sql({"y": ("x0", 0.1)}, f"SELECT seq_ix, step_in_seq, 'ok' AS status, {r('y')} AS y FROM em JOIN seq USING (seq_ix, step_in_seq) WHERE need_prediction AND step_in_seq >= 50"))
+def x01b(s, d):
+    """A stream that begins at step 50, from states that a batch run left."""
+    df = seq(s, d).select(KEY, STEP, "need_prediction", "x0")
+    batch = memory.ema(df, {"y": ("x0", 0.1)}, spec(s, d)).filter(F.col(STEP) == 49)
+    start = batch.select(KEY, F.lit(50).cast("bigint").alias("expected"), F.array("y").alias("state"))
+    late = as_stream(s, df.filter(F.col(STEP) >= 50).repartition(4, F.xxhash64(KEY, STEP)))
+    out = place(s)
+    replay.run_available(replay.stream_replay(late, ["x0"], Leaky, start=start), out, place(s))
+    return round_all(s.read.parquet(out))
+
+
+@query("x06_timed_gap", ema_sql(
+    {"y": ("x0", 0.1)}, f"""SELECT seq_ix, own AS step_in_seq, 'ok' AS status, {r('y')} AS y FROM em JOIN base USING (seq_ix, step_in_seq) WHERE need_prediction
+    UNION ALL SELECT DISTINCT seq_ix, 40, 'gap', NULL::DOUBLE FROM base WHERE own > 40""",
+    ("base AS (SELECT seq_ix, step_in_seq AS own, row_number() OVER (PARTITION BY seq_ix ORDER BY step_in_seq) - 1 AS step_in_seq, need_prediction, x0 FROM seq WHERE step_in_seq <> 40)",)))
+def x06b(s, d):
+    """Step 40 never comes: when its followers have waited for a millisecond, the next batch gives it up."""
+    df = seq(s, d).select(KEY, STEP, "need_prediction", "x0").filter(F.col(STEP) != 40)
+    path, out, check = place(s), place(s), place(s)
+    # A row of another sequence makes the second batch.
+    other = df.limit(1).select(F.lit(-7).cast("bigint").alias(KEY), F.lit(0).cast(df.schema[STEP].dataType).alias(STEP), F.lit(False).alias("need_prediction"), F.lit(0.0).alias("x0"))
+    for rows in (df, other):
+        rows.write.mode("append").parquet(path)
+        stream = s.readStream.schema(df.schema).parquet(path)
+        replay.run_once(replay.stream_replay(stream, ["x0"], Leaky, patience_ms=1), out, check)
+    return round_all(s.read.parquet(out))
+
+
 COEF = [0.05, 0.1, 0.02, 0.3, -0.2]
 
 
