@@ -108,6 +108,18 @@ def test_dilated_stack_equals_endpoints(frame):
     assert np.allclose(np.vstack(full["h"]), np.vstack(sparse["h"]))
 
 
+def test_endpoints_of_other_dilations(frame):
+    _, df = frame
+    spec = SequenceSpec(length=700, warmup=5, chunk=100)
+    w, b = RNG.normal(size=(3, 2, 1, 1)), RNG.normal(size=(3, 1)) * 0.1
+    dilations, offsets = (2, 3, 7), (12, 10, 9, 7, 5, 3, 2, 0, 1)
+    assert [v.tolist() for v in memory.needed_offsets(dilations)] == [[0, 2, 3, 5, 7, 9, 10, 12], [0, 3, 7, 10], [0, 7], [0]]
+    full = back(memory.dilated_stack(df.select(KEY, STEP, "x"), ["x"], w, b, spec, dilations), ["h"])
+    gathered = memory.gather_offsets(df.select(KEY, STEP, "x"), ["x"], spec, offsets)
+    sparse = back(memory.endpoint_features(gathered, ["x"], w, b, dilations=dilations, offsets=offsets), ["h"])
+    assert np.allclose(np.vstack(full["h"]), np.vstack(sparse["h"]))
+
+
 def test_operators_are_causal_and_reset(frame):
     _, df = frame
     for op, outs in ((lambda d: memory.dual_ema(d, ["x"], SPEC), ["x_fast", "x_slow"]), (lambda d: memory.innovation(d, ["x", "z"], SPEC), ["innovation"])):
