@@ -97,7 +97,7 @@ def audit_dataset(df: DataFrame, spec: SequenceSpec) -> DataFrame:
 
 def file_blocks(df: DataFrame) -> DataFrame:
     """Files in which each sequence occurs, for storage audits of a file-backed table."""
-    return df.select(KEY, F.col("_metadata.file_name").alias("file")).groupBy(KEY, "file").count()
+    return df.select(KEY, F.col("_metadata.file_path").alias("file")).groupBy(KEY, "file").count()
 
 
 def duplicate_ids(df: DataFrame, block: str) -> DataFrame:

@@ -10,7 +10,7 @@ from seqloom.functions import scalar, vectors
 from seqloom.layout import KEY, STEP, FeatureLayout
 from seqloom.operators import joins, sampling, scoring
 from seqloom.session import shared_dir
-from seqloom.sources import documents, ingest, ledger, sequences, tables
+from seqloom.sources import buckets, documents, ingest, ledger, sequences, tables
 from seqloom.suite.fixture import XS, build, r, round_all, sclip, seq, six_sql, spec, sql, table, wp_sql
 
 Q: dict = {}
@@ -113,6 +113,36 @@ def s07(s, d):
     return sequences.audit_dataset(seq(s, d), spec(s, d))
 
 
+@query("s07_file_blocks", "SELECT user_id % 50 AS seq_ix, count(DISTINCT (user_id % 3, event_type = 'click')) AS blocks, count(*) AS rows FROM events GROUP BY 1")
+def s07b(s, d):
+    """An id should lie in one file only; here the files are cut across ids."""
+    block = F.concat_ws("-", F.col("user_id") % 3, F.col("event_type") == "click")
+    ev = table(s, d, "events").select((F.col("user_id") % 50).alias(KEY), block.alias("block"))
+    path = f"{shared_dir(s)}/blocks-{uuid.uuid4().hex}"
+    ev.repartition("block").write.partitionBy("block").parquet(path)
+    return sequences.file_blocks(s.read.parquet(path)).groupBy(KEY).agg(F.count("*").alias("blocks"), F.sum("count").alias("rows"))
+
+
+CARD = """SELECT doc_id, 'c' || doc_id AS card_id, 'c' || (doc_id - (doc_id % 7 = 0)::INT) AS file_id, CASE WHEN doc_id % 5 = 0 THEN 2 ELSE 1 END AS schema_version, (doc_id % 3)::INT AS version,
+  (1850 + doc_id % 250)::INT AS year, left(text, 700) AS title, CASE WHEN doc_id % 4 = 0 THEN [] ELSE [lang, source] END AS tags, [source] AS authors FROM documents"""
+
+
+@query("s17_card_rules", f"""SELECT doc_id, array_to_string(list_sort(list_filter([
+  CASE WHEN NOT coalesce(length(trim(title)) BETWEEN 1 AND 600, false) THEN 'text_title' END, CASE WHEN len(tags) = 0 THEN 'list_tags' END,
+  CASE WHEN schema_version <> 1 THEN 'schema_version' END, CASE WHEN version < 1 THEN 'version' END,
+  CASE WHEN NOT (year BETWEEN {documents.YEARS[0]} AND {documents.YEARS[1]}) THEN 'year' END, CASE WHEN card_id <> file_id THEN 'file_name' END], lambda x: x IS NOT NULL)), ',') AS failed FROM ({CARD})""")
+def s17b(s, d):
+    """The rules of a research card over cards made of documents; those rules that have a column here."""
+    n = F.col("doc_id")
+    cards = table(s, d, "documents").select(
+        "doc_id", F.concat(F.lit("c"), n).alias("card_id"), F.concat(F.lit("c"), n - (n % 7 == 0).cast("int")).alias("file_id"), F.when(n % 5 == 0, 2).otherwise(1).alias("schema_version"),
+        (n % 3).cast("int").alias("version"), (F.lit(1850) + n % 250).cast("int").alias("year"), F.left("text", F.lit(700)).alias("title"),
+        F.when(n % 4 == 0, F.array().cast("array<string>")).otherwise(F.array("lang", "source")).alias("tags"), F.array("source").alias("authors"))
+    names = ("text_title", "list_tags", "list_authors", "schema_version", "version", "year", "file_name")
+    rules = {k: v for k, v in documents.card_rules(["title"]).items() if k in names}
+    return documents.validate_documents(cards, rules, None).select("doc_id", F.array_join(F.array_sort("failed"), ",").alias("failed"))
+
+
 @query("s08_duplicate_ids", "SELECT user_id % 50 AS seq_ix, count(DISTINCT event_type) AS blocks FROM events GROUP BY 1 HAVING count(DISTINCT event_type) > 1")
 def s08(s, d):
     ev = table(s, d, "events").select((F.col("user_id") % 50).alias(KEY), "event_type")
@@ -393,6 +423,20 @@ def j01(s, d):
     return joins.join_mask(seq(s, d).select(KEY, STEP, "t0"), mask).filter("keep").groupBy(KEY).agg(F.count("*").alias("n"))
 
 
+@query("j01_bucketed_mask", sql(
+    f"SELECT a.seq_ix, step_in_seq // 100 AS part, count(*) AS n, {r('sum(a.t0)')} AS total FROM seq a JOIN m USING (seq_ix, step_in_seq) WHERE m.keep GROUP BY ALL",
+    "m AS (SELECT seq_ix, step_in_seq, x1 > 2 AS keep FROM seq)"))
+def j01b(s, d):
+    """Rows and mask stored in the same buckets: the join moves neither."""
+    tag = uuid.uuid4().hex[:8]
+    rows = buckets.store_bucketed(seq(s, d).select(KEY, STEP, "t0"), f"rows_{tag}", 8)
+    mask = buckets.store_bucketed(seq(s, d).select(KEY, STEP, (F.col("x1") > 2).alias("keep")), f"mask_{tag}", 8)
+    joined = joins.join_mask(rows, mask.hint("merge")).filter("keep")
+    if buckets.exchanges(joined):
+        raise ValueError("the join of co-partitioned tables moves rows")
+    return round_all(joined.groupBy(KEY, F.floor(F.col(STEP) / 100).cast("bigint").alias("part")).agg(F.count("*").alias("n"), F.sum("t0").alias("total")))
+
+
 @query("j02_paired_predictions", sql(f"SELECT {r('corr(p0, q0)')} AS c0, {r('corr(p1, q1)')} AS c1, count(*) AS n FROM seq"))
 def j02(s, d):
     df = seq(s, d)
