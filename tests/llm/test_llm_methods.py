@@ -283,11 +283,11 @@ def test_ids_equal_the_tokenizer():
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
     random.seed(4)
-    texts = ["", " ", "  a", "a  b\n\n c \t d\x1c\x1d e  ", "I'll it's\x85x 　y", "<|endoftext|> hi<|endoftext|>", "a\x00b  ", "12 34  56?? !!",
+    texts = ["", " ", "  a", "a  b\n\n c \t d\x1c\x1d e  ", "I'll it's\x85x 　y", "<|endoftext|> hi<|endoftext|>", "a <|endoftext|> b", "  <|endoftext|>  <|endoftext|", "<|endoftext|><|endoftext|>x \n<|endoftext|>\n", "a\x00b  ", "12 34  56?? !!",
              "naïve café — 日本語 テスト 😀 ok\r\n\r\nfoo"]
     texts += ["".join(random.choice("ab1 '\n\t.ñ\xa0\x1f日sl") for _ in range(random.randint(1, 60))) for _ in range(300)]
+    texts += ["".join(random.choice(["a", " ", "\n", "<|endoftext|>", "<|", "endoftext", "|>"]) for _ in range(12)) for _ in range(300)]
     assert [np.frombuffer(x, "<u4").tolist() for x in packing.encode_texts(texts, PATH)] == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 

@@ -54,4 +54,4 @@ def test_stages_take_effect(spark, planted):
 
 def test_run_is_the_chain_of_stages(spark, planted):
     assert corpus_pipeline.run(spark, planted[0]).count() > 0
-    assert set(suite.QUERIES) == {f"op{n}_{rest}" for n, rest in (q[2:].split("_", 1) for q in suite.QUERIES)} and len(suite.QUERIES) == 10
+    assert set(suite.QUERIES) == {f"op{n}_{rest}" for n, rest in (q[2:].split("_", 1) for q in suite.QUERIES)} and len(suite.QUERIES) == 13
