@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
-from functools import reduce
+from functools import reduce, wraps
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -29,6 +31,32 @@ def id_text(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return docs.select(F.col(key).cast("long").alias(key), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+#: Functions that empty what a module remembers between rows; a task calls them when it ends.
+FORGET: list[Callable[[], None]] = []
+
+
+def resting(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The same stage function; after its task, idle workers keep neither remembered rows nor freed memory.
+
+    Workers outlive their tasks, and several of them wait next to the one at work.
+    """
+    @wraps(run)
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            for forget in FORGET:
+                forget()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library keeps its own counsel
+                pass
+
+    return wrapped
+
+
 def map_texts(df: DataFrame, schema: str, each: Callable[[list, list], dict]) -> DataFrame:
     """Run `each(ids, texts as bytes)` over Arrow batches of `(id, text)` rows; it returns columns by name."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -44,7 +72,7 @@ def map_texts(df: DataFrame, schema: str, each: Callable[[list, list], dict]) ->
                 columns = each(part.column(0).to_pylist(), texts)
                 yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in fields], schema=fields)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(resting(run), schema)
 
 
 def min_label(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
@@ -89,7 +117,7 @@ def rewrite_texts(docs: DataFrame, extras: str, each: Callable[..., dict], reads
                 columns = {n: part.column(n) for n in part.schema.names} | {n: pa.array(v, fields.field(n).type) for n, v in new.items()}
                 yield pa.RecordBatch.from_arrays([columns[n].cast(fields.field(n).type) for n in fields.names], schema=fields)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(resting(run), schema)
 
 
 def with_length(docs: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import id_text, map_texts
+from seqloom.llm.common import FORGET, id_text, map_texts
 from seqloom.session import settle, spread
 
 # The white space of the vocabulary's own pattern.
@@ -34,6 +34,7 @@ _FINE = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s
 #: Distinct runs that a worker remembers; further ones are encoded again where they occur.
 _REMEMBER = 300_000
 _BOOKS: dict[str, "_Book"] = {}
+FORGET.append(_BOOKS.clear)
 #: The vocabulary writes each byte as one printable character: itself where it is printable, else one from 256 on.
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_CHARS = {b: chr(b) for b in _PRINTED} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in set(_PRINTED))}

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import LOWER, id_text, join_heavy, map_texts, min_label, union_all
+from seqloom.llm.common import LOWER, id_text, join_heavy, map_texts, min_label, resting, union_all
 from seqloom.session import settle, spread
 
 FAN = 8
@@ -206,7 +206,7 @@ def links(codes: DataFrame, distance: int = 3) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(fp[part]), pa.array(fp[labels[part]])], names=["a", "b"])
 
     # Routes are compared by a 64-bit digest of their bits: two that share a digest only add comparisons.
-    return union_all(frames).select("fp", "route").repartition(n, "route").mapInArrow(run, "a long, b long")
+    return union_all(frames).select("fp", "route").repartition(n, "route").mapInArrow(resting(run), "a long, b long")
 
 
 def components(docs: DataFrame, width: int = 3, distance: int = 3) -> DataFrame:
@@ -304,7 +304,7 @@ def prefixes(rows: DataFrame, texts: int, similarity: float, width: int) -> Data
                 columns = flat[order[took]], seq[row[took]], n[row[took]], place[took]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "seq", "n", "place"])
 
-    return shingle_sets(rows, width).mapInArrow(run, "token long, seq long, n long, place long")
+    return shingle_sets(rows, width).mapInArrow(resting(run), "token long, seq long, n long, place long")
 
 
 def _sorted_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -357,7 +357,7 @@ def first_pairs(tokens: DataFrame, similarity: float) -> DataFrame:
             part = long[start:start + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(token[part]), pa.array(seq[part]), pa.nulls(len(part), pa.int64()), pa.array(n[part]), pa.array(place[part])], names=names)
 
-    return tokens.repartition(n_parts, "token").mapInArrow(run, "token long, a long, b long, n long, place long")
+    return tokens.repartition(n_parts, "token").mapInArrow(resting(run), "token long, a long, b long, n long, place long")
 
 
 def left_pairs(lists: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
@@ -392,7 +392,7 @@ def left_pairs(lists: DataFrame, roots: DataFrame, similarity: float) -> DataFra
 
     spark = lists.sparkSession
     n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return cut.repartition(n_parts, "token", "lo", "hi").mapInArrow(run, "a long, b long").distinct()
+    return cut.repartition(n_parts, "token", "lo", "hi").mapInArrow(resting(run), "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, similarity: float, width: int) -> DataFrame:
