@@ -224,8 +224,8 @@ def components(docs: DataFrame, width: int = 3, distance: int = 3) -> DataFrame:
 FEW_TEXTS = 500_000
 #: Smallest digests kept of a text; a pair that shares under three eighths of those of its union is far from similar. Of pairs at 0.8 one in 10^12 does.
 SKETCH = 64
-#: Least number of texts whose shingles are counted, and shingles taken for frequent. Both only set an order of the shingles.
-COUNTED, FREQUENT = 20_000, 100_000
+#: One text in so many has its shingles counted, at every size of the table, and shingles taken for frequent. Both only set an order of the shingles.
+COUNTED, FREQUENT = 2, 1_000_000
 #: Members of a list compared with all others at once, and members of a block of a longer list.
 SHORT_LIST, BLOCK = 8, 2_000
 _MIX = np.random.default_rng(8).integers(1, 1 << 63, 2, dtype=np.uint64) | np.uint64(1)
@@ -266,10 +266,9 @@ def shingle_sets(rows: DataFrame, width: int) -> DataFrame:
     return map_texts(spread(rows), "seq long, shingles array<long>", each)
 
 
-def frequent(rows: DataFrame, texts: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+def frequent(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles met often in a sample of the texts, in order of their digests, and how often."""
-    part = max(1, min(16, texts // COUNTED))
-    sample = rows.filter(F.pmod(F.xxhash64("text"), F.lit(part)) == 0)
+    sample = rows.filter(F.pmod(F.xxhash64("text"), F.lit(COUNTED)) == 0)
     counts = shingle_sets(sample, width).select(F.explode("shingles").alias("k")).groupBy("k").count()
     table = counts.filter("count >= 8").orderBy(F.desc("count"), "k").limit(FREQUENT).toArrow()
     keys, times = (table.column(c).to_numpy() for c in ("k", "count"))
@@ -277,12 +276,12 @@ def frequent(rows: DataFrame, texts: int, width: int) -> tuple[np.ndarray, np.nd
     return keys[order], times[order]
 
 
-def prefixes(rows: DataFrame, texts: int, similarity: float, width: int) -> DataFrame:
+def prefixes(rows: DataFrame, similarity: float, width: int) -> DataFrame:
     """`(token, seq, n, place)`: the first shingles of each text, in an order common to all that puts frequent ones last.
 
     Of n shingles so many are taken that two texts of the given similarity have the first shingle they share among them.
     """
-    shared = rows.sparkSession.sparkContext.broadcast(frequent(rows, texts, width))
+    shared = rows.sparkSession.sparkContext.broadcast(frequent(rows, width))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, times = shared.value
@@ -431,7 +430,7 @@ def similar_classes(marked: DataFrame, similarity: float = 0.8, width: int = 5)
     rows = marked.select(F.struct("_near_id", "_near_digest").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     stored = settle(map_texts(spread(rows), "doc_id long, digest long, seq long, sketch array<int>", each))
     classes = settle(stored.groupBy("seq").agg(F.min(F.struct("doc_id", "digest", "sketch")).alias("first")))
-    first = settle(first_pairs(prefixes(rows, stored.count(), similarity, width), similarity))
+    first = settle(first_pairs(prefixes(rows, similarity, width), similarity))
     edges = settle(verified(first.filter("b is not null").select("a", "b").distinct(), classes, rows, similarity, width))
     roots = min_label(edges)
     left = settle(left_pairs(first.filter("b is null").select("token", "a", "n", "place"), roots, similarity))
