@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from seqloom.layout import KEY
 from seqloom.operators import decisions, fusion, resampling, retrieval, scoring
+from seqloom.session import place_by_rows
 from seqloom.sources import documents
 from seqloom.suite import evidence
 from seqloom.suite.fixture import BOTH, LONG_SQL, counts_sql, r, round_all, seq, six_sql, sql, table, wp_sql
@@ -274,7 +275,9 @@ WEIGHT_SQL = "we AS (SELECT model, rank, metric * (5 - rank) / sum(metric * (5 -
 
 def items(s, d):
     li = table(s, d, "lineitem")
-    return li.groupBy((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id")).agg(
+    rows = li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), "l_quantity", "l_discount", "l_partkey", "l_returnflag")
+    # The files know their number of rows.
+    return place_by_rows(rows, li.count(), "id").groupBy("id").agg(
         F.min("l_quantity").alias("q"), F.min("l_discount").alias("dc"), F.min("l_partkey").alias("pk"), F.min("l_returnflag").alias("f"))
 
 
