@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Thresholds of format detection, weighting and quality rules.
 ID_UNIQUE, LONG_TEXT, SUM_TOLERANCE, SUM_EPS, METRIC_EPS = 0.5, 200, 0.05, 1e-10, 1e-6
@@ -16,6 +20,8 @@ PLACEHOLDERS = {
     "mixed": r"^\d+(\s+[01]\.0+)+(\s+[01])+$",
 }
 
+WORD = re.compile(r"[^ \t\n\x0b\f\r]+")
+
 
 def _words(c: Column) -> Column:
     return F.filter(F.split(F.trim(c), r"\s+"), lambda t: t != "")
@@ -121,30 +127,65 @@ def fuse_vote(pred: DataFrame, weights: DataFrame, by: Sequence[str] = ("id",),
 def fuse_cellwise(pred: DataFrame, weights: DataFrame, by: Sequence[str] = ("id",)) -> DataFrame:
     """Vote per token position, then join the winners with spaces; unanimous texts are kept as they are.
 
-    The predictions of a cell, at most one per model, meet in one aggregate; the vote is array work on them, so no row per
-    token is made. Positions without any token do not occur.
+    The predictions of a cell, at most one per model, meet in one aggregate; the votes of a batch of cells are then counted
+    together, so no row per token is shuffled. Positions without any token do not occur. Ties go to the token of the
+    best-ranked model.
     """
     text = F.coalesce(F.col("value").cast("string"), F.lit(""))
     w = _weighted(pred.withColumn("value", text), weights)
-    cells = w.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("rank", "weight", "value"))).alias("_c"))
-    cells = cells.withColumn("_k", F.size(F.array_distinct(F.transform("_c", lambda x: x["value"]))))
-    split = F.when(F.col("_k") > 1, F.transform("_c", lambda x: F.struct(x["rank"].alias("r"), x["weight"].alias("w"), _words(x["value"]).alias("t"))))
-    cells = cells.withColumn("_t", split).withColumn("_m", F.array_max(F.transform("_t", lambda x: F.size(x["t"]))))
-
-    def winner(pos: Column) -> Column:
-        here = F.filter(F.transform("_t", lambda x: F.struct(x["r"].alias("r"), x["w"].alias("w"), F.get(x["t"], pos).alias("t"))), lambda x: x["t"].isNotNull())
-
-        def tally(token: Column) -> Column:
-            mine = F.filter(here, lambda x: x["t"] == token)
-            total = F.aggregate(mine, F.lit(0.0), lambda a, x: a + x["w"])
-            # Vote sums are compared at 12 digits: their last bit depends on the order of addition.
-            return F.struct(F.round(total, 12).alias("v"), (-F.array_min(F.transform(mine, lambda x: x["r"]))).alias("r"), token.alias("t"))
-
-        return F.array_max(F.transform(F.array_distinct(F.transform(here, lambda x: x["t"])), tally))["t"]
-
-    places = F.when(F.col("_m") > 0, F.sequence(F.lit(0), F.col("_m") - 1)).otherwise(F.array().cast("array<int>"))
-    fused = F.array_join(F.transform(places, winner), " ")
-    return cells.select(*by, F.when(F.col("_k") == 1, F.col("_c")[0]["value"]).otherwise(fused).alias("value"))
+    vote = F.struct(F.col("rank").cast("long").alias("rank"), F.col("weight").cast("double").alias("weight"), "value")
+    cells = w.groupBy(*by).agg(F.collect_list(vote).alias("_c"))
+    schema = T.StructType([f for f in cells.schema if f.name != "_c"] + [T.StructField("value", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            votes = batch.column(len(by))
+            flat = votes.flatten()
+            owner = np.repeat(np.arange(batch.num_rows), votes.value_lengths().to_numpy())
+            rank, weight, value = (flat.field(i) for i in range(3))
+            fused = _cell_votes(owner, rank.to_numpy(), weight.to_numpy(), value, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(by))), pa.array(fused, pa.string())], names=[*by, "value"])
+
+    return cells.select(*by, "_c").mapInArrow(run, schema)
+
+
+def _cell_votes(owner: np.ndarray, rank: np.ndarray, weight: np.ndarray, value: pa.Array, cells: int) -> list[str]:
+    """Fused text of each cell from its votes, which come in order of `owner`."""
+    coded = value.dictionary_encode()
+    texts, code = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+    if not len(code):
+        return []
+    first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+    same = np.minimum.reduceat(code, first) == np.maximum.reduceat(code, first)
+    out = [texts[c] if s else "" for c, s in zip(code[first].tolist(), same.tolist())]
+    words = [WORD.findall(t) for t in texts]
+    names = sorted({w for one in words for w in one})  # code points sort as the bytes do
+    place = {w: i for i, w in enumerate(names)}
+    tokens = np.array([place[w] for one in words for w in one], np.int64)
+    size = np.array([len(one) for one in words])
+    start = np.cumsum(size) - size
+    row = np.flatnonzero(~same[owner])
+    many = size[code[row]]
+    if not many.sum():
+        return out
+    pos = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    token = tokens[np.repeat(start[code[row]], many) + pos]
+    row = np.repeat(row, many)
+    slot = owner[row] * int(many.max()) + pos
+    order = np.lexsort((rank[row], token, slot))
+    slot, token, row = slot[order], token[order], row[order]
+    head = np.flatnonzero(np.concatenate(([True], (slot[1:] != slot[:-1]) | (token[1:] != token[:-1]))))
+    # Vote sums are compared at 12 digits: their last bit depends on the order of addition.
+    total = np.round(np.add.reduceat(weight[row], head), 12)
+    slot, token, best = slot[head], token[head], rank[row[head]]
+    order = np.lexsort((-token, best, -total, slot))
+    slot, token = slot[order], token[order]
+    head = np.flatnonzero(np.concatenate(([True], slot[1:] != slot[:-1])))
+    cell, won = slot[head] // int(many.max()), token[head].tolist()
+    edges = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1], [True]))).tolist()
+    for a, b in zip(edges, edges[1:]):
+        out[cell[a]] = " ".join([names[k] for k in won[a:b]])
+    return out
 
 
 def row_normalize(df: DataFrame, columns: Sequence[str]) -> DataFrame:
