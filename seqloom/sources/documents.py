@@ -23,13 +23,24 @@ LIST_LIMIT = 12
 SIZE_LIMIT = 5_000
 
 
-def read_documents(spark: SparkSession, path: str, schema: str = CARD_SCHEMA) -> DataFrame:
-    """All documents of a folder, with the file name without its ending as `file_id`."""
+def read_documents(spark: SparkSession, path: str, schema: str = CARD_SCHEMA, bundled: bool = False) -> DataFrame:
+    """All documents of a folder, with the file name without its ending as `file_id`.
+
+    A file holds one document; in a bundled folder (`write_bundles`) it holds one per line, next to the name it would have.
+    Opening, listing and renaming files costs some milliseconds each, so large libraries are bundled.
+    """
+    if bundled:
+        return spark.read.schema(f"{schema}, file_id string").json(path)
     df = spark.read.schema(schema).option("multiLine", True).json(path)
     name = F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "")
     return df.select("*", name.alias("file_id"))
 
 
+def write_bundles(df: DataFrame, path: str, name: Column) -> None:
+    """Documents as lines of as many files as `df` has partitions, each line with its `file_id`."""
+    df.withColumn("file_id", name).write.json(path)
+
+
 def failed_rules(rules: dict[str, Column]) -> Column:
     """Sorted names of the rules that do not hold; an unknown answer counts as a failure."""
     return F.sort_array(F.array_compact(F.array(*[

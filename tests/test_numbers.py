@@ -330,3 +330,20 @@ def test_profile_and_json_schema(spark):
     assert got["c"]["examples"] == "s0,s1,s10,s11"
     js = spark.createDataFrame([('{"a": 1}',), ('{"a": 2, "b": "x"}',)], "j string")
     assert tables.infer_json_schema(js, "j").first()[0] == "OBJECT<a: BIGINT, b: STRING>"
+
+
+def test_bundled_documents_need_no_file_each(spark, tmp_path):
+    path = str(tmp_path / "cards")
+    rows = [(f"c{i}", None if i == 3 else f'line\n"{i}" é') for i in range(500)]
+    df = spark.createDataFrame(rows, "card_id string, title string").repartition(3)
+    documents.write_bundles(df, path, F.concat(F.lit("n-"), "card_id"))
+    assert len(list((tmp_path / "cards").glob("part-*"))) == 3
+    read = documents.read_documents(spark, path, "card_id string, title string", bundled=True)
+    assert sorted((r["card_id"], r["title"], r["file_id"]) for r in read.collect()) == sorted((c, t, f"n-{c}") for c, t in rows)
+
+
+def test_document_query_opens_few_files(spark):
+    from conftest import SF_DIR
+    from seqloom.suite import rows
+
+    assert len(rows.s16(spark, SF_DIR).inputFiles()) < 50
