@@ -119,7 +119,40 @@ def _open(b: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 
 def place(codes: np.ndarray, tree: Tree) -> np.ndarray:
-    """Leaf of every row; thresholds are bin numbers. Parents come before their children, so one pass over the nodes is enough."""
+    """Leaf of every row; thresholds are bin numbers.
+
+    Leaves are bits. A split strikes out those of the side a row does not take, whether or not the row comes by, which leaves the
+    row's own bit; the splits of one feature act together through a table by bin, so a row costs one look-up per feature.
+    """
+    leaves = [i for i, node in enumerate(tree) if node.is_leaf]
+    n = codes.shape[1]
+    if len(leaves) == 1:
+        return np.full(n, leaves[0], np.int32)
+    if len(leaves) > 64:
+        return _walked(codes, tree)
+    kind = np.uint16 if len(leaves) <= 16 else np.uint64
+    below = [0] * len(tree)
+    for i in range(len(tree) - 1, -1, -1):  # children come after their parents
+        below[i] = 1 << leaves.index(i) if tree[i].is_leaf else below[tree[i].left] | below[tree[i].right]
+    tables: dict[int, np.ndarray] = {}
+    for node in tree:
+        if not node.is_leaf:
+            table = tables.setdefault(node.feature, np.full(256, below[0], kind))
+            left = np.arange(256) <= node.threshold
+            table &= np.where(left, kind(below[0] & ~below[node.right]), kind(below[0] & ~below[node.left]))
+    bits = None
+    for feature, table in tables.items():
+        part = table.take(codes[feature])
+        bits = part if bits is None else np.bitwise_and(bits, part, out=bits)
+    if kind is np.uint64:
+        return np.array(leaves, np.int32)[np.frexp(bits.astype(float))[1] - 1]
+    number = np.zeros(1 << len(leaves), np.int32)
+    number[1 << np.arange(len(leaves))] = leaves
+    return number.take(bits)
+
+
+def _walked(codes: np.ndarray, tree: Tree) -> np.ndarray:
+    """Leaf of every row by one pass over the nodes, for trees of any size."""
     at = np.zeros(codes.shape[1], dtype=np.int32)
     for i, node in enumerate(tree):
         if not node.is_leaf:

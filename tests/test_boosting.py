@@ -96,3 +96,18 @@ def test_missing_values_and_empty(spark):
     assert all(r["p"] == pytest.approx(0.0 if r["a"] == 1.0 else 0.5) for r in got)
     none = boosting.boost(df.limit(0), ["a"], [Response(F.col("y"), F.col("w"), F.lit(True))], s)
     assert none[0].predict(np.array([[1.0]])) == 0.0
+
+
+def test_place_by_bits_equals_a_walk_at_every_size():
+    from seqloom.operators.trees import Node
+
+    rng = np.random.default_rng(5)
+    codes = rng.integers(0, 256, (4, 500)).astype(np.uint8)
+    for leaves in (1, 2, 15, 16, 17, 63, 64, 65, 100):
+        tree = [Node()]
+        while sum(node.is_leaf for node in tree) < leaves:
+            at = int(rng.choice([i for i, node in enumerate(tree) if node.is_leaf]))
+            tree[at] = Node(feature=int(rng.integers(4)), threshold=float(rng.integers(0, 256)), left=len(tree), right=len(tree) + 1)
+            tree += [Node(value=1.0), Node(value=2.0)]
+        got = boosting.place(codes, tree)
+        assert (got == boosting._walked(codes, tree)).all() and got.dtype == np.int32
