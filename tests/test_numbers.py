@@ -347,3 +347,26 @@ def test_document_query_opens_few_files(spark):
     from seqloom.suite import rows
 
     assert len(rows.s16(spark, SF_DIR).inputFiles()) < 50
+
+
+@pytest.mark.parametrize("hot", [1_000, 6])
+def test_near_duplicates_of_long_sets_are_exact_and_move_few_bytes(spark, monkeypatch, hot):
+    monkeypatch.setattr(retrieval, "HOT_BUCKET", hot)
+    rng = np.random.default_rng(3)
+    bags = [set(rng.choice(2_000, rng.integers(60, 300), replace=False).tolist()) for _ in range(150)]
+    for i in range(150):  # around the threshold, and one family just below it
+        base = list(bags[i % 40 if i < 100 else 0])
+        drop = int(len(base) * rng.choice([0.03, 0.07, 0.08, 0.12]))
+        bags.append(set(base[drop:]) | {10_000 + 500 * i + j for j in range(drop)})
+    df = spark.createDataFrame([(i, [f"w{t}" for t in b]) for i, b in enumerate(bags)], "id long, w array<string>").repartition(8)
+
+    def shuffled():
+        executors = spark.sparkContext._jsc.sc().statusStore().executorList(True)
+        return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.length()))
+
+    before = shuffled()
+    found = {r["id"] for r in retrieval.near_duplicate_titles(df, "id", F.col("w")).collect()}
+    assert found == {i for i, x in enumerate(bags) if any(i != j and len(x & y) / len(x | y) >= 0.85 for j, y in enumerate(bags))}
+    assert 100 < len(found) < len(bags)
+    if hot == 1_000:
+        assert 0 < (shuffled() - before) / sum(map(len, bags)) < 50  # bytes a token
