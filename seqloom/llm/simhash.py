@@ -6,8 +6,9 @@ blocks. Inside a route the fingerprints are sorted by Gray rank; runs of neighbo
 their members share, nodes become nodes of a higher level, and a pair of nodes is given up as soon as the
 differences in the bits both share exceed the distance.
 
-The operator over similarity (`similar_classes`, `keep_first`) joins shingle sets by prefix filtering instead, because 64 bits of all
-shingles tell texts of similarity 0.8 from others only at distances that no index prunes; every candidate is then checked.
+The operator over similarity (`similar_classes`, `keep_first`) takes the linked fingerprints as its first candidates. 64 bits of all shingles
+tell texts of similarity 0.8 from others only at distances that no index prunes, so the pairs further apart are found by joining
+shingle sets by prefix filtering; every candidate is then checked.
 
 Defined results: a null or empty text has no words and fingerprint zero, and is linked like any other; repeated
 rows stay, each with the same component; an empty table gives an empty result; other columns are not read.
@@ -73,15 +74,22 @@ def gray_rank(codes: np.ndarray) -> np.ndarray:
     return rank
 
 
-def _merge(labels: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Smallest label of each component after adding the edges u-v; labels point at smaller items."""
+def _merge(labels: np.ndarray, u: np.ndarray, v: np.ndarray, used: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Smallest label of each component after adding the edges u-v; labels point at smaller items.
+
+    `used` receives the edges that joined two components, fewer than there are items.
+    """
     while True:
         a, b = labels[u], labels[v]
         open_ = a != b
         if not open_.any():
             return labels
         u, v, a, b = u[open_], v[open_], a[open_], b[open_]
-        np.minimum.at(labels, np.maximum(a, b), np.minimum(a, b))
+        high, low = np.maximum(a, b), np.minimum(a, b)
+        np.minimum.at(labels, high, low)
+        took = np.flatnonzero(labels[high] == low)
+        took = took[np.unique(high[took], return_index=True)[1]]
+        used.append((u[took], v[took]))
         while True:
             hop = labels[labels]
             if np.array_equal(hop, labels):
@@ -94,12 +102,18 @@ def linked_items(route: np.ndarray, codes: np.ndarray, distance: int) -> tuple[n
 
     `route` holds a group number per item; only items of one route are compared.
     """
+    return linked_pairs(route, codes, distance)[:2]
+
+
+def linked_pairs(route: np.ndarray, codes: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The same, and pairs of items along the order that are themselves within the distance and join each component."""
     order = np.lexsort((gray_rank(codes), route))
     route, codes = route[order], codes[order]
     n = len(codes)
     labels = np.arange(n)
+    used = [(labels[:0], labels[:0])]
     if n < 2:
-        return order, labels
+        return order, labels, *used[0]
     # Levels from the fingerprints upward: bits that are one in all members, bits that are one in any, first member, owner.
     levels = [(codes, codes, np.arange(n + 1), route, np.arange(n + 1))]
     while True:
@@ -130,7 +144,7 @@ def linked_items(route: np.ndarray, codes: np.ndarray, distance: int) -> tuple[n
             continue
         if level == 0:
             real = a != b
-            labels = _merge(labels, a[real], b[real])
+            labels = _merge(labels, a[real], b[real], used)
             continue
         # All members of both nodes are near each other: one chain links them, no pair is looked at.
         near = np.bitwise_count(~fixed | differ) <= distance
@@ -140,7 +154,7 @@ def linked_items(route: np.ndarray, codes: np.ndarray, distance: int) -> tuple[n
             for s, e in ((low, high), (low2, high2)):
                 size = e - s
                 member = np.repeat(s, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-                labels = _merge(labels, np.repeat(low, size), member)
+                labels = _merge(labels, np.repeat(low, size), member, used)
             a, b = a[~near], b[~near]
         # Nodes whose members already share a component have nothing left to find.
         if len(a):
@@ -158,7 +172,7 @@ def linked_items(route: np.ndarray, codes: np.ndarray, distance: int) -> tuple[n
         kb = kids[b][pair] + inner % nb[pair]
         once = (a[pair] != b[pair]) | (ka <= kb)
         work.append((level - 1, ka[once], kb[once]))
-    return order, labels
+    return order, labels, *(np.concatenate([x[k] for x in used]) for k in (0, 1))
 
 
 def _block_masks(bits: list[int], blocks: int) -> list[int]:
@@ -172,8 +186,11 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def links(codes: DataFrame, distance: int = 3) -> DataFrame:
-    """Edges `(a, b)` that join all distinct fingerprints `fp` reachable within `distance`, a few per route."""
+def links(codes: DataFrame, distance: int = 3, direct: bool = False) -> DataFrame:
+    """Edges `(a, b)` that join all distinct fingerprints `fp` reachable within `distance`, fewer per route than it has members.
+
+    They point at the first member of a component or, if `direct`, join fingerprints that are themselves within the distance.
+    """
     blocks = distance + 2
     masks = _block_masks(list(range(64)), blocks)
     routed = codes.select("fp", F.explode(F.array(*[
@@ -198,12 +215,14 @@ def links(codes: DataFrame, distance: int = 3) -> DataFrame:
         table = pa.Table.from_batches(held)
         fp = table.column("fp").to_numpy().view(np.uint64)
         _, route = np.unique(table.column("route").to_numpy(), return_inverse=True)
-        order, labels = linked_items(route, fp, distance)
+        order, labels, u, v = linked_pairs(route, fp, distance)
         fp = fp[order].view(np.int64)
-        other = labels != np.arange(len(labels))
-        for start in range(0, int(other.sum()), 100_000):
-            part = np.flatnonzero(other)[start:start + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(fp[part]), pa.array(fp[labels[part]])], names=["a", "b"])
+        if not direct:
+            u = np.flatnonzero(labels != np.arange(len(labels)))
+            v = labels[u]
+        for start in range(0, len(u), 100_000):
+            part = slice(start, start + 100_000)
+            yield pa.RecordBatch.from_arrays([pa.array(fp[u[part]]), pa.array(fp[v[part]])], names=["a", "b"])
 
     # Routes are compared by a 64-bit digest of their bits: two that share a digest only add comparisons.
     return union_all(frames).select("fp", "route").repartition(n, "route").mapInArrow(resting(run), "a long, b long")
@@ -228,6 +247,10 @@ SKETCH = 64
 COUNTED, FREQUENT = 2, 1_000_000
 #: Members of a list compared with all others at once, and members of a block of a longer list.
 SHORT_LIST, BLOCK = 8, 2_000
+#: Before all pairs of a long list: at most so many times, its members outside the largest component meet so many others.
+ROUNDS, PARTNERS = 3, 48
+#: Bits that hold the parities of a set's digests. Sets differ in at least as many digests as their parities do in bits.
+PARITIES = 1_024
 _MIX = np.random.default_rng(8).integers(1, 1 << 63, 2, dtype=np.uint64) | np.uint64(1)
 
 
@@ -359,17 +382,73 @@ def first_pairs(tokens: DataFrame, similarity: float) -> DataFrame:
     return tokens.repartition(n_parts, "token").mapInArrow(resting(run), "token long, a long, b long, n long, place long")
 
 
-def left_pairs(lists: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+def parities(shingles: np.ndarray) -> bytes:
+    return np.packbits(np.bincount((shingles % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) & 1).tobytes()
+
+
+def fingerprint_pairs(classes: DataFrame, distance: int = 3) -> DataFrame:
+    """Pairs `(a, b)` of the classes `(seq, fp)`: equal fingerprints, each with the least class of its fingerprint, and the linked ones of the index."""
+    heads = settle(classes.groupBy("fp").agg(F.min("seq").alias("head"), F.count("*").alias("members")))
+    equal = classes.join(heads.filter("members > 1"), "fp").select(F.col("head").alias("a"), F.col("seq").alias("b"))
+    found = links(heads.select("fp"), distance, direct=True).distinct()
+    found = found.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b")
+    pairs = equal.union(found.select("x", "y")).filter("a <> b")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def more_pairs(lists: DataFrame, roots: DataFrame, similarity: float, round_: int) -> DataFrame:
+    """Possible pairs `(a, b)` of different roots that members outside the largest component of a list make with `PARTNERS` others.
+
+    Their number is that of the members. The others are the first of the list in an order of the round's, the same in all lists.
+    """
+    named = lists.join(roots.toDF("a", "root"), "a", "left").withColumn("root", F.coalesce("root", "a"))
+    open_lists = named.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
+    named = named.join(open_lists.select("token"), "token", "left_semi").select("token", "a", "n", "place", "root")
+    mix = np.random.default_rng(80 + round_).integers(1, 1 << 63, dtype=np.uint64) | np.uint64(1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        token, a, n, place, root = (table.column(c).to_numpy() for c in ("token", "a", "n", "place", "root"))
+        order = np.lexsort((a.view(np.uint64) * mix, token))
+        token, a, n, place, root = token[order], a[order], n[order], place[order], root[order]
+        edge = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+        sizes = np.diff(np.append(edge, len(token)))
+        number = np.repeat(np.arange(len(edge)), sizes)
+        by = np.lexsort((root, number))
+        heads = np.flatnonzero(np.concatenate(([True], (number[by][1:] != number[by][:-1]) | (root[by][1:] != root[by][:-1]))))
+        held_by = np.diff(np.append(heads, len(by)))
+        rank = np.lexsort((held_by, number[by][heads]))
+        last = np.flatnonzero(np.concatenate((np.diff(number[by][heads][rank]) > 0, [True])))
+        largest = root[by][heads][rank[last]]
+        x = np.flatnonzero(root != largest[number])
+        for step in range(PARTNERS):
+            one = x[step < sizes[number[x]]]
+            y = edge[number[one]] + step
+            good = (root[one] != root[y]) & possible(n[one], place[one], n[y], place[y], similarity)
+            if good.any():
+                low, high = _sorted_pairs(a[one[good]], a[y[good]])
+                yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], names=["a", "b"])
+
+    spark = lists.sparkSession
+    n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return named.repartition(n_parts, "token").mapInArrow(resting(run), "a long, b long").distinct()
+
+
+def left_pairs(lists: DataFrame, roots: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
     """All possible pairs `(a, b)` of members of the long lists `(token, a, n, place)` that have different roots.
 
-    Lists of one root are settled. Others are cut into blocks, and every pair of blocks is compared in a place of its own.
+    Lists of one root are settled. Others are cut into blocks, and every pair of blocks is compared in a place of its own. Pairs whose
+    parities, rows `(a, marks)`, differ in more bits than similar sets do in shingles go no further; their number alone grows with the square.
     """
     named = lists.join(roots.toDF("a", "root"), "a", "left").withColumn("root", F.coalesce("root", "a"))
     open_lists = named.groupBy("token").agg(F.count("*").alias("members"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
-    cut = named.join(open_lists.select("token", F.ceil(F.col("members") / BLOCK).alias("blocks")), "token")
+    cut = named.join(open_lists.select("token", F.ceil(F.col("members") / BLOCK).alias("blocks")), "token").join(marks, "a")
     cut = cut.withColumn("own", F.pmod(F.xxhash64("a"), "blocks"))
-    cut = cut.select("token", "a", "n", "place", "root", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    cut = cut.select("token", "a", "n", "place", "root", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    cut = cut.select("token", "a", "n", "place", "root", "marks", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    cut = cut.select("token", "a", "n", "place", "root", "marks", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
@@ -377,6 +456,7 @@ def left_pairs(lists: DataFrame, roots: DataFrame, similarity: float) -> DataFra
             return
         table = pa.Table.from_batches(held).sort_by([("token", "ascending"), ("lo", "ascending"), ("hi", "ascending")])
         token, a, n, place, root, own, lo, hi = (table.column(c).to_numpy() for c in ("token", "a", "n", "place", "root", "own", "lo", "hi"))
+        bits = np.frombuffer(b"".join(table.column("marks").to_pylist()), np.uint64).reshape(len(a), PARITIES // 64)
         edge = np.flatnonzero(np.concatenate(([True], (token[1:] != token[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]))))
         for start, stop in zip(edge.tolist(), [*edge[1:].tolist(), len(token)]):
             for at in range(start, stop, 256):
@@ -385,6 +465,10 @@ def left_pairs(lists: DataFrame, roots: DataFrame, similarity: float) -> DataFra
                 i, j = np.nonzero(good)
                 i, j = i + at, j + at + 1
                 good = possible(n[i], place[i], n[j], place[j], similarity)
+                i, j = i[good], j[good]
+                most = ((1 - similarity) / (1 + similarity) * (n[i] + n[j]) + 1e-9).astype(np.int64)
+                good = np.concatenate([np.zeros(0, bool), *(np.bitwise_count(bits[i[k:k + PAIRS]] ^ bits[j[k:k + PAIRS]]).sum(axis=1) <= most[k:k + PAIRS]
+                                                            for k in range(0, len(i), PAIRS))])
                 if good.any():
                     low, high = _sorted_pairs(a[i[good]], a[j[good]])
                     yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], names=["a", "b"])
@@ -418,22 +502,33 @@ def similar_classes(marked: DataFrame, similarity: float = 0.8, width: int = 5)
     """`(doc_id, digest, seq, root)` of rows that carry `_near_id` and `_near_digest`: texts whose shingle sets have at least the given
     similarity, directly or through others, share a root.
 
-    Candidates share one of the first shingles of both in a common order (prefix filtering), so that no pair is missed.
-    Members of a long list first meet three representatives; those still in different components then meet each other.
+    The first candidates are the fingerprints linked by the Gray-ordered index. Further ones share one of the first shingles of both in a
+    common order (prefix filtering), so that no pair is missed. Members of a long list first meet three representatives, then, outside its
+    largest component, some others; all those still in different components then meet each other.
     A sketch settles candidates far from the similarity, whole shingle sets all others.
     """
     def each(ids, texts):
         found = [shingle_digests(t, width) for t in texts]
         return {"doc_id": [i["_near_id"] for i in ids], "digest": [i["_near_digest"] for i in ids], "seq": np.array([w for w, _ in found], np.uint64).view(np.int64),
+                "fp": np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64),
+                "marks": [parities(np.unique(v)) for _, v in found],
                 "sketch": [(np.unique(v)[:SKETCH] >> np.uint64(33)).astype(np.int32) for _, v in found]}
 
     rows = marked.select(F.struct("_near_id", "_near_digest").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    stored = settle(map_texts(spread(rows), "doc_id long, digest long, seq long, sketch array<int>", each))
-    classes = settle(stored.groupBy("seq").agg(F.min(F.struct("doc_id", "digest", "sketch")).alias("first")))
+    stored = settle(map_texts(spread(rows), "doc_id long, digest long, seq long, fp long, marks binary, sketch array<int>", each))
+    classes = settle(stored.groupBy("seq").agg(F.min(F.struct("doc_id", "digest", "fp", "marks", "sketch")).alias("first")))
     first = settle(first_pairs(prefixes(rows, similarity, width), similarity))
-    edges = settle(verified(first.filter("b is not null").select("a", "b").distinct(), classes, rows, similarity, width))
+    pairs = fingerprint_pairs(classes.select("seq", "first.fp")).union(first.filter("b is not null").select("a", "b"))
+    edges = settle(verified(pairs.distinct(), classes, rows, similarity, width))
     roots = min_label(edges)
-    left = settle(left_pairs(first.filter("b is null").select("token", "a", "n", "place"), roots, similarity))
+    lists = first.filter("b is null").select("token", "a", "n", "place")
+    for round_ in range(ROUNDS):
+        more = settle(verified(settle(more_pairs(lists, roots, similarity, round_)), classes, rows, similarity, width))
+        if more.isEmpty():
+            break
+        edges = edges.union(more)
+        roots = min_label(edges)
+    left = settle(left_pairs(lists, roots, classes.select(F.col("seq").alias("a"), "first.marks"), similarity))
     if not left.isEmpty():
         roots = min_label(edges.union(verified(left, classes, rows, similarity, width)))
     roots = roots.withColumnRenamed("node", "seq")

@@ -427,6 +427,46 @@ def test_prefix_pairs_by_brute_force(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in kept) == _kept_by_brute_force(rows)
 
 
+def test_index_pairs_are_near_and_join_components():
+    rng = np.random.default_rng(5)
+    heads = rng.integers(0, 1 << 63, 12, dtype=np.uint64)
+    codes = np.unique(np.concatenate([heads] + [heads ^ np.uint64((1 << int(i)) | (1 << int(j))) for i, j in rng.integers(0, 64, (20, 2))]))
+    order, labels, u, v = simhash.linked_pairs(np.zeros(len(codes), np.int64), codes, 3)
+    assert (np.bitwise_count(codes[order][u] ^ codes[order][v]) <= 3).all()
+    assert len(u) == len(codes) - len(np.unique(labels))
+    joined = np.arange(len(codes))
+    for _ in range(len(codes)):
+        np.minimum.at(joined, u, joined[v])
+        np.minimum.at(joined, v, joined[u])
+    assert (joined == labels).all()
+
+
+def test_large_group_near_the_similarity_leaves_few_pairs(spark, monkeypatch):
+    random.seed(4)
+    base, rows = [f"b{j}" for j in range(104)], []
+    for i in range(400):
+        words = list(base)
+        for j in random.sample(range(104), 2):
+            words[j] = f"m{i}x{j}"
+        rows.append((i, " ".join(words)))
+    counted, linked, whole, index = [], [], simhash.left_pairs, simhash.links
+
+    def counting(*args):
+        counted.append(simhash.settle(whole(*args)))
+        return counted[-1]
+
+    def linking(*args, **kwargs):
+        linked.append(simhash.settle(index(*args, **kwargs)))
+        return linked[-1]
+
+    monkeypatch.setattr(simhash, "left_pairs", counting)
+    monkeypatch.setattr(simhash, "links", linking)
+    kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in kept) == _kept_by_brute_force(rows)
+    # The Gray-ordered index gives candidates, and few of the 79,800 pairs are left over for the last comparison.
+    assert linked[0].count() > 0 and counted[0].count() < 10 * len(rows)
+
+
 def test_min_label(spark):
     random.seed(7)
     edges = [(i, i + 1) for i in range(100, 160)] + [(5, i) for i in range(6, 60)] + [(random.randint(200, 300), random.randint(200, 300)) for _ in range(60)]
