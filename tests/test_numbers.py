@@ -180,6 +180,28 @@ def test_selection_models_never_see_their_own_fold(data):
     assert both.agg(F.max(F.abs(F.col("propensity") - F.col("q")))).first()[0] < 1e-6
 
 
+def test_selection_models_settle_in_few_shared_passes(data, monkeypatch):
+    pdf, df = data
+    passes, whole = [], selection._terms
+
+    def counting(rows, names, coefs):
+        passes.append(whole(rows, names, coefs))
+        return passes[-1]
+
+    monkeypatch.setattr(selection, "_terms", counting)
+    out = selection.logistic_propensity(scoring.required_rows(df), ["x0", "x1"], F.col(SCORED), SPEC).toPandas()
+    # Four models, one pass for a step of all of them.
+    assert len(passes) <= 10
+    for k in range(4):
+        part = out[out.fold == k]
+        logit, x = np.log(part.propensity / (1 - part.propensity)), np.column_stack([np.ones(len(part)), part.x0, part.x1])
+        coef = np.linalg.lstsq(x, logit, rcond=None)[0]
+        rest = out[out.fold != k]
+        x = np.column_stack([np.ones(len(rest)), rest.x0, rest.x1])
+        slope = x.T @ (1 / (1 + np.exp(-x @ coef)) - rest[SCORED].astype(float)) / len(rest) + 0.1 * coef * [0, 1, 1]
+        assert np.abs(slope).max() < 1e-9
+
+
 def test_bootstrap_counts_and_pairing(data):
     _, df = data
     counts = resampling.bootstrap_counts(df, 15, 3).groupBy("draw").agg(F.sum("times").alias("n")).collect()
