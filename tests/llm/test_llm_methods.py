@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -87,6 +88,41 @@ def test_pruned_tree_is_a_distribution(spark):
     assert tree.dead == 12 and np.abs((10.0 ** table.reshape(-1, 256).astype(float)).sum(1) - 1).max() < 1e-5
 
 
+def test_whole_tree_matches_sequential_weighting(spark):
+    learned = context_tree.grams([b"abab abc", b"abba", b"cab"])
+    history = [_split(k) for k, n in zip(*learned) for _ in range(n)]
+    asked = context_tree.grams([b"ab", b"cc", b"z abab"])[0]
+    rows = {int(k): 0 for k in asked} | {int(k): int(n) for k, n in zip(*learned)}
+    found = {r["key"]: r for r in context_tree.weigh(spark.createDataFrame(list(rows.items()), "key long, n long")).collect()}
+    assert {k: r["n"] for k, r in found.items()} == rows
+    for key, r in found.items():
+        assert r["p"] == pytest.approx(_sequential(history, _split(key)), abs=1e-5)
+
+
+def test_no_context_is_left_out_of_a_score(spark):
+    # More contexts than the 65,536 that were once kept, so that rare ones lost their own estimates.
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(400)) for _ in range(120)]
+    texts += [t[:200] for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    held = [zlib.crc32(str(i).encode()) % 10 == 0 for i in range(len(texts))]
+    rows = [(int(k), int(n)) for k, n in zip(*context_tree.grams([t.encode() for t, h in zip(texts, held) if not h]))]
+    tree, table = context_tree.grow(spark.createDataFrame(rows, "key long, n long"))
+    assert tree.dead > 65_536
+    want = []
+    for t in texts:
+        keys, times = context_tree.grams([t.encode()])
+        want.append((table[tree.walk([keys >> (8 + 5 * d) & 31 for d in range(context_tree.DEPTH)]) * 256 + (keys & 255)] * times).sum())
+    saved = context_tree.HOT_GRAMS
+    for most in (saved, 500, 0):
+        context_tree.HOT_GRAMS = most
+        try:
+            found = {r["doc_id"]: r["score"] for r in context_tree.score(docs).collect()}
+        finally:
+            context_tree.HOT_GRAMS = saved
+        assert [found[i] for i in range(len(texts))] == pytest.approx(want, rel=1e-4)
+
+
 def test_tree_beats_words_on_held_out(spark):
     found = suite.op2_context_tree(spark, SF_DIR.replace("sf0.01", "sf0.1")).filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert found[0] > found[1]
