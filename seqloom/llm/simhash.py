@@ -199,7 +199,9 @@ def links(codes: DataFrame, distance: int = 3, direct: bool = False) -> DataFram
     routed = settle(routed.join(counts.filter("members > 1"), ["t", "k"]))
     plain = routed.filter(F.col("members") <= HOT_ROUTE).select("fp", F.xxhash64("t", "k").alias("route"), F.lit(-1).alias("s"))
     frames = [plain]
-    for i, mask in enumerate(masks):
+    # Without a crowded route there is nothing to deal anew, and every branch would cost a task per partition.
+    crowded = not routed.filter(F.col("members") > HOT_ROUTE).isEmpty()
+    for i, mask in enumerate(masks if crowded else []):
         rest = [place for place in range(64) if not mask >> place & 1]
         subs = _block_masks(rest, blocks)
         frames.append(routed.filter((F.col("members") > HOT_ROUTE) & (F.col("t") == i)).select("fp", "t", "k", F.explode(F.array(*[

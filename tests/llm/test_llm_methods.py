@@ -592,3 +592,22 @@ def test_redact_masks_all(spark):
     assert clean.count() == docs.count()
     left = secrets.scan(clean, None).agg(F.sum(F.col("n_assign") + F.col("n_access") + F.col("n_hex"))).first()[0]
     assert left == 0
+
+
+def test_component_rounds_take_few_tasks(spark):
+    # 3,000 edges in 211 partitions: every step of every round once ran a task for each partition.
+    saved = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    context = spark.sparkContext
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "211")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        context.setJobGroup("component rounds", "component rounds")
+        found = {r["node"]: r["root"] for r in min_label(spark.range(3000).selectExpr("id a", "id - id % 30 + (id + 7) % 30 b")).collect()}
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in saved.items():
+            spark.conf.set(k, v)
+    assert found == {i: i - i % 30 for i in range(3000)}
+    tracker = context.statusTracker()
+    stages = {i for job in tracker.getJobIdsForGroup("component rounds") for i in tracker.getJobInfo(job).stageIds}
+    assert sum(s.numCompletedTasks for s in map(tracker.getStageInfo, stages) if s) < 4_000
