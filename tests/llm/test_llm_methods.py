@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from itertools import zip_longest
 
 import numpy as np
 import public_tokenizers
@@ -586,6 +587,37 @@ def test_every_candidate_is_scored(spark):
     assert np.mean([found[i] > 0 for i in found if not tokens[i]]) < 0.01
 
 
+def _token(draw, alphabet, n):
+    return "".join(draw.choice(alphabet) for _ in range(n))
+
+
+def test_every_listed_credential_is_learned(spark):
+    # 2,500 credentials: 1,000 of a kind were learned from, and none above 200 characters.
+    draw = random.Random(11)
+    upper, hexa, low = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz"
+    keys = ["AKIA" + _token(draw, upper, 16) for _ in range(2_500)] + ["AKIA" + _token(draw, upper, 300) for _ in range(20)]
+    hexes, words = [_token(draw, hexa, 40) for _ in range(1_500)], [_token(draw, low, draw.randint(20, 40)) for _ in range(3_000)]
+    rows = [(i, " ".join(part)) for i, part in enumerate(zip_longest(keys, hexes, words, fillvalue=""))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    model = secrets.fit(docs)
+    whole = secrets.fit_strings({1: Counter(k.encode() for k in keys), 2: Counter(h.encode() for h in hexes)}, Counter(w.encode() for w in words))
+    assert [a.log_p for a in model.formats] == [a.log_p for a in whole.formats]
+    assert model.ordinary.log_p == whole.ordinary.log_p and (model.threshold, model.shortest) == (whole.threshold, whole.shortest)
+    # The floor of a state is one added count: each credential starts there, and no string is left out.
+    assert [1 / math.exp(a.floor[0]) / 256 - 1 >= n - 1e-6 for a, n in zip(model.formats, (2_520, 1_500))] == [True, True]
+
+
+def test_every_ordinary_string_is_learned():
+    draw = random.Random(12)
+    keys = Counter(("AKIA" + _token(draw, "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 16)).encode() for _ in range(300))
+    words = [_token(draw, "abcdefghijklmnopqrstuvwxy", 20).encode() for _ in range(3_000)]
+    # One string of 3,000 starts with Z, wherever its digest puts it; 1,000 were learned from.
+    rare = [b"Z" + _token(draw, "abcdefgh", 19).encode() for _ in range(8)]
+    for string in rare:
+        model = secrets.fit_strings({1: keys}, Counter([*words, string]))
+        assert ord("Z") in model.ordinary.log_p[0]
+
+
 def test_redact_masks_all(spark):
     docs = read_table(spark, SF_DIR, "documents")
     clean = secrets.redact(docs, secrets.fit(docs))
