@@ -1,8 +1,8 @@
 """Histogram boosting with leaf-wise trees, several models in shared passes.
 
 A model is a response with weights and the rows it may learn from; models that differ only in the rows left out (cross-fitting) or in the response
-share their bins and every pass over the rows. Rows are stored once as blocks of at most `BLOCK` rows: bin codes as one byte per feature,
-feature by feature, next to responses, weights and running predictions. A pass returns histograms per (model, node, feature), summed by key
+share their bins and every pass over the rows, each at its own tree. Rows are stored once as blocks of at most `BLOCK` rows: bin codes as one byte per feature,
+feature by feature, next to responses, weights and running predictions, which models share where they are equal. A pass returns histograms per (model, node, feature), summed by key
 before they leave Spark; the driver holds at most models x leaves x features x bins of them.
 
 Trees grow best first: of all open leaves the one of the largest gain is split, up to a number of leaves. To take few passes, a pass opens every
@@ -14,23 +14,26 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Generator, Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.functions.scalar import column, not_finite
 from seqloom.operators.quantiles import many_edges
-from seqloom.operators.trees import Node, Tree, walk
+from seqloom.operators.trees import Node, Tree
 from seqloom.session import settle
 
 BLOCK = 8_192
 #: Bytes of histograms that the tasks of a pass may send to the driver as they are; more are summed by key first.
 DIRECT = 32 << 20
+#: Blocks to an Arrow batch of a pass, one or two MB; batches of tens of MB take several times as long to reach Python.
+BATCH = 4
 #: Rounds after which running predictions are stored; a pass adds up the trees since then.
 STORE = 8
 
@@ -43,9 +46,13 @@ class Response:
     weight: Column
     rows: Column
 
+    @property
+    def finite(self) -> Column:
+        return ~not_finite(self.value) & ~not_finite(self.weight)
+
     @property
     def sound(self) -> Column:
-        return self.rows & ~not_finite(self.value) & ~not_finite(self.weight)
+        return self.rows & self.finite
 
 
 @dataclass(frozen=True)
@@ -63,14 +70,20 @@ class Settings:
 
 @dataclass
 class Boosted:
-    """Baseline plus trees; `codes` are the trees in bin units."""
+    """Baseline plus trees; `codes` are the trees in bin units of `edges`."""
 
     baseline: float
+    edges: Sequence[Sequence[float]]
     trees: list[Tree] = field(default_factory=list)
     codes: list[Tree] = field(default_factory=list)
 
     def predict(self, x: np.ndarray) -> np.ndarray:
-        return self.baseline + sum((walk(t, x) for t in self.trees), np.zeros(len(x)))
+        return self.predictor()(x)
+
+    def predictor(self) -> Callable[[np.ndarray], np.ndarray]:
+        """The prediction with its tables made, for many blocks of rows."""
+        places, cuts = Places.values(self.codes), [np.array(e) for e in self.edges]
+        return lambda x: self.baseline + places.total(coded(x, cuts))
 
 
 def baselines(df: DataFrame, responses: Sequence[Response], loss: str) -> list[float]:
@@ -86,15 +99,37 @@ def baselines(df: DataFrame, responses: Sequence[Response], loss: str) -> list[f
     return out
 
 
-_BLOCK = "n int, codes binary, y binary, w binary, pred binary"
+_BLOCK = "n int, codes binary, y binary, w binary, used binary, pred binary"
+_NAMES = [part.split()[0] for part in _BLOCK.split(", ")]
+
+
+def coded(x: np.ndarray, cuts: Sequence[np.ndarray]) -> np.ndarray:
+    """Bin codes, feature by feature: the number of edges below each value."""
+    return np.stack([np.searchsorted(e, x[:, f]) for f, e in enumerate(cuts)]).astype(np.uint8)
+
+
+def packed(a: np.ndarray) -> bytes:
+    """Lines of numbers, only one if all lines are equal, in the narrowest type that keeps every number; the last byte is its size."""
+    if (a == a[:1]).all():
+        a = a[:1]
+    with np.errstate(all="ignore"):
+        small = next((b for b in (a.astype(kind) for kind in (np.uint8, np.float32)) if (b == a).all()), a.astype(float))
+    return small.tobytes() + bytes([small.itemsize])
+
+
+def unpacked(data: bytes, lines: int, n: int) -> np.ndarray:
+    kind = {1: np.uint8, 4: np.float32, 8: np.float64}[data[-1]]
+    a = np.frombuffer(data, kind, (len(data) - 1) // data[-1]).reshape(-1, n)
+    return np.broadcast_to(a, (lines, n))
 
 
 def blocks(df: DataFrame, features: Sequence[str], edges: Sequence[Sequence[float]], responses: Sequence[Response], start: Sequence[float]) -> DataFrame:
-    """Rows packed into blocks, features as the number of edges below them; a row left out of a model has weight -1 there."""
+    """Rows packed into blocks, features as the number of edges below them, with the rows that each model uses."""
     if not features or not responses:
         raise ValueError("features and responses are needed")
-    wide = df.select(F.array(*features).alias("x"), F.array(*[F.when(r.sound, r.value.cast("double")).otherwise(0.0) for r in responses]).alias("y"),
-                     F.array(*[F.when(r.sound, r.weight.cast("double")).otherwise(-1.0) for r in responses]).alias("w"))
+    wide = df.select(F.array(*features).alias("x"), F.array(*[F.when(r.finite, r.value.cast("double")).otherwise(0.0) for r in responses]).alias("y"),
+                     F.array(*[F.when(r.finite, r.weight.cast("double")).otherwise(0.0) for r in responses]).alias("w"),
+                     F.array(*[F.when(r.sound & (r.weight >= 0), 1.0).otherwise(0.0) for r in responses]).alias("used"))
     cuts = [np.array(e) for e in edges]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,53 +137,98 @@ def blocks(df: DataFrame, features: Sequence[str], edges: Sequence[Sequence[floa
             for at in range(0, batch.num_rows, BLOCK):
                 b = batch.slice(at, BLOCK)
                 n = b.num_rows
-                x, y, w = (b.column(i).flatten().to_numpy(zero_copy_only=False).reshape(n, -1) for i in range(3))
-                codes = np.stack([np.searchsorted(e, x[:, f]) for f, e in enumerate(cuts)]).astype(np.uint8)
+                x, *lines = (b.column(i).flatten().to_numpy(zero_copy_only=False).reshape(n, -1) for i in range(4))
                 pred = np.repeat(np.array(start)[:, None], n, 1)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([n], pa.int32()), *[pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for x in (codes, y.T, w.T, pred)]],
-                    names=["n", "codes", "y", "w", "pred"])
+                    pa.array([n], pa.int32()), *[pa.array([c], pa.binary()) for c in (coded(x, cuts).tobytes(), *(packed(a.T) for a in lines), pred.tobytes())]],
+                    names=_NAMES)
 
     return wide.mapInArrow(run, _BLOCK)
 
 
-def _open(b: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _open(b: pa.RecordBatch, i: int) -> tuple[np.ndarray, ...]:
+    """Codes, responses, weights, used rows and predictions of a block."""
     n = b.column(0)[i].as_py()
-    codes = np.frombuffer(b.column(1)[i].as_py(), np.uint8).reshape(-1, n)
-    return codes, *(np.frombuffer(b.column(k)[i].as_py()).reshape(-1, n) for k in (2, 3, 4))
+    codes, *lines, pred = (b.column(k)[i].as_py() for k in range(1, 6))
+    pred = np.frombuffer(pred).reshape(-1, n)
+    return np.frombuffer(codes, np.uint8).reshape(-1, n), *(unpacked(a, len(pred), n) for a in lines), pred
 
 
-def place(codes: np.ndarray, tree: Tree) -> np.ndarray:
-    """Leaf of every row; thresholds are bin numbers.
+class Places:
+    """Marks of the leaves that rows fall in, for several trees at once; thresholds are bin numbers. Made once per task.
 
     Leaves are bits. A split strikes out those of the side a row does not take, whether or not the row comes by, which leaves the
-    row's own bit; the splits of one feature act together through a table by bin, so a row costs one look-up per feature.
+    row's own bit; the splits of one feature act together through a table by bin. Four trees of at most 16 marked leaves share a word, so
+    that a row costs one look-up per feature for all of them. Rows in leaves without a mark get `none`.
     """
-    leaves = [i for i, node in enumerate(tree) if node.is_leaf]
-    n = codes.shape[1]
-    if len(leaves) == 1:
-        return np.full(n, leaves[0], np.int32)
-    if len(leaves) > 64:
-        return _walked(codes, tree)
-    kind = np.uint16 if len(leaves) <= 16 else np.uint64
-    below = [0] * len(tree)
-    for i in range(len(tree) - 1, -1, -1):  # children come after their parents
-        below[i] = 1 << leaves.index(i) if tree[i].is_leaf else below[tree[i].left] | below[tree[i].right]
-    tables: dict[int, np.ndarray] = {}
-    for node in tree:
-        if not node.is_leaf:
-            table = tables.setdefault(node.feature, np.full(256, below[0], kind))
-            left = np.arange(256) <= node.threshold
-            table &= np.where(left, kind(below[0] & ~below[node.right]), kind(below[0] & ~below[node.left]))
-    bits = None
-    for feature, table in tables.items():
-        part = table.take(codes[feature])
-        bits = part if bits is None else np.bitwise_and(bits, part, out=bits)
-    if kind is np.uint64:
-        return np.array(leaves, np.int32)[np.frexp(bits.astype(float))[1] - 1]
-    number = np.zeros(1 << len(leaves), np.int32)
-    number[1 << np.arange(len(leaves))] = leaves
-    return number.take(bits)
+
+    def __init__(self, trees: Sequence[tuple[Tree, dict[int, float]]], none: float = 0.0, kind: type = float):
+        self.trees, self.none, self.kind = trees, none, kind
+        lanes: dict[int, list[int]] = {}
+        for i, (_, marks) in enumerate(trees):
+            lanes.setdefault(next((size for size in (16, 64) if len(marks) <= size), 0), []).append(i)
+        self.far = lanes.pop(0, [])
+        self.words = [self._word(ids[at:at + 64 // lane], lane) for lane, ids in lanes.items() for at in range(0, len(ids), 64 // lane)]
+
+    @classmethod
+    def values(cls, trees: Sequence[Tree]) -> "Places":
+        return cls([(t, {i: node.value for i, node in enumerate(t) if node.is_leaf}) for t in trees])
+
+    def _word(self, ids: list[int], lane: int) -> tuple:
+        start, tables, marked = 0, {}, []
+        for k, i in enumerate(ids):
+            tree, marks = self.trees[i]
+            below = [0] * len(tree)
+            for m, leaf in enumerate(marks):
+                below[leaf] = 1 << (k * lane + m)
+            for at in range(len(tree) - 1, -1, -1):  # children come after their parents
+                node = tree[at]
+                if not node.is_leaf:
+                    left, right = below[node.left], below[node.right]
+                    below[at] = left | right
+                    if left | right:
+                        table = tables.setdefault(node.feature, np.full(256, ~np.uint64(0), "<u8"))
+                        cut = int(node.threshold) + 1
+                        table[:cut] &= ~np.uint64(right)
+                        table[cut:] &= ~np.uint64(left)
+            start |= below[0]
+            # By bit in a lane of 16, else by the number of the bit.
+            mark = np.empty(1 << len(marks) if lane == 16 else len(marks) + 1, self.kind)
+            mark[[0, *(1 << m if lane == 16 else m + 1 for m in range(len(marks)))]] = [self.none, *marks.values()]
+            marked.append(mark)
+        for table in tables.values():
+            table &= np.uint64(start)
+        return ids, lane, np.uint64(start), list(tables.items()), marked
+
+    def of(self, codes: np.ndarray) -> list[np.ndarray]:
+        """Per tree, the mark of every row."""
+        out: list = [None] * len(self.trees)
+        for ids, lane, start, tables, marked in self.words:
+            bits = None
+            for feature, table in tables:
+                part = table.take(codes[feature], mode="clip")
+                bits = part if bits is None else np.bitwise_and(bits, part, out=bits)
+            if bits is None:
+                bits = np.full(codes.shape[1], start, "<u8")
+            if lane == 16:
+                parts = bits.view("<u2").reshape(-1, 4)
+                for k, (i, mark) in enumerate(zip(ids, marked)):
+                    out[i] = mark.take(parts[:, k], mode="clip")
+            else:
+                out[ids[0]] = marked[0].take(np.frexp(bits.astype(float))[1])
+        for i in self.far:
+            tree, marks = self.trees[i]
+            out[i] = np.array([marks.get(at, self.none) for at in range(len(tree))], self.kind)[_walked(codes, tree)]
+        return out
+
+    def total(self, codes: np.ndarray) -> np.ndarray:
+        """Sum of the marks over the trees, in their order."""
+        return sum(self.of(codes), np.zeros(codes.shape[1]))
+
+
+def place(codes: np.ndarray, tree: Tree) -> np.ndarray:
+    """Leaf of every row."""
+    return Places([(tree, {i: i for i, node in enumerate(tree) if node.is_leaf})], kind=np.int32).of(codes)[0]
 
 
 def _walked(codes: np.ndarray, tree: Tree) -> np.ndarray:
@@ -177,28 +257,31 @@ def histograms(stored: DataFrame, since: Sequence[Sequence[Tree]], growing: Sequ
     """
     spots = [(j, node) for j, nodes in enumerate(wanted) for node in nodes]
 
+    asked = [j for j, nodes in enumerate(wanted) if nodes]
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = {}
+        orders = Places([(growing[j], {node: k for k, node in enumerate(wanted[j])}) for j in asked], -1, np.intp)
+        values = [Places.values(since[j]) for j in asked]
+        total = {j: np.zeros((width, 3, len(wanted[j]) * bins)) for j in asked}
+        any_rows = False
         for b in batches:
             for i in range(b.num_rows):
-                codes, y, w, pred = _open(b, i)
-                for j, nodes in enumerate(wanted):
-                    if not nodes:
+                any_rows = True
+                codes, y, w, used, pred = _open(b, i)
+                for j, order, value in zip(asked, orders.of(codes), values):
+                    mine = np.flatnonzero((order >= 0) & (used[j] > 0))
+                    if not len(mine):
                         continue
-                    p = pred[j] + sum((_value(codes, t) for t in since[j]), np.zeros(codes.shape[1]))
-                    at = place(codes, growing[j])
-                    order = np.full(len(growing[j]), -1)
-                    order[list(nodes)] = np.arange(len(nodes))
-                    mine = np.flatnonzero((order[at] >= 0) & (w[j] >= 0))
-                    g, h = slopes(y[j, mine], w[j, mine], p[mine], loss)
-                    first = order[at[mine]] * bins
+                    here, size = codes.take(mine, axis=1), len(wanted[j]) * bins
+                    g, h = slopes(y[j].take(mine).astype(float), w[j].take(mine).astype(float), pred[j].take(mine) + value.total(here), loss)
+                    first = order.take(mine) * bins
                     for f in range(width):
-                        key, size = first + codes[f, mine], len(nodes) * bins
-                        part = np.stack([np.bincount(key, g, size), np.bincount(key, h, size), np.bincount(key, minlength=size)])
-                        have = total.get((j, f))
-                        total[j, f] = part if have is None else have + part
-        rows = [(j, node, f, part[:, k * bins:(k + 1) * bins].tobytes()) for (j, f), part in total.items() for k, node in enumerate(wanted[j])]
-        if rows:
+                        key = first + here[f]
+                        total[j][f, 0] += np.bincount(key, g, size)
+                        total[j][f, 1] += np.bincount(key, h, size)
+                        total[j][f, 2] += np.bincount(key, minlength=size)
+        if any_rows and asked:
+            rows = [(j, node, f, total[j][f, :, k * bins:(k + 1) * bins].tobytes()) for j in asked for f in range(width) for k, node in enumerate(wanted[j])]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.int32(), pa.binary()))], names=["model", "node", "feature", "sums"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,20 +304,17 @@ def histograms(stored: DataFrame, since: Sequence[Sequence[Tree]], growing: Sequ
     return out
 
 
-def _value(codes: np.ndarray, tree: Tree) -> np.ndarray:
-    return np.array([n.value for n in tree])[place(codes, tree)]
-
-
 def advanced(stored: DataFrame, since: Sequence[Sequence[Tree]]) -> DataFrame:
     """Blocks with the trees added to their predictions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values = [Places.values(trees) for trees in since]
         for b in batches:
             preds = []
             for i in range(b.num_rows):
-                codes, _, _, pred = _open(b, i)
-                preds.append(np.stack([pred[j] + sum((_value(codes, t) for t in trees), np.zeros(codes.shape[1])) for j, trees in enumerate(since)]).tobytes())
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(4)), pa.array(preds, pa.binary())], names=["n", "codes", "y", "w", "pred"])
+                codes, *_, pred = _open(b, i)
+                preds.append(np.stack([p + value.total(codes) for p, value in zip(pred, values)]).tobytes())
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(5)), pa.array(preds, pa.binary())], names=_NAMES)
 
     return stored.mapInArrow(run, _BLOCK)
 
@@ -316,34 +396,25 @@ class Grower:
         return out, spot
 
 
-def grow(counted, models: int, settings: Settings) -> list[Grower]:
-    """Grow one tree per model; `counted(growing trees, wanted nodes)` gives histograms of their nodes."""
-    growers = [Grower(settings) for _ in range(models)]
-    root = counted([[Node()]] * models, [[0]] * models)
-    for j, g in enumerate(growers):
-        g.learn(0, root[j, 0])
+def grow(settings: Settings) -> Generator[tuple[Tree, list[int]], dict[int, np.ndarray], Grower]:
+    """Grow one tree: hands out its shape and the nodes whose histograms it wants, and is sent these."""
+    g = Grower(settings)
+    found = yield [Node()], [0]
+    g.learn(0, found[0])
     while True:
-        shapes, asked, pairs = [], [], []
-        for g in growers:
-            _, unknown = g.order()
-            g.open(unknown)
-            shape, spot = g.tree(list(g.children), None, leaves_valued=False)
-            smaller = {g.smaller(node): node for node in unknown}
-            shapes.append(shape)
-            asked.append([spot[c] for c in smaller])
-            pairs.append([(c, node, spot[c]) for c, node in smaller.items()])
-        if not any(asked):
+        _, unknown = g.order()
+        g.open(unknown)
+        shape, spot = g.tree(list(g.children), None, leaves_valued=False)
+        smaller = {g.smaller(node): node for node in unknown}
+        if not smaller:
             break
-        found = counted(shapes, asked)
-        for j, (g, todo) in enumerate(zip(growers, pairs)):
-            for child, node, spot in todo:
-                a, b = g.children[node]
-                other = b if child == a else a
-                g.learn(child, found[j, spot])
-                g.learn(other, g.hist[node] - found[j, spot])
-    for g in growers:
-        _close(g)
-    return growers
+        found = yield shape, [spot[c] for c in smaller]
+        for child, node in smaller.items():
+            a, b = g.children[node]
+            g.learn(child, found[spot[child]])
+            g.learn(b if child == a else a, g.hist[node] - found[spot[child]])
+    _close(g)
+    return g
 
 
 def _close(g: Grower) -> None:
@@ -358,6 +429,18 @@ def _close(g: Grower) -> None:
             g.split[a] = g.split[b] = None
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of so many rows in the jobs that run inside."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def boost(df: DataFrame, features: Sequence, responses: Sequence[Response], settings: Settings, edges: Sequence[Sequence[float]] | None = None) -> list[Boosted]:
     """One boosted model per response; bins and passes are shared."""
     if not 2 <= settings.bins <= 256:
@@ -370,34 +453,50 @@ def boost(df: DataFrame, features: Sequence, responses: Sequence[Response], sett
         # Equal edges hold no rows between them; a feature without values has none.
         edges = [sorted({e for e in found[n] if not math.isnan(e)}) for n in names]
     start = baselines(wide, responses, settings.loss)
-    stored = settle(blocks(wide, names, edges, responses, start))
-    models = [Boosted(b) for b in start]
-    kept, parts = 0, stored.rdd.getNumPartitions()
-    for r in range(settings.rounds):
-        since = [m.codes[kept:] for m in models]
-
-        def counted(shapes, asked):
-            return histograms(stored, since, shapes, asked, len(names), settings.bins, settings.loss, parts)
-
-        for m, g in zip(models, grow(counted, len(models), settings)):
-            splits = g.order()[0]
-            m.trees.append(g.tree(splits, edges)[0])
-            m.codes.append(g.tree(splits, None)[0])
-        if (r + 1) % STORE == 0 and r + 1 < settings.rounds:
-            stored, kept = settle(advanced(stored, [m.codes[kept:] for m in models])), r + 1
+    # Every pass reads the blocks: in memory as far as they fit, else from local disk.
+    with batches_of(df.sparkSession, BLOCK):
+        stored = settle(blocks(wide, names, edges, responses, start)).persist()
+    models = [Boosted(b, edges) for b in start]
+    kept, parts = [0] * len(models), stored.rdd.getNumPartitions()
+    # Models do not wait for each other: one may be a tree ahead, and a pass counts what each asks for.
+    runs = [grow(settings) for _ in models]
+    asked = [next(run) if settings.rounds else None for run in runs]
+    with batches_of(df.sparkSession, BATCH):
+        while any(asked):
+            shapes, wanted = zip(*[a or ([Node()], []) for a in asked])
+            found = histograms(stored, [m.codes[k:] for m, k in zip(models, kept)], shapes, wanted, len(names), settings.bins, settings.loss, parts)
+            for j, m in enumerate(models):
+                if not asked[j]:
+                    continue
+                try:
+                    asked[j] = runs[j].send({node: found[j, node] for node in wanted[j]})
+                except StopIteration as grown:
+                    g = grown.value
+                    splits = g.order()[0]
+                    m.trees.append(g.tree(splits, edges)[0])
+                    m.codes.append(g.tree(splits, None)[0])
+                    runs[j] = grow(settings)
+                    asked[j] = next(runs[j]) if len(m.trees) < settings.rounds else None
+            if any(asked) and any(len(m.codes) - k >= STORE for m, k in zip(models, kept)):
+                last, stored = stored, settle(advanced(stored, [m.codes[k:] for m, k in zip(models, kept)])).persist()
+                last.unpersist()
+                kept = [len(m.codes) for m in models]
+    stored.unpersist()
     return models
 
 
 def predicted(models: Sequence[Boosted], features: Sequence, model: Column | None = None) -> Column:
     """Prediction of every row by the model whose number stands in `model` (the first one without it)."""
     @F.pandas_udf("double")
-    def run(*cols: pd.Series) -> pd.Series:
-        x = np.column_stack([c.to_numpy(float) for c in cols[1:]])
-        out, number = np.full(len(x), np.nan), cols[0].to_numpy()
-        for j, m in enumerate(models):
-            here = np.flatnonzero(number == j)
-            if len(here):
-                out[here] = m.predict(x[here])
-        return pd.Series(out)
+    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        made = [m.predictor() for m in models]
+        for cols in batches:
+            x = np.column_stack([c.to_numpy(float) for c in cols[1:]])
+            out, number = np.full(len(x), np.nan), cols[0].to_numpy()
+            for j, predict in enumerate(made):
+                here = np.flatnonzero(number == j)
+                if len(here):
+                    out[here] = predict(x[here])
+            yield pd.Series(out)
 
     return run((F.lit(0) if model is None else model).cast("int"), *[column(f).cast("double") for f in features])

@@ -3,6 +3,7 @@
 import heapq
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from seqloom.operators import boosting
@@ -111,3 +112,68 @@ def test_place_by_bits_equals_a_walk_at_every_size():
             tree += [Node(value=1.0), Node(value=2.0)]
         got = boosting.place(codes, tree)
         assert (got == boosting._walked(codes, tree)).all() and got.dtype == np.int32
+
+
+def _cross_fit(spark, n, folds=4):
+    df = spark.range(n).select((F.rand(1) * 4).alias("a"), F.rand(2).alias("b"), F.pmod(F.xxhash64("id"), F.lit(folds)).alias("fold")).coalesce(2)
+    df = df.withColumn("y", (F.sin("a") * F.col("b") > 0.2).cast("double"))
+    return df, [Response(F.col("y"), F.lit(1.0), F.col("fold") != k) for k in range(folds)]
+
+
+def test_models_share_equal_lines(spark):
+    # Four cross-fitted models kept four copies of responses and weights: 98 bytes a row of two features, most of what a pass reads.
+    df, responses = _cross_fit(spark, 20_000)
+    stored = boosting.blocks(df, ["a", "b"], [[1.0, 2.0], [0.5]], responses, [0.0] * 4)
+    size, n = stored.select(F.sum(sum(F.length(c) for c in stored.columns[1:])), F.sum("n")).first()
+    assert n == 20_000 and size < 45 * n
+    codes, y, w, used, pred = boosting._open(pa.RecordBatch.from_pandas(stored.limit(1).toPandas(), preserve_index=False), 0)
+    assert y.shape == w.shape == used.shape == pred.shape and (w == 1).all() and (used.sum(0) == 3).all()
+
+
+def test_lines_are_packed_without_loss():
+    rng = np.random.default_rng(6)
+    for a in (rng.random((2, 9)), np.tile(rng.random(9), (3, 1)), np.ones((4, 5)), np.array([[0.0, 255.0]]), np.array([[-1.0, 256.0]]), np.array([[0.1, 1e300]]), np.array([[0.5, -0.25]])):
+        assert (boosting.unpacked(boosting.packed(a), *a.shape) == a).all()
+
+
+def test_models_do_not_wait_for_each_other(spark, monkeypatch):
+    # A pass counted for one tree of every model, so that all waited for the deepest tree of the round.
+    df, responses = _cross_fit(spark, 3_000)
+    s = Settings(rounds=6, leaves=9, min_leaf=10, bins=16, rate=0.5, l2=1.0, loss="logistic")
+    passes, count = [], boosting.histograms
+
+    def seen(*args):
+        passes.append(sum(map(bool, args[3])))
+        return count(*args)
+
+    monkeypatch.setattr(boosting, "histograms", seen)
+    together = boosting.boost(df, ["a", "b"], responses, s)
+    most = len(passes)
+    alone, single = [], []
+    for r in responses:
+        passes.clear()
+        alone += boosting.boost(df, ["a", "b"], [r], s)
+        single.append(len(passes))
+    assert most == max(single)
+    for one, all_ in zip(alone, together):
+        assert [[(m.feature, m.threshold) for m in t] for t in one.trees] == [[(m.feature, m.threshold) for m in t] for t in all_.trees]
+
+
+def test_prediction_by_codes_equals_a_walk(spark):
+    from seqloom.operators.trees import walk
+
+    df, responses = _cross_fit(spark, 2_000)
+    model = boosting.boost(df, ["a", "b"], responses[:1], Settings(rounds=5, leaves=6, min_leaf=10, bins=16, loss="logistic"))[0]
+    x = np.array([[e + d, 0.3] for e in model.edges[0] for d in (-1e-9, 0.0, 1e-9)] + [[np.nan, 0.5], [np.inf, np.nan], [-np.inf, 1.0]])
+    assert (model.predict(x) == model.baseline + sum((walk(t, x) for t in model.trees), np.zeros(len(x)))).all()
+
+
+def test_passes_take_small_batches(spark):
+    # 92 blocks came to a task in one batch of 40 MB; the caller's setting stands again afterwards.
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, sizes = spark.conf.get(name), []
+    df, responses = _cross_fit(spark, 10_000)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(boosting, "histograms", lambda *a: sizes.append(spark.conf.get(name)) or {(j, k): np.zeros((2, 3, 16)) for j, w in enumerate(a[3]) for k in w})
+        boosting.boost(df, ["a", "b"], responses, Settings(rounds=1, leaves=3, bins=16))
+    assert sizes and set(sizes) == {str(boosting.BATCH)} and spark.conf.get(name) == before
